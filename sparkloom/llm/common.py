@@ -1,77 +1,42 @@
-"""What the training-data operators share: lineage cuts, row choice, and the size-checked broadcast."""
+"""What the training-data operators share."""
 
 from __future__ import annotations
 
-import tempfile
-from collections.abc import Iterable, Iterator
-
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.joins import small
+from ..operators.lineage import cut_lineage
+
+__all__ = ["SENT_ROWS", "cut_lineage", "latest_rows", "small", "table"]
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and read it from there.
-
-    The folder is the session's ``spark.checkpoint.dir``.  Only where that is unset and the master is in-process (tests) is
-    a temporary folder chosen here; on a cluster a missing setting is an error rather than a machine-local folder.
-    """
-    spark = df.sparkSession
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        folder = spark.conf.get("spark.checkpoint.dir", "")
-        if not folder:
-            if not sc.master.startswith("local[") and sc.master != "local":
-                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-            folder = tempfile.mkdtemp(prefix="sparkloom-checkpoint-")
-        sc.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
+#: Sides up to this many rows may be sent to all tasks; the number is counted first, and beyond it a join shuffles.
+SENT_ROWS = 500_000
 
 
 def latest_rows(df: DataFrame, key: str, order: str | None, content: list[str]) -> DataFrame:
     """One version of each key without shuffling the content.
 
     Rows with the same key and the same ``content`` are interchangeable, so only keys delivered with different contents need
-    a choice: the row with the greatest ``order`` (nulls first), ties by the hash of the content.  The losers' (key, hash)
-    pairs are removed by an anti join; exact repeats stay and must be harmless to the caller.
+    a choice: the row with the greatest ``order`` (nulls first), ties by the hash of the content.  These keys come out of an
+    aggregation over (key, hash, order); the losers are removed by an anti join that is left out when there are none, and that
+    shuffles only if they are too many to send.  Exact repeats stay and must be harmless to the caller.
     """
     version = F.xxhash64(*[F.coalesce(F.col(c).cast("string"), F.lit("\0")) for c in content])
     stamped = df.withColumn("_version", version)
     rank = F.struct(F.col(order) if order else F.lit(0), F.col("_version"))
-    seen = (
+    seen = cut_lineage(
         stamped.groupBy(F.col(key).alias("_key"))
         .agg(F.max(rank).alias("_best"), F.min("_version").alias("_lo"), F.max("_version").alias("_hi"))
         .filter("_lo <> _hi")
         .select("_key", F.col("_best._version").alias("_keep"))
     )
-    return (
-        stamped.join(seen, (stamped[key] == seen["_key"]) & (stamped["_version"] != seen["_keep"]), "left_anti").drop("_version")
-    )
-
-
-def arrow_rows(df: DataFrame, make, schema: str) -> DataFrame:
-    """``mapInArrow`` over plain lists: ``make(columns: dict[str, list]) -> dict[str, list | array]`` for each batch."""
-    out = pa.schema([(f.name, _arrow_type(f.dataType)) for f in _parse(df.sparkSession, schema).fields])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
-        for batch in batches:
-            made = make({n: batch.column(i) for i, n in enumerate(batch.schema.names)})
-            yield pa.RecordBatch.from_arrays([pa.array(made[f.name], type=f.type) for f in out], schema=out)
-
-    return df.mapInArrow(run, schema)
-
-
-def _parse(spark: SparkSession, ddl: str):
-    from pyspark.sql.types import StructType
-
-    return StructType.fromDDL(ddl)
-
-
-def _arrow_type(kind):
-    from pyspark.sql.pandas.types import to_arrow_type
-
-    return to_arrow_type(kind)
+    if seen.isEmpty():
+        return df
+    stale = (stamped[key] == seen["_key"]) & (stamped["_version"] != seen["_keep"])
+    return stamped.join(small(seen, SENT_ROWS), stale, "left_anti").drop("_version")

@@ -7,9 +7,10 @@ of a pair are chained in order, extended by alignment to both sides and turned i
 likeness decides.
 
 What bounds the join: a pair of likeness t needs ceil(t / (1 + t) * (a + b)) common runs, so its rarest common runs have small
-ranks in both records.  Fingerprints of larger rank are not joined, and a joined pair of ranks that cannot belong to one of
-the ``SLACK`` rarest common runs is dropped at once.  A pair is therefore found when one of its ``SLACK`` rarest common runs
-lies in a common stretch of six tokens.  Texts of under ``SHORT`` runs are fingerprinted without windows (every run).
+ranks in both records.  Fingerprints of larger rank are not joined, a joined pair of ranks that cannot belong to one of the
+``SLACK`` rarest common runs is dropped at once, and a pair needs ``SEEDS`` such seeds to go on.  A pair is therefore found
+when ``SEEDS`` of its ``SLACK`` rarest common runs are minima in common stretches.  Texts of under ``SHORT`` runs are
+fingerprinted without windows (every run) and need one seed per four common runs that the threshold asks for.
 
 Equal run sets form one class; a task sends the fingerprints of a class once, so a group of copies of any size costs a few
 rows per task, and only the final list of pairs expands it.
@@ -28,12 +29,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut_lineage, latest_rows
+from .common import SENT_ROWS, cut_lineage, latest_rows, small
 from .kernels import Tokens, pieces, set_signature, winnow
 from .rarity import order_of, run_counts
 from .set_join import RUN, least_overlap, likeness, signed, verify_pairs
 
-WINDOW, SLACK, SHORT = 4, 3, 20
+WINDOW, SLACK, SHORT, SEEDS = 4, 6, 20, 3
 
 
 def evidence_text(raw: str | None) -> str:
@@ -161,14 +162,11 @@ def seed_pairs(prints: DataFrame, threshold: float) -> DataFrame:
         F.col("n").alias(p + "n"), F.col("s.ranks").alias(p + "r"),
     )
     need = least_overlap(F.col("an"), F.col("bn"), threshold)
-    return (
-        side(True, "a")
-        .join(side(False, "b"), "gram")
-        .filter((F.col("an") - F.col("ar") + (SLACK - 1) >= need) & (F.col("bn") - F.col("br") + (SLACK - 1) >= need))
-        .filter((F.col("an") >= need) & (F.col("bn") >= need))
-        .select("a1", "a2", "b1", "b2")
-        .distinct()
-    )
+    fits = (F.col("an") - F.col("ar") + (SLACK - 1) >= need) & (F.col("bn") - F.col("br") + (SLACK - 1) >= need)
+    met = side(True, "a").join(side(False, "b"), "gram").filter(fits & (F.least("an", "bn") >= need))
+    # a class sent by several tasks only raises the count
+    by = met.groupBy("a1", "a2", "b1", "b2").agg(F.count("*").alias("_k"), F.min(need).alias("_need"))
+    return by.filter(F.col("_k") >= F.greatest(F.lit(1), F.least(F.lit(SEEDS), F.floor(F.col("_need") / 4)))).drop("_k", "_need")
 
 
 def chain(a: np.ndarray, b: np.ndarray, seeds: list[tuple[int, int]]) -> int:
@@ -222,8 +220,8 @@ def like_classes(
     """Pairs of classes (a1, a2, b1, b2) whose likeness reaches the threshold, with coverage_a, coverage_b, seeds, chained."""
     pairs = cut_lineage(seed_pairs(prints, threshold))
     wanted = pairs.selectExpr("a1 c1", "a2 c2").union(pairs.selectExpr("b1", "b2")).distinct()
-    one = prints.join(wanted, ["c1", "c2"], "left_semi").groupBy("c1", "c2").agg(F.min("rid").alias("rid"))
-    texts = rows.select("rid", raw).join(one, "rid").groupBy("c1", "c2").agg(F.min(raw).alias("text"))
+    one = cut_lineage(prints.select("rid", "c1", "c2").join(small(wanted, SENT_ROWS), ["c1", "c2"], "left_semi").groupBy("c1", "c2").agg(F.min("rid").alias("rid")))
+    texts = rows.select("rid", raw).join(small(one, SENT_ROWS), "rid").groupBy("c1", "c2").agg(F.min(raw).alias("text"))
 
     def measure(left, right):
         left = text_of(pa.RecordBatch.from_arrays([pa.array(left, pa.string())], names=[raw]))
