@@ -5,10 +5,11 @@ pair of likeness t has at least ceil(t / (1 + t) * (a + b)) common runs, so the
 n - ceil(t * n) + L runs of either record (its prefix of degree L).
 
 * light sets (n up to a boundary): every 2-subset of the prefix of degree 2 is a key; equal keys join light sets;
-* heavy sets: every run of the prefix of degree 1 has an inverted list; heavy sets are looked up in the lists of the heavy
-  sets and of those light sets that are large enough to be like a heavy one.
+* heavy sets: every run of the prefix of degree ``DEGREE`` has an inverted list; heavy sets are looked up in the lists of the
+  heavy sets and of those light sets that are large enough to be like a heavy one, and a pair that is like another one must
+  meet in ``DEGREE`` lists (or in all its common runs, if it may have fewer).
 
-Both ways are exact.  The boundary is the size at which the estimated number of subset keys and joined list entries is least,
+Both ways are exact, and the exact likeness of what they meet decides.  The boundary is the size at which the estimated number of subset keys and joined list entries is least,
 from a histogram of sizes (one row per size up to ``MAX_LIGHT``, a fixed number).  A pair with only one common run (possible
 for sets of one run, where a 2-subset does not exist) is covered by treating sets with a prefix of one run as heavy.
 
@@ -25,13 +26,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut_lineage, latest_rows
+from .common import SENT_ROWS, cut_lineage, latest_rows, small
 from .kernels import Tokens, mix, pieces, set_signature
 from .rarity import bucket, order_of, run_counts
 from .set_join import RUN, least_overlap, likeness, signed, verify_pairs
 
 MAX_LIGHT = 64
-SUBSET_COST = 1.0
+DEGREE = 3
+#: A subset key is written and sorted; a list entry is only compared.
+SUBSET_COST = 4.0
 LIST_COST = 1.0
 
 
@@ -50,7 +53,7 @@ def _texts(batch: pa.RecordBatch) -> list[str]:
 
 
 def prefixes(rows: DataFrame, counts: np.ndarray, threshold: float) -> DataFrame:
-    """(rid, c1, c2, n, runs, cost): the prefix of degree 2, rarest first; empty for a class this task has already sent.
+    """(rid, c1, c2, n, runs, cost): the prefix of degree DEGREE, rarest first; empty for a class this task has already sent.
 
     ``cost`` estimates the list entries that the prefix of degree 1 would meet.
     """
@@ -89,7 +92,7 @@ def prefixes(rows: DataFrame, counts: np.ndarray, threshold: float) -> DataFrame
                     seen.clear()
                 rare = np.where(rank <= base[text], table[bucket(grams)].astype(np.float64), 0.0)
                 cost = np.bincount(text, weights=rare, minlength=j - i)
-                keep = (rank < base[text] + 2) & fresh[text]
+                keep = (rank < base[text] + DEGREE) & fresh[text]
                 cut = np.zeros(j - i + 1, np.int32)
                 np.cumsum(np.bincount(text[keep], minlength=j - i), out=cut[1:])
                 out = pa.RecordBatch.from_arrays(
@@ -151,20 +154,15 @@ def _subset_keys(light: DataFrame) -> DataFrame:
     return light.select("runs", "c1", "c2", "n").mapInArrow(run, "key long, c1 long, c2 long, n int")
 
 
-def _joined(left: DataFrame, right: DataFrame, key: str, keep, threshold: float) -> DataFrame:
+def _met(left: DataFrame, right: DataFrame, key: str, keep) -> DataFrame:
+    """Join on ``key``; ``keep(before)`` says which joined rows count, ``before`` being a's class below b's."""
     a = left.select(key, *[F.col(c).alias("a_" + c) for c in left.columns if c != key])
     b = right.select(key, *[F.col(c).alias("b_" + c) for c in right.columns if c != key])
-    need = least_overlap(F.col("a_n"), F.col("b_n"), threshold)
     before = F.struct("a_c1", "a_c2") < F.struct("b_c1", "b_c2")
-    return (
-        a.join(b, key)
-        .filter(keep(before) & (F.col("a_n") >= need) & (F.col("b_n") >= need))
-        .select(
-            F.when(before, F.col("a_c1")).otherwise(F.col("b_c1")).alias("a1"),
-            F.when(before, F.col("a_c2")).otherwise(F.col("b_c2")).alias("a2"),
-            F.when(before, F.col("b_c1")).otherwise(F.col("a_c1")).alias("b1"),
-            F.when(before, F.col("b_c2")).otherwise(F.col("a_c2")).alias("b2"),
-        )
+    return a.join(b, key).filter(keep(before)).select(
+        F.when(before, F.col("a_c1")).otherwise(F.col("b_c1")).alias("a1"), F.when(before, F.col("a_c2")).otherwise(F.col("b_c2")).alias("a2"),
+        F.when(before, F.col("b_c1")).otherwise(F.col("a_c1")).alias("b1"), F.when(before, F.col("b_c2")).otherwise(F.col("a_c2")).alias("b2"),
+        (F.col("a_n") + F.col("b_n")).alias("size"),
     )
 
 
@@ -172,22 +170,24 @@ def candidate_classes(sets: DataFrame, threshold: float) -> DataFrame:
     """Distinct pairs of different classes (a1, a2) < (b1, b2) that the heavy-light join meets."""
     edge = boundary(sets, threshold)
     fresh = sets.filter(F.size("runs") > 0)
+    base = F.col("n") - F.ceil(F.col("n") * F.lit(threshold) - F.lit(1e-9))
+    need = least_overlap(F.col("a_n"), F.col("b_n"), threshold)
+    sized = F.least("a_n", "b_n") >= need
     subset = (F.col("n") <= edge) & (F.size("runs") >= 2)
-    light = _subset_keys(fresh.filter(subset)).distinct()
-    base = F.col("n") - F.ceil(F.col("n") * F.lit(threshold) - F.lit(1e-9)) + 1
-    lists = fresh.filter(~subset | (F.col("n") >= F.lit(threshold) * (edge + 1)) | (F.size("runs") < 3)).select(
-        "c1", "c2", "n", (~subset).alias("heavy"), F.posexplode(F.slice("runs", F.lit(1), base.cast("int"))).alias("rank", "run")
+    pairs = ["a1", "a2", "b1", "b2"]
+    light = _subset_keys(fresh.filter(subset).withColumn("runs", F.slice("runs", F.lit(1), (base + 2).cast("int")))).distinct()
+    by_subset = _met(light, light, "key", lambda before: before & sized).select(*pairs).distinct()
+    lists = fresh.filter(~subset | (F.col("n") >= F.lit(threshold) * (edge + 1))).select(
+        "c1", "c2", "n", (~subset).alias("heavy"), F.posexplode("runs").alias("rank", "run")
     )
-    need = least_overlap(F.col("a_n"), F.col("b_n"), threshold)
-    reach = (F.col("a_n") - F.col("a_rank") >= need) & (F.col("b_n") - F.col("b_rank") >= need)
+    reach = sized & (F.col("a_n") - F.col("a_rank") + (DEGREE - 1) >= need) & (F.col("b_n") - F.col("b_rank") + (DEGREE - 1) >= need)
     heavy = lists.filter("heavy").drop("heavy")
     # heavy with heavy once per pair; heavy with light in the only order there is
-    return (
-        _joined(light, light, "key", lambda before: before, threshold)
-        .union(_joined(heavy, heavy, "run", lambda before: before & reach, threshold))
-        .union(_joined(heavy, lists.filter("not heavy").drop("heavy"), "run", lambda before: reach, threshold))
-        .distinct()
-    )
+    met = _met(heavy, heavy, "run", lambda before: before & reach).union(_met(heavy, lists.filter("not heavy").drop("heavy"), "run", lambda before: reach))
+    least = F.least(F.lit(DEGREE), least_overlap(F.col("size"), F.lit(0), threshold))
+    # a class sent by several tasks only raises the count
+    by_list = met.groupBy(*pairs, "size").agg(F.count("*").alias("_k")).filter(F.col("_k") >= least).select(*pairs)
+    return by_subset.union(by_list)
 
 
 def like_classes(data: DataFrame, threshold: float = 0.6, key: str = "sample_id") -> tuple[DataFrame, DataFrame]:
@@ -197,8 +197,8 @@ def like_classes(data: DataFrame, threshold: float = 0.6, key: str = "sample_id"
     sets = cut_lineage(prefixes(rows, counts, threshold))
     pairs = cut_lineage(candidate_classes(sets, threshold))
     wanted = pairs.selectExpr("a1 c1", "a2 c2").union(pairs.selectExpr("b1", "b2")).distinct()
-    one = sets.join(wanted, ["c1", "c2"], "left_semi").groupBy("c1", "c2").agg(F.min("rid").alias("rid"))
-    texts = rows.join(one, "rid").groupBy("c1", "c2").agg(F.min("text").alias("text"))
+    one = cut_lineage(sets.select("rid", "c1", "c2").join(small(wanted, SENT_ROWS), ["c1", "c2"], "left_semi").groupBy("c1", "c2").agg(F.min("rid").alias("rid")))
+    texts = rows.join(small(one, SENT_ROWS), "rid").groupBy("c1", "c2").agg(F.min("text").alias("text"))
     measure = lambda left, right: {"likeness": pa.array(likeness(left, right))}
     found = verify_pairs(pairs, texts, measure, "likeness double").filter(F.col("likeness") >= threshold)
     return cut_lineage(found), sets.select("rid", "c1", "c2").distinct()

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut_lineage
+from .common import SENT_ROWS, cut_lineage, small
 from .kernels import char_grams, pieces, slide
 from .set_join import signed
 
@@ -105,7 +105,7 @@ def like_classes(docs: DataFrame, least: int, gram: int) -> DataFrame:
     a, b = posts.select("anchor", F.col("sig").alias("sig_a")), posts.select("anchor", F.col("sig").alias("sig_b"))
     pairs = cut_lineage(a.join(b, "anchor").filter("sig_a < sig_b").select("sig_a", "sig_b").distinct())
     wanted = pairs.selectExpr("sig_a sig").union(pairs.selectExpr("sig_b")).distinct()
-    texts = rows.select("sig", "text").join(wanted, "sig", "left_semi").groupBy("sig").agg(F.min("text").alias("text"))
+    texts = rows.select("sig", "text").join(small(wanted, SENT_ROWS), "sig", "left_semi").groupBy("sig").agg(F.min("text").alias("text"))
     both = (
         pairs.join(texts.selectExpr("sig sig_a", "text text_a"), "sig_a").join(texts.selectExpr("sig sig_b", "text text_b"), "sig_b")
         .select("sig_a", "sig_b", "text_a", "text_b")
