@@ -28,8 +28,9 @@ def keep_first_slim(df: DataFrame, identity: Column, key: str, order: list[str])
     Only (identity hash, order, key) is shuffled before the choice, never the payload of the losers, and a hot identity is
     reduced on the map side.
     """
-    chosen = df.select(F.sha2(identity, 256).alias("_i"), F.struct(*order, key).alias("_o")).groupBy("_i").agg(F.min("_o").alias("_o"))
-    return df.join(chosen.select(F.col(f"_o.{key}").alias(key)), key, "left_semi")
+    rank = F.struct(*[F.col(c).alias(f"_{i}") for i, c in enumerate(order)], F.col(key).alias("_key"))
+    chosen = df.select(F.sha2(identity, 256).alias("_i"), rank.alias("_o")).groupBy("_i").agg(F.min("_o").alias("_o"))
+    return df.join(chosen.select(F.col("_o._key").alias(key)), key, "left_semi")
 
 
 def keep_min(df: DataFrame, keys: list[str], by: Column, value: str) -> DataFrame:

@@ -428,13 +428,13 @@ def first_repeated_keys(t):
 
 
 @query(
-    """SELECT item_id, list_filter([CASE WHEN text IS NULL OR trim(text) = '' THEN 'no_text' END, CASE WHEN lang NOT IN ('en', 'zh') THEN 'language' END,
-    CASE WHEN length(reference) > 3 THEN 'long_reference' END], lambda x: x IS NOT NULL) AS problems FROM eval_item
+    """SELECT item_id, array_to_string(list_filter([CASE WHEN text IS NULL OR trim(text) = '' THEN 'no_text' END, CASE WHEN lang NOT IN ('en', 'zh') THEN 'language' END,
+    CASE WHEN length(reference) > 3 THEN 'long_reference' END], lambda x: x IS NOT NULL), ',') AS problems FROM eval_item
     WHERE text IS NULL OR trim(text) = '' OR lang NOT IN ('en', 'zh') OR length(reference) > 3"""
 )
 def row_problems(t):
     rules = [("no_text", F.col("text").isNull() | (F.trim("text") == "")), ("language", ~F.col("lang").isin("en", "zh")), ("long_reference", F.length("reference") > 3)]
-    return quality.row_problems(t("eval_item"), rules).select("item_id", "problems")
+    return quality.row_problems(t("eval_item"), rules).select("item_id", F.array_join("problems", ",").alias("problems"))
 
 
 # ---------------------------------------------------------------- aggregates
@@ -825,12 +825,12 @@ def session_windows(t):
     return w.select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), F.col("end").cast("timestamp_ntz").alias("end"), "n")
 
 
-@query("SELECT i AS group_no, i % 5 AS kind, 2 + i % 3 AS nodes, [concat('n', (i + j) % 50) FOR j IN range(2 + i % 3)] AS node_ids FROM range(500) r(i)")
+@query("SELECT i AS group_no, i % 5 AS kind, 2 + i % 3 AS nodes, array_to_string([concat('n', (i + j) % 50) FOR j IN range(2 + i % 3)], ',') AS node_ids FROM range(500) r(i)")
 def synthetic_groups(t):
     spark = t("region").sparkSession
     n = F.col("id")
     size = 2 + F.pmod(n, F.lit(3))
     return spark.range(500).select(
         n.alias("group_no"), F.pmod(n, F.lit(5)).alias("kind"), size.alias("nodes"),
-        F.transform(F.sequence(F.lit(0).cast("long"), size - 1), lambda j: F.concat(F.lit("n"), F.pmod(n + j, F.lit(50)).cast("string"))).alias("node_ids"),
+        F.array_join(F.transform(F.sequence(F.lit(0).cast("long"), size - 1), lambda j: F.concat(F.lit("n"), F.pmod(n + j, F.lit(50)).cast("string"))), ",").alias("node_ids"),
     )
