@@ -29,7 +29,7 @@ def frozen_sample(keys: DataFrame, rate: float, salt: str, bits: int = 12) -> Da
     return take_smallest_per_group(first, quota, ["batch"], "_h", "key", bits).select("key", "batch")
 
 
-def trace_sample(traces: DataFrame, rate: float = 0.1, block: int = 1000, salt: str = "frozen") -> DataFrame:
+def trace_sample(traces: DataFrame, rate: float = 0.1, block: int = 100, salt: str = "frozen") -> DataFrame:
     """Sample of distinct digests of the traces, by blocks of ``block`` arrival numbers (the number inside trace_id)."""
     number = F.expr("try_cast(regexp_extract(trace_id, '([0-9]+)', 1) as bigint)")
     rows = traces.select(

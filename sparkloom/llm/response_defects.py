@@ -298,9 +298,9 @@ def shortened(answers: DataFrame) -> DataFrame:
             full = ([held] if held is not None else []) + texts
             found = [x for x, y in zip(full, full[1:]) if y.startswith(x)]
             held = texts[-1]
-            yield pa.RecordBatch.from_arrays([pa.array(found, pa.string()), pa.array([pid] * len(found), pa.int32()), pa.array([False] * len(found))], names=["answer", "pid", "last"])
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.string()), pa.array([pid] * len(found), pa.int32()), pa.array([False] * len(found), pa.bool_())], names=["answer", "pid", "last"])
         if held is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([held]), pa.array([pid], pa.int32()), pa.array([True])], names=["answer", "pid", "last"])
+            yield pa.RecordBatch.from_arrays([pa.array([held], pa.string()), pa.array([pid], pa.int32()), pa.array([True], pa.bool_())], names=["answer", "pid", "last"])
 
     met = ordered.mapInArrow(run, "answer string, pid int, last boolean")
     firsts = ordered.groupBy("pid").agg(F.min("answer").alias("head")).withColumn("before", F.lag("pid").over(Window.orderBy("pid")))
