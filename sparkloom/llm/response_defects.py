@@ -207,7 +207,7 @@ def open_code(answer: str) -> bool:
         compile(code, "answer", "exec")
     except SyntaxError as e:
         return e.lineno is not None and e.lineno >= code.rstrip().count("\n") + 1
-    except ValueError:
+    except (ValueError, RecursionError, MemoryError, OverflowError):
         return False
     # a function that fills a result and never gives it back stopped too early
     return bool(re.search(r"^\s*def ", code, re.M)) and not re.search(r"^\s*(return|yield|print|raise|pass)\b", code, re.M)

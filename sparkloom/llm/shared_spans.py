@@ -20,53 +20,93 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import SENT_ROWS, cut_lineage, small
-from .kernels import char_grams, pieces, slide
+from .kernels import char_grams, codes, pieces, slide
 from .set_join import signed
 
 LEAST, GRAM = 240, 180
 
 
-def anchors(texts: list[str], least: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
-    """Selected window hashes and the index of their texts."""
+def _anchors(texts: list[str], least: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Selected window hashes, the index of their texts, and their positions in these."""
     grams, bounds = char_grams(texts, gram)
     w, n = least - gram + 1, len(grams)
-    if n < w:
-        return grams[:0], np.zeros(0, np.int64)
     text = np.repeat(np.arange(len(texts)), np.diff(bounds))
+    if n < w:
+        return grams[:0], text[:0], text[:0]
     low = slide(grams, w, np.minimum)
     low[text[: n - w + 1] != text[w - 1 :]] = 0
     wide = np.concatenate([np.zeros(w - 1, np.uint64), low, np.zeros(w - 1, np.uint64)])
-    keep = slide(wide, w, np.maximum)[:n] == grams
-    return grams[keep], text[keep]
+    at = np.flatnonzero(slide(wide, w, np.maximum)[:n] == grams)
+    return grams[at], text[at], at - bounds[text[at]]
+
+
+def anchors(texts: list[str], least: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
+    values, text, _ = _anchors(texts, least, gram)
+    return values, text
+
+
+#: Beyond this many anchor meetings in one pair (periodic texts) the pair is compared window by window, in linear time.
+MEETINGS = 5_000
 
 
-def shared_stretches(left: str, right: str, least: int) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
-    """Maximal stretches [from, to) of each text whose every ``least``-character window stands in the other text.
+def maximal_repeats(left: str, right: str, least: int, gram: int) -> list[tuple[int, int, int]] | None:
+    """(start in left, start in right, length) of all maximal common stretches of at least ``least`` characters.
 
-    Equal windows are found by hash and compared character by character.
+    Each common anchor is checked and extended to both sides; an anchor inside a stretch found before, on the same diagonal,
+    is skipped.  None if there are too many meetings.
     """
-    g, b = char_grams([left, right], least)
-    ga, gb = g[: b[1]], g[b[1] :]
-    hit_a, hit_b = np.isin(ga, gb), np.isin(gb, ga)
-
-    def stretches(hit: np.ndarray, own: np.ndarray, other: np.ndarray, mine: str, theirs: str) -> list[tuple[int, int]]:
-        at = np.flatnonzero(hit)
-        if not len(at):
-            return []
-        cuts = np.flatnonzero(np.diff(at) > 1)
-        runs = list(zip(at[np.concatenate([[0], cuts + 1])], at[np.concatenate([cuts, [len(at) - 1]])] + least))
-        good = []
-        for s, e in runs:
-            first = int(np.flatnonzero(other == own[s])[0])
-            if mine[s : s + least] == theirs[first : first + least]:
-                # overlapping stretches that touch without a common window become one
-                if good and s <= good[-1][1]:
-                    good[-1] = (good[-1][0], int(e))
-                else:
-                    good.append((int(s), int(e)))
-        return good
-
-    return stretches(hit_a, ga, gb, left, right), stretches(hit_b, gb, ga, right, left)
+    values, text, at = _anchors([left, right], least, gram)
+    mine, theirs = text == 0, text == 1
+    order = np.argsort(values[theirs], kind="stable")
+    vb, pb = values[theirs][order], at[theirs][order]
+    lo, hi = np.searchsorted(vb, values[mine], "left"), np.searchsorted(vb, values[mine], "right")
+    if int((hi - lo).sum()) > MEETINGS:
+        return None
+    a, b = codes(left), codes(right)
+    found: list[tuple[int, int, int]] = []
+    reached: dict[int, int] = {}
+    for i, s, e in zip(at[mine].tolist(), lo.tolist(), hi.tolist()):
+        for j in pb[s:e].tolist():
+            if i < reached.get(i - j, -1) or left[i : i + gram] != right[j : j + gram]:
+                continue
+            back = min(i, j)
+            differ = np.flatnonzero(a[i - back : i] != b[j - back : j])
+            back = back - int(differ[-1]) - 1 if len(differ) else back
+            ahead = min(len(a) - i, len(b) - j)
+            differ = np.flatnonzero(a[i : i + ahead] != b[j : j + ahead])
+            ahead = int(differ[0]) if len(differ) else ahead
+            reached[i - j] = i + ahead
+            if back + ahead >= least:
+                found.append((i - back, j - back, back + ahead))
+    return found
+
+
+def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    out: list[tuple[int, int]] = []
+    for s, e in sorted(spans):
+        if out and s <= out[-1][1]:
+            out[-1] = (out[-1][0], max(out[-1][1], e))
+        else:
+            out.append((s, e))
+    return out
+
+
+def shared_stretches(left: str, right: str, least: int = LEAST, gram: int = GRAM) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
+    """Stretches [from, to) of each text that stand in the other, from the maximal repeats; overlapping ones are one."""
+    repeats = maximal_repeats(left, right, least, gram)
+    if repeats is None:
+        return _by_windows(left, right, least), _by_windows(right, left, least)
+    return _merged([(i, i + n) for i, _, n in repeats]), _merged([(j, j + n) for _, j, n in repeats])
+
+
+def _by_windows(mine: str, theirs: str, least: int) -> list[tuple[int, int]]:
+    """As shared_stretches for one side: every window of ``least`` characters whose hash the other text has, checked."""
+    g, b = char_grams([mine, theirs], least)
+    own, other = g[: b[1]], g[b[1] :]
+    values, first = np.unique(other, return_index=True)
+    at = np.flatnonzero(np.isin(own, values))
+    where = first[np.searchsorted(values, own[at])]
+    return _merged([(p, p + least) for p, q in zip(at.tolist(), where.tolist()) if mine[p : p + least] == theirs[q : q + least]])
 
 
 def classes(docs: DataFrame) -> DataFrame:
@@ -116,7 +156,7 @@ def like_classes(docs: DataFrame, least: int, gram: int) -> DataFrame:
         for batch in batches:
             keep, left, right = [], [], []
             for x, (p, q) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())):
-                sa, sb = shared_stretches(p, q, least)
+                sa, sb = shared_stretches(p, q, least, gram)
                 if sa:
                     keep.append(x)
                     left.append([{"f": s, "t": e} for s, e in sa])
