@@ -8,6 +8,7 @@ import json
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 
 def stable_key(seed: object, *cols: Column | str, namespace: str | None = None) -> Column:
@@ -21,7 +22,7 @@ def hash_int(c: Column, digits: int = 8) -> Column:
     return F.conv(F.substr(F.sha2(c, 256), F.lit(1), F.lit(digits)), 16, 10).cast("bigint")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())  # a type object: text would need a running session at import
 def canonical_json_hash(s: pd.Series) -> pd.Series:
     """SHA-256 of JSON text with sorted keys, ', ' and ': ' separators and non-ASCII kept; null for broken JSON."""
 
