@@ -16,7 +16,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 #: Sides up to this many rows may be sent to all tasks; the number is counted first, and beyond it a join shuffles.
-SENT_ROWS = 500_000
+SENT_ROWS = 200_000
 
 
 def latest_rows(df: DataFrame, key: str, order: str | None, content: list[str]) -> DataFrame:

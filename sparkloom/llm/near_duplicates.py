@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from .common import SENT_ROWS, cut_lineage, latest_rows, small
 from .kernels import Tokens, mix, pieces, set_signature
-from .rarity import bucket, order_of, run_counts
+from .rarity import estimated, order_of, run_counts
 from .set_join import RUN, least_overlap, likeness, signed, verify_pairs
 
 MAX_LIGHT = 64
@@ -90,7 +90,7 @@ def prefixes(rows: DataFrame, counts: np.ndarray, threshold: float) -> DataFrame
                         fresh[x] = True
                 if len(seen) > 200_000:
                     seen.clear()
-                rare = np.where(rank <= base[text], table[bucket(grams)].astype(np.float64), 0.0)
+                rare = np.where(rank <= base[text], estimated(grams, table), 0.0)
                 cost = np.bincount(text, weights=rare, minlength=j - i)
                 keep = (rank < base[text] + DEGREE) & fresh[text]
                 cut = np.zeros(j - i + 1, np.int32)

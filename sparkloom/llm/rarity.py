@@ -1,12 +1,15 @@
-"""Frequency of token runs over a whole collection as a table of fixed size.
+"""Frequency of token runs over a whole collection as a table of bounded size.
 
 Prefix filters need one global order of the runs, rarest first.  Any order is right as long as all tasks use the same, so the
-exact frequency is not needed: runs are counted in 2**bits buckets by hash.  The table covers every text, has the same size
-for any collection (2 MB with 20 bits) and is the only thing broadcast.
+exact frequency is not needed: runs are counted in 2**bits buckets by hash, and the counts are kept as one byte each on a
+logarithmic scale.  The table covers every text; it grows with the number of texts up to ``MOST_BITS`` (16 MB) and is the only
+thing broadcast.
 """
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
@@ -14,61 +17,79 @@ from pyspark.sql import DataFrame
 
 from .kernels import Tokens, pieces
 
-BITS = 20
+LEAST_BITS, MOST_BITS = 16, 24
 SLICES = 64
-FULL = np.iinfo(np.uint16).max
 
 
-def bucket(grams: np.ndarray, bits: int = BITS) -> np.ndarray:
-    return (grams >> np.uint64(64 - bits)).astype(np.int64)
+def bits_for(texts: int) -> int:
+    """About 16 buckets per text, within the bounds."""
+    return min(max(int(texts).bit_length() + 4, LEAST_BITS), MOST_BITS)
+
+
+def bucket(grams: np.ndarray, table: np.ndarray) -> np.ndarray:
+    return (grams >> np.uint64(65 - len(table).bit_length())).astype(np.int64)
+
 
+def order_of(grams: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """A global order key, rarest bucket first and then by hash; never 0."""
+    return (table[bucket(grams, table)].astype(np.uint64) << np.uint64(56)) | (grams >> np.uint64(8)) | np.uint64(1)
 
-def order_of(grams: np.ndarray, counts: np.ndarray, bits: int = BITS) -> np.ndarray:
-    """A global order key, rarest bucket first and then by hash."""
-    rare = counts[bucket(grams, bits)].astype(np.uint64)
-    return (rare << np.uint64(48)) | (grams >> np.uint64(16)) | np.uint64(1)
 
+def estimated(grams: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """Estimated number of occurrences of each run."""
+    return np.exp2(table[bucket(grams, table)] / 8.0) - 1
 
-def run_counts(df: DataFrame, text_of, k: int, bits: int = BITS) -> np.ndarray:
-    """Saturating counts of the k-token runs of all rows, by hash bucket.
 
-    ``text_of(batch) -> list[str]`` gives a batch's texts.  Each task adds up its own table and sends it once, in slices;
-    slices are added in two rounds, so no task reads more than a slice of some tasks' tables, and the driver gets one table.
+def run_counts(df: DataFrame, text_of, k: int) -> np.ndarray:
+    """Counts, as round(8 * log2(1 + n)), of the k-token runs of all rows, by hash bucket.
+
+    ``text_of(batch) -> list[str]`` gives a batch's texts.  Each task adds up its own table and sends it once, in compressed
+    slices; slices are added in two rounds, so no task reads more than a slice of some tasks' tables, and the driver gets one
+    table.
     """
+    bits = bits_for(df.count())
     width = (1 << bits) // SLICES
 
+    def packed(x: np.ndarray) -> bytes:
+        return zlib.compress(x.tobytes(), 1)
+
     def count(batches):
-        total = np.zeros(1 << bits, np.int64)
+        total = np.zeros(1 << bits, np.uint32)
         for batch in batches:
             texts = text_of(batch)
             for i, j in pieces(texts):
                 grams, _ = Tokens(texts[i:j]).grams(k)
-                total += np.bincount(bucket(grams, bits), minlength=1 << bits)
+                at, n = np.unique(bucket(grams, total), return_counts=True)
+                total[at] += n.astype(np.uint32)
         part = TaskContext.get().partitionId() if TaskContext.get() else 0
-        small = np.minimum(total, FULL).astype(np.uint16)
         if total.any():
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(range(SLICES), pa.int32()),
                     pa.array([part % 61] * SLICES, pa.int32()),
-                    pa.array([small[s * width : (s + 1) * width].tobytes() for s in range(SLICES)], pa.binary()),
+                    pa.array([packed(total[s * width : (s + 1) * width]) for s in range(SLICES)], pa.binary()),
                 ],
                 names=["slice", "part", "counts"],
             )
 
     def add(t: pa.Table) -> pa.Table:
-        total = np.zeros(width, np.int64)
+        total = np.zeros(width, np.uint64)
         for x in t.column("counts").to_pylist():
-            total += np.frombuffer(x, np.uint16)
-        small = np.minimum(total, FULL).astype(np.uint16).tobytes()
+            total += np.frombuffer(zlib.decompress(x), np.uint32)
+        small = packed(np.minimum(total, np.iinfo(np.uint32).max).astype(np.uint32))
         return pa.table(
             [t.column("slice").slice(0, 1), t.column("part").slice(0, 1), pa.array([small], pa.binary())],
             names=["slice", "part", "counts"],
         )
 
+    def scale(t: pa.Table) -> pa.Table:
+        n = np.frombuffer(zlib.decompress(add(t).column("counts")[0].as_py()), np.uint32)
+        code = packed(np.minimum(np.round(8 * np.log2(1.0 + n)), 255).astype(np.uint8))
+        return pa.table([t.column("slice").slice(0, 1), pa.array([code], pa.binary())], names=["slice", "codes"])
+
     schema = "slice int, part int, counts binary"
-    sums = df.mapInArrow(count, schema).groupBy("slice", "part").applyInArrow(add, schema).groupBy("slice").applyInArrow(add, schema)
-    out = np.zeros(1 << bits, np.uint16)
+    sums = df.mapInArrow(count, schema).groupBy("slice", "part").applyInArrow(add, schema).groupBy("slice").applyInArrow(scale, "slice int, codes binary")
+    out = np.zeros(1 << bits, np.uint8)
     for row in sums.collect():
-        out[row["slice"] * width : (row["slice"] + 1) * width] = np.frombuffer(bytes(row["counts"]), np.uint16)
+        out[row["slice"] * width : (row["slice"] + 1) * width] = np.frombuffer(zlib.decompress(bytes(row["codes"])), np.uint8)
     return out

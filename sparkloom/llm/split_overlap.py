@@ -9,8 +9,10 @@ likeness decides.
 What bounds the join: a pair of likeness t needs ceil(t / (1 + t) * (a + b)) common runs, so its rarest common runs have small
 ranks in both records.  Fingerprints of larger rank are not joined, a joined pair of ranks that cannot belong to one of the
 ``SLACK`` rarest common runs is dropped at once, and a pair needs ``SEEDS`` such seeds to go on.  A pair is therefore found
-when ``SEEDS`` of its ``SLACK`` rarest common runs are minima in common stretches.  Texts of under ``SHORT`` runs are
-fingerprinted without windows (every run) and need one seed per four common runs that the threshold asks for.
+when ``SEEDS`` of its ``SLACK`` rarest common runs are minima in common stretches.  A run that occurs more than ``HEAVY`` times
+is not joined alone but together with the minimum before and behind it (and counts as two seeds), so no list of the join grows
+with the collection.  Texts of under ``SHORT`` runs are fingerprinted without windows (every run) and need one seed per four
+common runs that the threshold asks for.
 
 Equal run sets form one class; a task sends the fingerprints of a class once, so a group of copies of any size costs a few
 rows per task, and only the final list of pairs expands it.
@@ -30,11 +32,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import SENT_ROWS, cut_lineage, latest_rows, small
-from .kernels import Tokens, pieces, set_signature, winnow
-from .rarity import order_of, run_counts
+from .kernels import Tokens, mix, pieces, set_signature, winnow
+from .rarity import estimated, order_of, run_counts
 from .set_join import RUN, least_overlap, likeness, signed, verify_pairs
 
-WINDOW, SLACK, SHORT, SEEDS = 4, 6, 20, 3
+WINDOW, SLACK, SHORT, SEEDS, HEAVY = 4, 6, 20, 3, 16
 
 
 def evidence_text(raw: str | None) -> str:
@@ -88,8 +90,44 @@ def _evidence_texts(batch: pa.RecordBatch) -> list[str]:
     return [evidence_text(x) for x in batch.column("evidence").to_pylist()]
 
 
-def fingerprints(rows: DataFrame, text_of, counts: np.ndarray, threshold: float, k: int = RUN) -> DataFrame:
-    """One row (rid, train, c1, c2, n, grams, ranks) per record that has a text; ``rows`` has rid, train and what text_of reads."""
+def _seeds(grams: np.ndarray, bounds: np.ndarray, table: np.ndarray, threshold: float, heavy: float):
+    """Seeds of some texts: (text, key, rank, weight) arrays, and each text's number of distinct runs and set signature."""
+    count = np.diff(bounds)
+    where = np.repeat(np.arange(len(count)), count)
+    order = order_of(grams, table)
+    chosen = winnow(order, bounds, WINDOW) | np.repeat(count < SHORT, count)
+    at = np.lexsort((order, where))
+    first = np.ones(len(at), bool)
+    first[1:] = (order[at][1:] != order[at][:-1]) | (where[at][1:] != where[at][:-1])
+    values, text = grams[at][first], where[at][first]
+    size = np.bincount(text, minlength=len(count))
+    low = np.zeros(len(count) + 1, np.int64)
+    np.cumsum(size, out=low[1:])
+    rank = np.empty(len(at), np.int64)
+    rank[at] = np.cumsum(first) - 1 - low[where[at]]
+    limit = size - np.ceil(threshold * size - 1e-9).astype(np.int64) + SLACK
+    # the minima in order of the text; those that may be among the rarest common runs are used
+    spot = np.flatnonzero(chosen)
+    g, t, r = grams[spot], where[spot], rank[spot]
+    used = r < limit[t]
+    often = estimated(g, table) > heavy
+    single = used & ~often
+    pair = np.flatnonzero((t[1:] == t[:-1]) & ((used & often)[1:] | (used & often)[:-1])) if len(spot) > 1 else np.zeros(0, np.int64)
+    key = np.concatenate([g[single], mix(mix(g[pair]) + g[pair + 1])])
+    owner = np.concatenate([t[single], t[pair]])
+    weight = np.concatenate([np.ones(int(single.sum()), np.int32), np.full(len(pair), 2, np.int32)])
+    ranks = np.concatenate([r[single], np.minimum(r[pair], r[pair + 1])])
+    at = np.lexsort((ranks, key, owner))
+    key, owner, weight, ranks = key[at], owner[at], weight[at], ranks[at]
+    first = np.ones(len(at), bool)
+    first[1:] = (key[1:] != key[:-1]) | (owner[1:] != owner[:-1])
+    return (owner[first], key[first], ranks[first], weight[first]), size, set_signature(values, low)
+
+
+def fingerprints(rows: DataFrame, text_of, counts: np.ndarray, threshold: float, k: int = RUN, heavy: float = HEAVY) -> DataFrame:
+    """One row (rid, train, c1, c2, n, keys, marks) per record that has a text; ``rows`` has rid, train and what text_of reads.
+
+    A seed's mark is 2 * (n - rank) + (weight - 1).  A class that this task has already sent has empty lists."""
     shared = rows.sparkSession.sparkContext.broadcast(counts)
 
     def run(batches):
@@ -102,71 +140,51 @@ def fingerprints(rows: DataFrame, text_of, counts: np.ndarray, threshold: float,
                 grams, bounds = Tokens(texts[i:j]).grams(k)
                 if not len(grams):
                     continue
-                order = order_of(grams, table)
-                count = np.diff(bounds)
-                text = np.repeat(np.arange(j - i), count)
-                chosen = winnow(order, bounds, WINDOW) | np.repeat(count < SHORT, count)
-                at = np.lexsort((order, text))
-                order, text = order[at], text[at]
-                first = np.ones(len(at), bool)
-                first[1:] = (order[1:] != order[:-1]) | (text[1:] != text[:-1])
-                starts = np.flatnonzero(first)
-                chosen = np.logical_or.reduceat(chosen[at], starts)
-                values, text = grams[at][starts], text[starts]
-                size = np.bincount(text, minlength=j - i)
-                low = np.zeros(j - i + 1, np.int64)
-                np.cumsum(size, out=low[1:])
-                rank = np.arange(len(text)) - low[text]
-                a, b = set_signature(values, low)
+                (text, key, rank, weight), size, (a, b) = _seeds(grams, bounds, table, threshold, heavy)
                 a, b = signed(a), signed(b)
-                limit = size - np.ceil(threshold * size - 1e-9).astype(np.int64) + SLACK
-                fresh = np.zeros(j - i, bool)
                 have = np.flatnonzero(size)
+                fresh = np.zeros(j - i, bool)
                 for x in have:
-                    key = (train[i + x], int(a[x]), int(b[x]))
-                    if key not in seen:
-                        seen.add(key)
+                    if (own := (train[i + x], int(a[x]), int(b[x]))) not in seen:
+                        seen.add(own)
                         fresh[x] = True
                 if len(seen) > 200_000:
                     seen.clear()
-                keep = chosen & (rank < limit[text]) & fresh[text]
+                keep = fresh[text]
                 at = np.zeros(j - i + 1, np.int32)
                 np.cumsum(np.bincount(text[keep], minlength=j - i), out=at[1:])
+                mark = (2 * (size[text] - rank) + weight - 1).astype(np.int32)
+                lists = [pa.ListArray.from_arrays(pa.array(at), pa.array(x[keep])) for x in (signed(key), mark)]
                 out = pa.RecordBatch.from_arrays(
-                    [
-                        batch.column("rid").slice(i, j - i),
-                        batch.column("train").slice(i, j - i),
-                        pa.array(a),
-                        pa.array(b),
-                        pa.array(size.astype(np.int32)),
-                        pa.ListArray.from_arrays(pa.array(at), pa.array(signed(values[keep]))),
-                        pa.ListArray.from_arrays(pa.array(at), pa.array(rank[keep].astype(np.int32))),
-                    ],
-                    names=["rid", "train", "c1", "c2", "n", "grams", "ranks"],
+                    [batch.column("rid").slice(i, j - i), batch.column("train").slice(i, j - i), pa.array(a), pa.array(b), pa.array(size.astype(np.int32)), *lists],
+                    names=["rid", "train", "c1", "c2", "n", "keys", "marks"],
                 )
                 yield out.take(pa.array(have))
 
     kind = rows.schema["rid"].dataType.simpleString()
     return rows.mapInArrow(
-        run, f"rid {kind}, train boolean, c1 long, c2 long, n int, grams array<long>, ranks array<int>"
+        run, f"rid {kind}, train boolean, c1 long, c2 long, n int, keys array<long>, marks array<int>"
     )
 
 
 def seed_pairs(prints: DataFrame, threshold: float) -> DataFrame:
-    """Distinct pairs of classes (train a1, a2; other b1, b2) that share a fingerprint whose ranks allow the threshold."""
-    posts = prints.filter(F.size("grams") > 0).select(
-        "train", "c1", "c2", "n", F.explode(F.arrays_zip("grams", "ranks")).alias("s")
-    )
-    side = lambda flag, p: posts.filter(F.col("train") == flag).select(
-        F.col("s.grams").alias("gram"), *[F.col(c).alias(p + c[-1]) for c in ("c1", "c2")],
-        F.col("n").alias(p + "n"), F.col("s.ranks").alias(p + "r"),
-    )
-    need = least_overlap(F.col("an"), F.col("bn"), threshold)
-    fits = (F.col("an") - F.col("ar") + (SLACK - 1) >= need) & (F.col("bn") - F.col("br") + (SLACK - 1) >= need)
-    met = side(True, "a").join(side(False, "b"), "gram").filter(fits & (F.least("an", "bn") >= need))
+    """Distinct pairs (a1, b1) of first class halves, train and other, whose common seeds allow the threshold.
+
+    A joined row is (key, c1, n and mark in one number); the second halves of the classes are looked up for the few pairs left.
+    """
+    packed = F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.col("s.marks").cast("long"))
+    posts = prints.filter(F.size("keys") > 0).select("train", "c1", "n", F.explode(F.arrays_zip("keys", "marks")).alias("s"))
+    posts = posts.select("train", F.col("s.keys").alias("key"), "c1", packed.alias("p"))
+    side = lambda flag, c, p: posts.filter(F.col("train") == flag).select("key", F.col("c1").alias(c), F.col("p").alias(p))
+    count = lambda p: F.shiftright(p, 32)
+    left = lambda p: F.shiftright(F.col(p).bitwiseAND(F.lit(0xFFFFFFFF)), 1)
+    need = least_overlap(count("pa"), count("pb"), threshold)
+    fits = (F.least(left("pa"), left("pb")) + (SLACK - 1) >= need) & (F.least(count("pa"), count("pb")) >= need)
+    met = side(True, "a1", "pa").join(side(False, "b1", "pb"), "key").filter(fits)
     # a class sent by several tasks only raises the count
-    by = met.groupBy("a1", "a2", "b1", "b2").agg(F.count("*").alias("_k"), F.min(need).alias("_need"))
-    return by.filter(F.col("_k") >= F.greatest(F.lit(1), F.least(F.lit(SEEDS), F.floor(F.col("_need") / 4)))).drop("_k", "_need")
+    weight = F.col("pa").bitwiseAND(F.lit(1)) + 1
+    by = met.groupBy("a1", "b1").agg(F.sum(weight).alias("_k"), F.min(need).alias("_need"))
+    return by.filter(F.col("_k") >= F.greatest(F.lit(1), F.least(F.lit(SEEDS), F.floor(F.col("_need") / 4)))).select("a1", "b1")
 
 
 def chain(a: np.ndarray, b: np.ndarray, seeds: list[tuple[int, int]]) -> int:
@@ -218,9 +236,10 @@ def like_classes(
     rows: DataFrame, prints: DataFrame, text_of, threshold: float, raw: str
 ) -> DataFrame:
     """Pairs of classes (a1, a2, b1, b2) whose likeness reaches the threshold, with coverage_a, coverage_b, seeds, chained."""
-    pairs = cut_lineage(seed_pairs(prints, threshold))
-    wanted = pairs.selectExpr("a1 c1", "a2 c2").union(pairs.selectExpr("b1", "b2")).distinct()
-    one = cut_lineage(prints.select("rid", "c1", "c2").join(small(wanted, SENT_ROWS), ["c1", "c2"], "left_semi").groupBy("c1", "c2").agg(F.min("rid").alias("rid")))
+    halves = cut_lineage(seed_pairs(prints, threshold))
+    wanted = halves.selectExpr("a1 c1").union(halves.selectExpr("b1")).distinct()
+    one = cut_lineage(prints.select("rid", "c1", "c2").join(small(wanted, SENT_ROWS), "c1", "left_semi").groupBy("c1", "c2").agg(F.min("rid").alias("rid")))
+    pairs = halves.join(one.selectExpr("c1 a1", "c2 a2"), "a1").join(one.selectExpr("c1 b1", "c2 b2"), "b1").select("a1", "a2", "b1", "b2")
     texts = rows.select("rid", raw).join(small(one, SENT_ROWS), "rid").groupBy("c1", "c2").agg(F.min(raw).alias("text"))
 
     def measure(left, right):
