@@ -71,7 +71,7 @@ _TOKEN = re.compile(r"[一-鿿]|[^\W一-鿿]+")
 _FENCE = re.compile(r"```.*?(?:```|$)", re.S)
 _CODE_LINE = re.compile(r"^\s*(def |return\b|for |while |if |else:|elif |import |from \w+ import|class |print\(|\w+(\.\w+)*\(.*\)$|\w+ ?[+\-*/]?= ?\S|@\w+|#(?!#))")
 _RESULT = re.compile(
-    r"(####\s*\S.*|(最终答案|答案|结论|final answer|the answer is|answer|antwort|endgültige antwort|respuesta( final)?|resultado|ergebnis|result)\s*[:：是为]?\s*\S{1,40})$", re.I
+    r"####\s*\S.*$|(最终答案|答案|结论)\s*[:：是为]\s*\S{1,40}$|\b(final answer|the answer|answer|antwort|respuesta|resultado|ergebnis|result)( final)?\s*(:|is|ist|es)\s*\S{1,40}$", re.I
 )
 _ENDS = set(".。!！?？`」』】》〉")
 _CLOSERS = "\"'”’»)）]］"
