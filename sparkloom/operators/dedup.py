@@ -2,24 +2,27 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 
 
-def _pick(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
-    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
-    return df.withColumn("_rank", rank).filter("_rank = 1").drop("_rank")
-
-
 def keep_first(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """The first row of each identity by an explicit order that must end in a unique column."""
-    return _pick(df, keys, [F.col(c).asc_nulls_last() for c in order])
+    """The first row of each identity by an explicit order that must end in a unique column; nulls order last.
+
+    An aggregation rather than a window: a hot identity is reduced to one row per task before the shuffle.
+    """
+    rank = F.struct(*[x.alias(f"_{i}") for i, x in enumerate(x for c in order for x in (F.col(c).isNull(), F.col(c)))])
+    rest = [c for c in df.columns if c not in keys]
+    return df.groupBy(*keys).agg(F.min_by(F.struct(*rest), rank).alias("_row")).select(*[F.col(c) if c in keys else F.col(f"_row.{c}") for c in df.columns])
 
 
 def keep_last(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    return _pick(df, keys, [F.col(c).desc_nulls_last() for c in order])
+    """As keep_first, for the last row; nulls still lose."""
+    rank = F.struct(*[x.alias(f"_{i}") for i, x in enumerate(x for c in order for x in (F.col(c).isNotNull(), F.col(c)))])
+    rest = [c for c in df.columns if c not in keys]
+    return df.groupBy(*keys).agg(F.max_by(F.struct(*rest), rank).alias("_row")).select(*[F.col(c) if c in keys else F.col(f"_row.{c}") for c in df.columns])
 
 
 def keep_first_slim(df: DataFrame, identity: Column, key: str, order: list[str]) -> DataFrame:

@@ -71,7 +71,8 @@ def balanced_fill(df: DataFrame, group: str, order: list[Column], target: int, f
     sizes = group_sizes(df, group)
     least = int(floor_share * (target // max(len(sizes), 1)))
     rank = F.row_number().over(Window.partitionBy(group).orderBy(*order))
-    return df.withColumn("_r", rank).orderBy(F.col("_r") > least, "_r", group).limit(target).drop("_r")
+    # no group gives more than the target: the filter lets each task keep that many rows per group before the shuffle
+    return df.withColumn("_r", rank).filter(F.col("_r") <= target).orderBy(F.col("_r") > least, "_r", group).limit(target).drop("_r")
 
 
 def greedy_domains(df: DataFrame, domain: str, identity: str, order: Column, total: int) -> DataFrame:

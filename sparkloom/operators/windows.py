@@ -46,7 +46,7 @@ def first_in_group_then_fill(df: DataFrame, group: str, key: str, first: Column,
 
 def interleave(df: DataFrame, group: str, order: list[Column], limit: int) -> DataFrame:
     """Round robin over the groups in their order: the first of each, the second of each, ... up to ``limit`` rows."""
-    ranked = rank_in(df, [group], order, "_turn")
+    ranked = rank_in(df, [group], order, "_turn").filter(F.col("_turn") <= limit)  # pushed below the shuffle as a group limit
     return ranked.orderBy("_turn", group).limit(limit).drop("_turn")
 
 
