@@ -101,11 +101,17 @@ def prose(text: str) -> str:
     return "\n".join(kept)
 
 
+_HAN = re.compile("[一-鿿]")
+_LATIN = re.compile(r"[^\W\d_一-鿿]+")
+_GERMAN, _SPANISH = re.compile("[äöüß]"), re.compile("[ñáíóúé]")
+
+
 def language(text: str) -> str | None:
     """zh, en, de, es or fr by script and function words; None when there is too little to tell."""
-    body = prose(text)
-    han = sum("一" <= c <= "鿿" for c in body)
-    words = re.findall(r"[^\W\d_]+", re.sub(r"[一-鿿]", " ", body.lower()))
+    body = prose(text).lower()
+    han, words = len(_HAN.findall(body)), _LATIN.findall(body)
+    if han and han >= 2 * len(words):
+        return "zh" if han >= 4 else None
     latin = [w for w in words if len(w) > 1 or w in _WORDS]
     if han and han >= 2 * len(latin):
         return "zh" if han >= 4 else None
@@ -113,12 +119,12 @@ def language(text: str) -> str | None:
         return None
     score = dict.fromkeys(WORDS, 0.0)
     for w in latin:
-        for lang in _WORDS.get(w, ()):
-            score[lang] += 1 / len(_WORDS[w])
-        if re.search("[äöüß]", w):
-            score["de"] += 0.7
-        if re.search("[ñáíóúé]", w):
-            score["es"] += 0.4
+        if w in _WORDS:
+            for lang in _WORDS[w]:
+                score[lang] += 1 / len(_WORDS[w])
+    if not body.isascii():
+        score["de"] += 0.7 * sum(bool(_GERMAN.search(w)) for w in latin)
+        score["es"] += 0.4 * sum(bool(_SPANISH.search(w)) for w in latin)
     order = sorted(score, key=score.get, reverse=True)
     best, second = order[0], order[1]
     if score[best] >= 1.5 and score[best] >= 1.5 * score[second] + 0.5:
@@ -148,13 +154,17 @@ def is_refusal(answer: str) -> bool:
 
 
 def is_copied(question: str, answer: str, share: float = 0.8, least: int = 5) -> bool:
-    a, q = tokens(unicodedata.normalize("NFKC", answer)), tokens(unicodedata.normalize("NFKC", question))
+    a, q = tokens(answer if answer.isascii() else unicodedata.normalize("NFKC", answer)), tokens(question if question.isascii() else unicodedata.normalize("NFKC", question))
     if a[:1] in (["question"], ["frage"], ["pregunta"], ["prompt"]):
         a = a[1:]
     if a[:2] in (["问", "题"], ["题", "目"], ["提", "问"]):
         a = a[2:]
     if len(a) < least or len(q) < 3:
         return False
+    known = set(q)
+    # a run needs all three of its tokens in the question
+    if sum(w in known for w in a) < share * (len(a) - 2):
+        return False
     runs = set(zip(q, q[1:], q[2:]))
     mine = list(zip(a, a[1:], a[2:]))
     return sum(r in runs for r in mine) >= share * len(mine)
