@@ -93,3 +93,48 @@ def run_counts(df: DataFrame, text_of, k: int) -> np.ndarray:
     for row in sums.collect():
         out[row["slice"] * width : (row["slice"] + 1) * width] = np.frombuffer(zlib.decompress(bytes(row["codes"])), np.uint8)
     return out
+
+
+MOST_KEY_BITS = 26
+
+
+def key_slots(keys: np.ndarray, bits: int) -> np.ndarray:
+    """Bit of each 64-bit key in a table of 2**bits bits."""
+    return (keys >> np.uint64(64 - bits)).astype(np.int64)
+
+
+def key_bits(df: DataFrame, keys: str, per_row: int = 512) -> np.ndarray:
+    """One bit per hash slot: whether any row's array ``keys`` has a key there.  8 MB at most, whatever the number of keys.
+
+    A slot without a bit proves that a key is absent; with more keys than slots it only proves less.
+    """
+    bits = min(max(int(df.count() * per_row).bit_length(), LEAST_BITS), MOST_KEY_BITS)
+    width = (1 << bits) // SLICES
+
+    def mark(batches):
+        have = np.zeros(1 << bits, bool)
+        for batch in batches:
+            have[key_slots(batch.column(0).flatten().to_numpy(zero_copy_only=False).view(np.uint64), bits)] = True
+        part = TaskContext.get().partitionId() if TaskContext.get() else 0
+        if have.any():
+            cut = [zlib.compress(np.packbits(have[s * width : (s + 1) * width]).tobytes(), 1) for s in range(SLICES)]
+            yield pa.RecordBatch.from_arrays([pa.array(range(SLICES), pa.int32()), pa.array([part % 61] * SLICES, pa.int32()), pa.array(cut, pa.binary())], names=["slice", "part", "counts"])
+
+    def merge(t: pa.Table) -> pa.Table:
+        out = np.zeros(width // 8, np.uint8)
+        for x in t.column("counts").to_pylist():
+            out |= np.frombuffer(zlib.decompress(x), np.uint8)
+        return pa.table([t.column("slice").slice(0, 1), t.column("part").slice(0, 1), pa.array([zlib.compress(out.tobytes(), 1)], pa.binary())], names=["slice", "part", "counts"])
+
+    schema = "slice int, part int, counts binary"
+    sums = df.select(keys).mapInArrow(mark, schema).groupBy("slice", "part").applyInArrow(merge, schema).groupBy("slice").applyInArrow(merge, schema)
+    out = np.zeros((1 << bits) // 8, np.uint8)
+    for row in sums.collect():
+        out[row["slice"] * width // 8 : (row["slice"] + 1) * width // 8] = np.frombuffer(zlib.decompress(bytes(row["counts"])), np.uint8)
+    return out
+
+
+def has_key(keys: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """Whether each key's slot has a bit (packed as by key_bits)."""
+    at = key_slots(keys, (len(table) * 8).bit_length() - 1)
+    return (table[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1

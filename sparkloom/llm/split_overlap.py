@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from .common import SENT_ROWS, cut_lineage, latest_rows, small
 from .kernels import Tokens, mix, pieces, set_signature, winnow
-from .rarity import estimated, order_of, run_counts
+from .rarity import estimated, has_key, key_bits, order_of, run_counts
 from .set_join import RUN, least_overlap, likeness, signed, verify_pairs
 
 WINDOW, SLACK, SHORT, SEEDS, HEAVY = 4, 6, 20, 3, 16
@@ -170,11 +170,27 @@ def fingerprints(rows: DataFrame, text_of, counts: np.ndarray, threshold: float,
 def seed_pairs(prints: DataFrame, threshold: float) -> DataFrame:
     """Distinct pairs (a1, b1) of first class halves, train and other, whose common seeds allow the threshold.
 
-    A joined row is (key, c1, n and mark in one number); the second halves of the classes are looked up for the few pairs left.
+    Seeds whose key the other side cannot have, by a table of one bit per hash slot, are left out before the shuffle.  A joined
+    row is (key, c1, n and mark in one number); the second halves of the classes are looked up for the few pairs left.
     """
-    packed = F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.col("s.marks").cast("long"))
-    posts = prints.filter(F.size("keys") > 0).select("train", "c1", "n", F.explode(F.arrays_zip("keys", "marks")).alias("s"))
-    posts = posts.select("train", F.col("s.keys").alias("key"), "c1", packed.alias("p"))
+    sent = prints.filter(F.size("keys") > 0)
+    sides = {flag: key_bits(sent.filter(F.col("train") != flag), "keys") for flag in (True, False)}
+    other = prints.sparkSession.sparkContext.broadcast(sides)
+
+    def run(batches):
+        for batch in batches:
+            keys = batch.column("keys")
+            flat = keys.flatten().to_numpy(zero_copy_only=False)
+            row = np.repeat(np.arange(batch.num_rows), np.diff(keys.offsets.to_numpy()))
+            train = batch.column("train").to_numpy(zero_copy_only=False).astype(bool)[row]
+            may = np.where(train, has_key(flat.view(np.uint64), other.value[True]), has_key(flat.view(np.uint64), other.value[False]))
+            row, flat = row[may], flat[may]
+            n = batch.column("n").to_numpy().astype(np.int64)[row]
+            mark = batch.column("marks").flatten().to_numpy(zero_copy_only=False).astype(np.int64)[may]
+            own = pa.array(row)
+            yield pa.RecordBatch.from_arrays([batch.column("train").take(own), pa.array(flat), batch.column("c1").take(own), pa.array((n << 32) | mark)], names=["train", "key", "c1", "p"])
+
+    posts = sent.select("train", "c1", "n", "keys", "marks").mapInArrow(run, "train boolean, key long, c1 long, p long")
     side = lambda flag, c, p: posts.filter(F.col("train") == flag).select("key", F.col("c1").alias(c), F.col("p").alias(p))
     count = lambda p: F.shiftright(p, 32)
     left = lambda p: F.shiftright(F.col(p).bitwiseAND(F.lit(0xFFFFFFFF)), 1)
