@@ -104,10 +104,15 @@ def gram_overlap(docs: DataFrame, refs: DataFrame, doc: str, ref: str, text: str
     Grams are joined by 64-bit hash.  Sizes travel with the grams, so there is one shuffle for the join and one for the count.
     Grams that references do not have are dropped on the map side when the reference grams are few enough to be sent.
     """
-    g = T.grams(T.word_tokens(F.col(text)), n)
 
     def exploded(df: DataFrame, key: str, size: str) -> DataFrame:
-        return df.select(key, g.alias("_g")).select(key, F.size("_g").alias(size), F.explode("_g").alias("_x")).select(key, size, F.xxhash64("_x").alias("_x"))
+        # tokens and grams are columns of their own: inside a lambda they would be computed again for every element
+        staged = df.select(key, T.word_tokens(F.col(text)).alias("_t")).select(key, T.grams(F.col("_t"), n).alias("_g"))
+        # the size is taken before the explode, which would else carry the whole list along with every entry
+        sized = staged.select(key, F.size("_g").alias(size), "_g")
+        # explode would infer a filter on the list and push it into the scan, where the lambda holds the tokeniser itself
+        each = sized.select(key, size, F.explode_outer("_g").alias("_x")).filter("_x is not null")
+        return each.select(key, size, F.xxhash64("_x").alias("_x"))
 
     pairs = exploded(docs, doc, "doc_grams").join(small(exploded(refs, ref, "ref_grams")), "_x").groupBy(doc, ref, "doc_grams", "ref_grams").agg(F.count("*").alias("common"))
     return pairs.select(
