@@ -1,18 +1,14 @@
 """Problem 2: records of evaluation splits that also stand, exactly or almost, in the train split.
 
-Method: winnowing fingerprints.  The fingerprints of a record are the minima of its 3-token runs over windows of four runs,
-under one global order (rarest run first, then rolling hash), so any stretch of six tokens that two records have in common
-gives them a common fingerprint.  Fingerprints of the train split are joined with those of the other splits; the common seeds
-of a pair are chained in order, extended by alignment to both sides and turned into a coverage of each record; an exact
-likeness decides.
-
-What bounds the join: a pair of likeness t needs ceil(t / (1 + t) * (a + b)) common runs, so its rarest common runs have small
-ranks in both records.  Fingerprints of larger rank are not joined, a joined pair of ranks that cannot belong to one of the
-``SLACK`` rarest common runs is dropped at once, and a pair needs ``SEEDS`` such seeds to go on.  A pair is therefore found
-when ``SEEDS`` of its ``SLACK`` rarest common runs are minima in common stretches.  A run that occurs more than ``HEAVY`` times
-is not joined alone but together with the minimum before and behind it (and counts as two seeds), so no list of the join grows
-with the collection.  Texts of under ``SHORT`` runs are fingerprinted without windows (every run) and need one seed per four
-common runs that the threshold asks for.
+Method: the runs of three tokens of a record, in one global order (rarest run first, then rolling hash).  Runs of the train
+split are joined with those of the other splits, and the exact likeness of the pairs that meet decides.  The winnowed runs that
+a found pair has in common (minima over windows of four runs) are chained in order and extended by alignment to both sides,
+which gives the coverage of each record.
+
+What bounds the join: a pair of likeness t has at least ceil(t / (1 + t) * (a + b)) common runs, so its ``DEGREE`` rarest common
+runs stand among the first n - ceil(t * n) + DEGREE runs of either record.  Only these are joined, a joined pair of ranks that
+cannot belong to one of the ``DEGREE`` rarest common runs is dropped at once, and a pair must meet in ``DEGREE`` runs (or in as
+many as the threshold asks for, if fewer).  No pair is lost, however frequent its runs are and however short its texts.
 
 Equal run sets form one class; a task sends the fingerprints of a class once, so a group of copies of any size costs a few
 rows per task, and only the final list of pairs expands it.
@@ -32,11 +28,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import SENT_ROWS, cut_lineage, latest_rows, small
-from .kernels import Tokens, mix, pieces, set_signature, winnow
-from .rarity import estimated, has_key, key_bits, order_of, run_counts
+from .kernels import Tokens, pieces, set_signature, winnow
+from .rarity import has_key, key_bits, order_of, run_counts
 from .set_join import RUN, least_overlap, likeness, signed, verify_pairs
 
-WINDOW, SLACK, SHORT, SEEDS, HEAVY = 4, 6, 20, 3, 16
+WINDOW, DEGREE = 4, 3
 
 
 def evidence_text(raw: str | None) -> str:
@@ -90,12 +86,12 @@ def _evidence_texts(batch: pa.RecordBatch) -> list[str]:
     return [evidence_text(x) for x in batch.column("evidence").to_pylist()]
 
 
-def _seeds(grams: np.ndarray, bounds: np.ndarray, table: np.ndarray, threshold: float, heavy: float):
-    """Seeds of some texts: (text, key, rank, weight) arrays, and each text's number of distinct runs and set signature."""
+def _seeds(grams: np.ndarray, bounds: np.ndarray, table: np.ndarray, threshold: float):
+    """The prefix of degree DEGREE of some texts: (text, run) arrays, rarest first, and each text's number of distinct runs and
+    set signature."""
     count = np.diff(bounds)
     where = np.repeat(np.arange(len(count)), count)
     order = order_of(grams, table)
-    chosen = winnow(order, bounds, WINDOW) | np.repeat(count < SHORT, count)
     at = np.lexsort((order, where))
     first = np.ones(len(at), bool)
     first[1:] = (order[at][1:] != order[at][:-1]) | (where[at][1:] != where[at][:-1])
@@ -103,31 +99,16 @@ def _seeds(grams: np.ndarray, bounds: np.ndarray, table: np.ndarray, threshold:
     size = np.bincount(text, minlength=len(count))
     low = np.zeros(len(count) + 1, np.int64)
     np.cumsum(size, out=low[1:])
-    rank = np.empty(len(at), np.int64)
-    rank[at] = np.cumsum(first) - 1 - low[where[at]]
-    limit = size - np.ceil(threshold * size - 1e-9).astype(np.int64) + SLACK
-    # the minima in order of the text; those that may be among the rarest common runs are used
-    spot = np.flatnonzero(chosen)
-    g, t, r = grams[spot], where[spot], rank[spot]
-    used = r < limit[t]
-    often = estimated(g, table) > heavy
-    single = used & ~often
-    pair = np.flatnonzero((t[1:] == t[:-1]) & ((used & often)[1:] | (used & often)[:-1])) if len(spot) > 1 else np.zeros(0, np.int64)
-    key = np.concatenate([g[single], mix(mix(g[pair]) + g[pair + 1])])
-    owner = np.concatenate([t[single], t[pair]])
-    weight = np.concatenate([np.ones(int(single.sum()), np.int32), np.full(len(pair), 2, np.int32)])
-    ranks = np.concatenate([r[single], np.minimum(r[pair], r[pair + 1])])
-    at = np.lexsort((ranks, key, owner))
-    key, owner, weight, ranks = key[at], owner[at], weight[at], ranks[at]
-    first = np.ones(len(at), bool)
-    first[1:] = (key[1:] != key[:-1]) | (owner[1:] != owner[:-1])
-    return (owner[first], key[first], ranks[first], weight[first]), size, set_signature(values, low)
+    rank = np.arange(len(text)) - low[text]
+    limit = size - np.ceil(threshold * size - 1e-9).astype(np.int64) + DEGREE
+    used = rank < limit[text]
+    return (text[used], values[used]), size, set_signature(values, low)
 
 
-def fingerprints(rows: DataFrame, text_of, counts: np.ndarray, threshold: float, k: int = RUN, heavy: float = HEAVY) -> DataFrame:
-    """One row (rid, train, c1, c2, n, keys, marks) per record that has a text; ``rows`` has rid, train and what text_of reads.
+def fingerprints(rows: DataFrame, text_of, counts: np.ndarray, threshold: float, k: int = RUN) -> DataFrame:
+    """One row (rid, train, c1, c2, n, keys) per record that has a text; ``rows`` has rid, train and what text_of reads.
 
-    A seed's mark is 2 * (n - rank) + (weight - 1).  A class that this task has already sent has empty lists."""
+    The keys stand in the order of their rank.  A class that this task has already sent has none."""
     shared = rows.sparkSession.sparkContext.broadcast(counts)
 
     def run(batches):
@@ -140,7 +121,7 @@ def fingerprints(rows: DataFrame, text_of, counts: np.ndarray, threshold: float,
                 grams, bounds = Tokens(texts[i:j]).grams(k)
                 if not len(grams):
                     continue
-                (text, key, rank, weight), size, (a, b) = _seeds(grams, bounds, table, threshold, heavy)
+                (text, key), size, (a, b) = _seeds(grams, bounds, table, threshold)
                 a, b = signed(a), signed(b)
                 have = np.flatnonzero(size)
                 fresh = np.zeros(j - i, bool)
@@ -153,25 +134,24 @@ def fingerprints(rows: DataFrame, text_of, counts: np.ndarray, threshold: float,
                 keep = fresh[text]
                 at = np.zeros(j - i + 1, np.int32)
                 np.cumsum(np.bincount(text[keep], minlength=j - i), out=at[1:])
-                mark = (2 * (size[text] - rank) + weight - 1).astype(np.int32)
-                lists = [pa.ListArray.from_arrays(pa.array(at), pa.array(x[keep])) for x in (signed(key), mark)]
+                keys = pa.ListArray.from_arrays(pa.array(at), pa.array(signed(key[keep])))
                 out = pa.RecordBatch.from_arrays(
-                    [batch.column("rid").slice(i, j - i), batch.column("train").slice(i, j - i), pa.array(a), pa.array(b), pa.array(size.astype(np.int32)), *lists],
-                    names=["rid", "train", "c1", "c2", "n", "keys", "marks"],
+                    [batch.column("rid").slice(i, j - i), batch.column("train").slice(i, j - i), pa.array(a), pa.array(b), pa.array(size.astype(np.int32)), keys],
+                    names=["rid", "train", "c1", "c2", "n", "keys"],
                 )
                 yield out.take(pa.array(have))
 
     kind = rows.schema["rid"].dataType.simpleString()
     return rows.mapInArrow(
-        run, f"rid {kind}, train boolean, c1 long, c2 long, n int, keys array<long>, marks array<int>"
+        run, f"rid {kind}, train boolean, c1 long, c2 long, n int, keys array<long>"
     )
 
 
 def seed_pairs(prints: DataFrame, threshold: float) -> DataFrame:
-    """Distinct pairs (a1, b1) of first class halves, train and other, whose common seeds allow the threshold.
+    """Distinct pairs (a1, b1) of first class halves, train and other, whose common runs allow the threshold.
 
-    Seeds whose key the other side cannot have, by a table of one bit per hash slot, are left out before the shuffle.  A joined
-    row is (key, c1, n and mark in one number); the second halves of the classes are looked up for the few pairs left.
+    Runs that the other side cannot have, by a table of one bit per hash slot, are left out before the shuffle.  A joined row is
+    (key, c1, n and n - rank in one number); the second halves of the classes are looked up for the few pairs left.
     """
     sent = prints.filter(F.size("keys") > 0)
     sides = {flag: key_bits(sent.filter(F.col("train") != flag), "keys") for flag in (True, False)}
@@ -181,26 +161,26 @@ def seed_pairs(prints: DataFrame, threshold: float) -> DataFrame:
         for batch in batches:
             keys = batch.column("keys")
             flat = keys.flatten().to_numpy(zero_copy_only=False)
-            row = np.repeat(np.arange(batch.num_rows), np.diff(keys.offsets.to_numpy()))
+            start = keys.offsets.to_numpy().astype(np.int64)
+            row = np.repeat(np.arange(batch.num_rows), np.diff(start))
+            rank = np.arange(len(flat)) - (start[:-1] - start[0])[row]
             train = batch.column("train").to_numpy(zero_copy_only=False).astype(bool)[row]
             may = np.where(train, has_key(flat.view(np.uint64), other.value[True]), has_key(flat.view(np.uint64), other.value[False]))
-            row, flat = row[may], flat[may]
+            row, flat, rank = row[may], flat[may], rank[may]
             n = batch.column("n").to_numpy().astype(np.int64)[row]
-            mark = batch.column("marks").flatten().to_numpy(zero_copy_only=False).astype(np.int64)[may]
             own = pa.array(row)
-            yield pa.RecordBatch.from_arrays([batch.column("train").take(own), pa.array(flat), batch.column("c1").take(own), pa.array((n << 32) | mark)], names=["train", "key", "c1", "p"])
+            yield pa.RecordBatch.from_arrays([batch.column("train").take(own), pa.array(flat), batch.column("c1").take(own), pa.array((n << 32) | (n - rank))], names=["train", "key", "c1", "p"])
 
-    posts = sent.select("train", "c1", "n", "keys", "marks").mapInArrow(run, "train boolean, key long, c1 long, p long")
+    posts = sent.select("train", "c1", "n", "keys").mapInArrow(run, "train boolean, key long, c1 long, p long")
     side = lambda flag, c, p: posts.filter(F.col("train") == flag).select("key", F.col("c1").alias(c), F.col("p").alias(p))
     count = lambda p: F.shiftright(p, 32)
-    left = lambda p: F.shiftright(F.col(p).bitwiseAND(F.lit(0xFFFFFFFF)), 1)
+    left = lambda p: F.col(p).bitwiseAND(F.lit(0xFFFFFFFF))
     need = least_overlap(count("pa"), count("pb"), threshold)
-    fits = (F.least(left("pa"), left("pb")) + (SLACK - 1) >= need) & (F.least(count("pa"), count("pb")) >= need)
+    fits = (F.least(left("pa"), left("pb")) + (DEGREE - 1) >= need) & (F.least(count("pa"), count("pb")) >= need)
     met = side(True, "a1", "pa").join(side(False, "b1", "pb"), "key").filter(fits)
     # a class sent by several tasks only raises the count
-    weight = F.col("pa").bitwiseAND(F.lit(1)) + 1
-    by = met.groupBy("a1", "b1").agg(F.sum(weight).alias("_k"), F.min(need).alias("_need"))
-    return by.filter(F.col("_k") >= F.greatest(F.lit(1), F.least(F.lit(SEEDS), F.floor(F.col("_need") / 4)))).select("a1", "b1")
+    by = met.groupBy("a1", "b1").agg(F.count("*").alias("_k"), F.min(need).alias("_need"))
+    return by.filter(F.col("_k") >= F.least(F.lit(DEGREE), F.col("_need"))).select("a1", "b1")
 
 
 def chain(a: np.ndarray, b: np.ndarray, seeds: list[tuple[int, int]]) -> int:

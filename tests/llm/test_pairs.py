@@ -118,6 +118,25 @@ def test_split_overlaps_equal_brute_force(spark):
     assert sum(r["overlapping"] for r in report) == len({x for p in want for x in p})
 
 
+@pytest.mark.parametrize("times", [1, 1000])
+def test_split_overlaps_of_frequent_runs_across_a_length(spark, times):
+    # texts of 16 to 21 runs against themselves plus one token; every run stands in the table ``times`` times
+    rng = random.Random(8)
+    rows, want = [], set()
+    for i in range(40):
+        w = [f"f{i}x{rng.randrange(900)}" for _ in range(18 + i % 6)]
+        at = rng.randrange(len(w) + 1)
+        more = [*w[:at], "added", *w[at:]]
+        if like(" ".join(w), " ".join(more)) >= 0.6:
+            want.add((f"a{i}", f"b{i}"))
+        rows += [(f"a{i}", "train", " ".join(w)), (f"b{i}", "test", " ".join(more))]
+        # the runs are made frequent by one record that has them again and again
+        rows.append((f"c{i}", "train", " ".join([*w, *more] * (times // 2) + [f"c{i}y{j}" for j in range(200)])))
+    df = spark.createDataFrame([(r, s, "src", None, evidence(t), NOW) for r, s, t in rows], "trace_id string, split string, source_dataset string, sample_hash string, evidence_items_json string, created_ts timestamp")
+    got = {(r["train_id"], r["other_id"]) for r in split_overlap.split_overlaps(df).collect()}
+    assert got == want and len(want) > 35
+
+
 def test_evidence_and_digest_forms(spark):
     assert split_overlap.evidence_text('[{"rank": 2, "text": "b"}, {"rank": 1, "text": "a"}, {"text": "z"}, 5]') == "a b z"
     assert split_overlap.evidence_text("[1") == split_overlap.evidence_text(None) == split_overlap.evidence_text("7") == ""
