@@ -137,6 +137,14 @@ def test_split_overlaps_of_frequent_runs_across_a_length(spark, times):
     assert got == want and len(want) > 35
 
 
+@pytest.mark.parametrize("copies", [15, 17, 1000])
+def test_equal_three_token_texts_of_any_number(spark, copies):
+    rows = [(f"a{i}", "train", "no evidence given") for i in range(copies)] + [("b", "test", "No evidence, given"), ("c", "gate", "no evidence")]
+    df = spark.createDataFrame([(r, s, "src", None, evidence(t), NOW) for r, s, t in rows], "trace_id string, split string, source_dataset string, sample_hash string, evidence_items_json string, created_ts timestamp")
+    got = [(r["train_id"], r["other_id"], r["likeness"], r["coverage_train"]) for r in split_overlap.split_overlaps(df).collect()]
+    assert sorted(got) == sorted((f"a{i}", "b", 1.0, 1.0) for i in range(copies))
+
+
 def test_evidence_and_digest_forms(spark):
     assert split_overlap.evidence_text('[{"rank": 2, "text": "b"}, {"rank": 1, "text": "a"}, {"text": "z"}, 5]') == "a b z"
     assert split_overlap.evidence_text("[1") == split_overlap.evidence_text(None) == split_overlap.evidence_text("7") == ""
