@@ -13,8 +13,8 @@ What each rule looks at (whole texts):
 * copied: nearly all runs of three tokens of the answer stand in the question;
 * other_language: the prose of the answer is in another language than that of the question, which names no other language;
 * truncated: open code fence or bracket in code, an announced list with too few entries, an ellipsis or a joining sign at the end, or prose
-  whose last sentence has no end; an unfinished short piece counts when it is a shortened version of a longer answer or has a
-  length limit's length.
+  whose last sentence has no end; any other answer but a bare result counts when it is a shortened version of a longer answer,
+  and an unfinished short piece also when it has a length limit's length.
 
 Defined results: a null answer is empty; a null or missing user message can neither be copied nor set a language; a sample_id
 counts once, with its latest version.
@@ -264,18 +264,32 @@ def end_state(answer: str) -> str:
     return "cut"
 
 
-def row_defect(question: str | None, answer: str | None) -> tuple[str | None, bool]:
-    """The defect that the pair shows by itself, and whether its end is open (to be decided by the collection)."""
+def is_bare(answer: str) -> bool:
+    """Only a result or an option letter, or an end in a result line: a longer answer that begins alike does not continue it."""
+    text = answer.strip()
+    if _RESULT.search(text.rsplit("\n", 1)[-1].strip()):
+        return True
+    words = tokens(text)
+    if len(words) >= 5 or is_code(text) or text.endswith("```"):
+        return False
+    return text.rstrip(_CLOSERS)[-1:] not in _ENDS or any(w in "abcd" or w[0].isdigit() for w in words)
+
+
+def row_defect(question: str | None, answer: str | None) -> tuple[str | None, str | None]:
+    """The defect that the pair shows by itself; without one, what the collection may decide: ``open``, ``done``, or None for
+    a bare result."""
     if is_empty(answer):
-        return "empty", False
+        return "empty", None
     if is_refusal(answer):
-        return "refusal", False
+        return "refusal", None
     if question and is_copied(question, answer):
-        return "copied", False
+        return "copied", None
     if question and other_language(question, answer):
-        return "other_language", False
+        return "other_language", None
     state = end_state(answer)
-    return ("truncated", False) if state == "cut" else (None, state == "open")
+    if state == "cut":
+        return "truncated", None
+    return None, None if state == "done" and is_bare(answer) else state
 
 
 def pairs(data: DataFrame) -> DataFrame:
@@ -334,19 +348,18 @@ def defects(data: DataFrame) -> DataFrame:
             made = [row_defect(q, a) for q, a in zip(batch.column("question").to_pylist(), answers)]
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column("rid"), pa.array([d for d, _ in made], pa.string()), pa.array([o for _, o in made], pa.bool_()),
+                    batch.column("rid"), pa.array([d for d, _ in made], pa.string()), pa.array([x for _, x in made], pa.string()),
                     pa.array([len(a or "") for a in answers], pa.int64()), batch.column("answer_hash"),
                 ],
-                names=["rid", "defect", "open", "n_chars", "answer_hash"],
+                names=["rid", "defect", "state", "n_chars", "answer_hash"],
             )
 
     keyed = rows.withColumn("answer_hash", F.xxhash64("answer")).select("rid", "question", "answer", "answer_hash")
     kind = rows.schema["rid"].dataType.simpleString()
-    judged = cut_lineage(keyed.mapInArrow(run, f"rid {kind}, defect string, open boolean, n_chars long, answer_hash long").distinct())
+    judged = cut_lineage(keyed.mapInArrow(run, f"rid {kind}, defect string, state string, n_chars long, answer_hash long").distinct())
     sure = judged.filter("defect is not null").select("rid", "defect")
-    maybe = judged.filter("open")
-    short = maybe.join(shortened(rows.select("answer")), "answer_hash", "left_semi").select("rid")
-    spike = maybe.join(length_limits(judged), "n_chars", "left_semi").select("rid")
+    short = judged.filter("state is not null").join(shortened(rows.select("answer")), "answer_hash", "left_semi").select("rid")
+    spike = judged.filter("state = 'open'").join(length_limits(judged), "n_chars", "left_semi").select("rid")
     found = sure.union(short.union(spike).select("rid", F.lit("truncated").alias("defect")))
     return found.groupBy(F.col("rid").alias("sample_id")).agg(F.min("defect").alias("defect"))
 

@@ -61,3 +61,17 @@ def test_shortened_finds_every_prefix(spark):
 def test_length_limits(spark):
     df = spark.createDataFrame([(200, "truncated", False)] * 25 + [(200, None, False)] * 5 + [(90, None, False)] * 50, "n_chars long, defect string, open boolean")
     assert [r[0] for r in R.length_limits(df).collect()] == [200]
+
+
+def test_a_shortened_list_or_code_answer_is_truncated(spark):
+    schema = "sample_id string, messages array<struct<role: string, content: string>>, answer string, created_ts timestamp"
+    code = "def f(values):\n    if not values:\n        return 0"
+    listed = "First check the fuse. Then check the feeder."
+    answers = {
+        "list": listed, "list_full": listed + " Then call the crew.", "code": code, "code_full": code + "\n    return max(values)", "short": "The fuse blew.", "short_full": "The fuse blew. The crew replaced it.",
+        "letter": "B", "letter_dot": "B.", "letter_full": "B. The fuse blew and was replaced.", "number": "855", "number_full": "855 crates", "unit": "共650箱", "unit_full": "共650箱货物已经送到四号门。",
+        "line": "12 x 3 makes that many.\n#### 36", "line_full": "12 x 3 makes that many.\n#### 365", "refusal": "I'm sorry, but I can't help with this request.", "refusal_full": "I'm sorry, but I can't help with this request. The crew replaced the fuse.",
+    }
+    df = spark.createDataFrame([(k, [("user", ZH if "unit" in k else Q)], a, NOW) for k, a in answers.items()], schema)
+    got = {r["sample_id"]: r["defect"] for r in R.defects(df).collect()}
+    assert got == {"list": "truncated", "code": "truncated", "short": "truncated", "refusal": "refusal"}
