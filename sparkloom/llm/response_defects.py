@@ -2,7 +2,7 @@
 
 Method: distinct answers are sorted by text over the whole collection and each is compared with the next one: an answer that is
 a proper prefix of its neighbour may be a shortened version (an extension of a text always sorts directly behind it, so one
-comparison finds it).  Lengths at which unfinished answers pile up are length limits.  These two are evidence beside the form
+comparison finds it).  Lengths at which more unfinished answers pile up than at the lengths beside them are length limits.  These two are evidence beside the form
 of the answer's end; copy, refusal and language rules follow.  An answer gets the first defect of empty, refusal, copied,
 other_language, truncated that applies.
 
@@ -332,10 +332,17 @@ def shortened(answers: DataFrame) -> DataFrame:
     return met.filter("not last").select("answer").union(edge.select("answer")).select(F.xxhash64("answer").alias("answer_hash")).distinct()
 
 
-def length_limits(judged: DataFrame, share: float = 0.5, least: int = 20) -> DataFrame:
-    """(n_chars) of the lengths at which at least ``least`` answers are certainly cut and make up ``share`` of that length."""
+def length_limits(judged: DataFrame, share: float = 0.5, times: float = 4.0, near: int = 5) -> DataFrame:
+    """(n_chars) of the lengths at which cut answers pile up, whatever the size of the table.
+
+    More than one answer of the length is certainly cut, these make up ``share`` of that length, and they are at least ``times``
+    as many as the mean of the ``near`` lengths on either side.
+    """
     by = judged.groupBy("n_chars").agg(F.count("*").alias("n"), F.count_if(F.col("defect") == "truncated").alias("cut"))
-    return by.filter((F.col("cut") >= least) & (F.col("cut") >= F.lit(share) * F.col("n"))).select("n_chars")
+    piles = by.filter((F.col("cut") > 1) & (F.col("cut") >= F.lit(share) * F.col("n")))
+    beside = by.filter("cut > 0").select(F.explode(F.array(*[F.col("n_chars") + d for d in range(-near, near + 1) if d])).alias("n_chars"), F.col("cut").alias("other"))
+    around = beside.groupBy("n_chars").agg((F.sum("other") / (2 * near)).alias("mean"))
+    return piles.join(around, "n_chars", "left").filter(F.col("cut") >= F.lit(times) * F.coalesce("mean", F.lit(0.0))).select("n_chars")
 
 
 def defects(data: DataFrame) -> DataFrame:
@@ -359,7 +366,9 @@ def defects(data: DataFrame) -> DataFrame:
     judged = cut_lineage(keyed.mapInArrow(run, f"rid {kind}, defect string, state string, n_chars long, answer_hash long").distinct())
     sure = judged.filter("defect is not null").select("rid", "defect")
     short = judged.filter("state is not null").join(shortened(rows.select("answer")), "answer_hash", "left_semi").select("rid")
-    spike = judged.filter("state = 'open'").join(length_limits(judged), "n_chars", "left_semi").select("rid")
+    # copies of an answer have one length anyway; they are one answer here
+    limits = length_limits(judged.select("n_chars", "defect", "answer_hash").distinct())
+    spike = judged.filter("state = 'open'").join(limits, "n_chars", "left_semi").select("rid")
     found = sure.union(short.union(spike).select("rid", F.lit("truncated").alias("defect")))
     return found.groupBy(F.col("rid").alias("sample_id")).agg(F.min("defect").alias("defect"))
 

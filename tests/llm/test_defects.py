@@ -75,3 +75,23 @@ def test_a_shortened_list_or_code_answer_is_truncated(spark):
     df = spark.createDataFrame([(k, [("user", ZH if "unit" in k else Q)], a, NOW) for k, a in answers.items()], schema)
     got = {r["sample_id"]: r["defect"] for r in R.defects(df).collect()}
     assert got == {"list": "truncated", "code": "truncated", "short": "truncated", "refusal": "refusal"}
+
+
+@pytest.mark.parametrize("times", [1, 10, 200])
+def test_length_limits_are_the_same_at_every_size(spark, times):
+    spike = [(200, "truncated", False)] * 5 + [(200, None, False)]
+    even = [(n, "truncated", False) for n in range(80, 100)] * 2
+    df = spark.createDataFrame((spike + even + [(50, None, False)] * 3) * times, "n_chars long, defect string, open boolean")
+    assert [r[0] for r in R.length_limits(df).collect()] == [200]
+
+
+def test_a_small_table_has_a_length_limit(spark):
+    schema = "sample_id string, messages array<struct<role: string, content: string>>, answer string, created_ts timestamp"
+    cut = ["The fuse blew, the crew an", "The feeder broke and fell,", "A storm cut the main line,"]
+    answers = [*cut, cut[0], "Workers swapped a dry belt", "Workers replaced the old valve", "Lightning hit one of them,"]
+    df = spark.createDataFrame([(f"s{i}", [("user", Q)], a, NOW) for i, a in enumerate(answers)], schema)
+    got = {r["sample_id"]: r["defect"] for r in R.defects(df).collect()}
+    assert {len(a) for a in [*cut, answers[4]]} == {26} and got["s4"] == "truncated" and "s5" not in got
+    # copies of one cut answer are no limit
+    few = spark.createDataFrame([(f"s{i}", [("user", Q)], a, NOW) for i, a in enumerate([cut[0]] * 30 + [answers[4]])], schema)
+    assert R.defects(few).filter("sample_id = 's30'").count() == 0
