@@ -10,7 +10,7 @@ What each rule looks at (whole texts):
 
 * empty: nothing but signs, markup, invisible characters or a stand-in for a missing value;
 * refusal: one sentence declines in the first person and every other sentence is courtesy;
-* copied: nearly all runs of three tokens of the answer stand in the question;
+* copied: the answer is the question, or nearly all runs of three tokens of the answer stand in the question;
 * other_language: the prose of the answer is in another language than that of the question, which names no other language;
 * truncated: open code fence or bracket in code, an announced list with too few entries, an ellipsis or a joining sign at the end, or prose
   whose last sentence has no end; any other answer but a bare result counts when it is a shortened version of a longer answer,
@@ -146,7 +146,7 @@ def is_refusal(answer: str) -> bool:
     declined = False
     for p in parts:
         plain = p.replace("’", "'")
-        if _DECLINE.search(plain) and _ABOUT.search(plain) and len(tokens(p)) <= 45:
+        if _DECLINE.search(plain) and _ABOUT.search(plain):
             declined = True
         elif not _COURTESY.search(plain):
             return False
@@ -159,6 +159,8 @@ def is_copied(question: str, answer: str, share: float = 0.8, least: int = 5) ->
         a = a[1:]
     if a[:2] in (["问", "题"], ["题", "目"], ["提", "问"]):
         a = a[2:]
+    if a and a == q:
+        return True
     if len(a) < least or len(q) < 3:
         return False
     known = set(q)
@@ -189,10 +191,8 @@ def unfinished_list(answer: str) -> bool:
         return False
     word = next(g for g in m.groups() if g).lower()
     said = int(word) if word.isdigit() else _NUMBER.get(word, 0)
-    if said > 30:
-        return False
     after = answer[m.end() :]
-    seen = [int(x) for x in re.findall(r"(?:^|[\s。.;；])(\d{1,2})[.)、．](?=\s|\D)", " " + after)]
+    seen = [int(x) for x in re.findall(r"(?:^|[\s。.;；])(\d{1,9})[.)、．](?=\s|\D)", " " + after)]
     count = 0
     for x in seen:
         if x == count + 1:

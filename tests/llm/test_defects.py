@@ -95,3 +95,13 @@ def test_a_small_table_has_a_length_limit(spark):
     # copies of one cut answer are no limit
     few = spark.createDataFrame([(f"s{i}", [("user", Q)], a, NOW) for i, a in enumerate([cut[0]] * 30 + [answers[4]])], schema)
     assert R.defects(few).filter("sample_id = 's30'").count() == 0
+
+
+def test_rules_hold_at_every_length():
+    assert R.row_defect("Why it stopped?", "why it stopped")[0] == "copied" and R.row_defect("为何停机？", "为何停机")[0] == "copied"
+    assert R.row_defect("Why it stopped?", "It stopped.")[0] is None
+    long = "I'm sorry, but I cannot help with this request about " + ", ".join(f"pump number {i}" for i in range(20)) + "."
+    assert len(R.tokens(long)) > 45 and R.row_defect(Q, long)[0] == "refusal"
+    for n in (31, 120):
+        full = f"There are {n} steps. " + "\n".join(f"{i}. Check fuse {i}." for i in range(1, n + 1))
+        assert R.row_defect(Q, full)[0] is None and R.row_defect(Q, full[: full.rindex("\n")])[0] == "truncated"
