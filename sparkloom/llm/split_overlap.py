@@ -183,49 +183,78 @@ def seed_pairs(prints: DataFrame, threshold: float) -> DataFrame:
     return by.filter(F.col("_k") >= F.least(F.lit(DEGREE), F.col("_need"))).select("a1", "b1")
 
 
-def chain(a: np.ndarray, b: np.ndarray, seeds: list[tuple[int, int]]) -> int:
-    """Number of seeds in the longest chain that ascends in both texts."""
-    from bisect import bisect_left
-
-    tails: list[int] = []
-    for _, y in sorted(seeds, key=lambda s: (s[0], -s[1])):
-        at = bisect_left(tails, y)
-        tails[at : at + 1] = [y]
-    return len(tails)
+def chain(a: list[int], b: list[int]) -> int:
+    """Length of the longest chain of equal entries that ascends in both lists, with one bit per entry of ``b``."""
+    where: dict[int, int] = {}
+    for y, g in enumerate(b):
+        where[g] = where.get(g, 0) | 1 << y
+    full = (1 << len(b)) - 1
+    row = full
+    for g in a:
+        if hit := row & where.get(g, 0):
+            row = ((row + hit) | (row - hit)) & full
+    return len(b) - row.bit_count()
+
+
+def longest(ids: np.ndarray, own: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """For each position of ``own``, the most entries from there on that also stand from a position of ``other`` on.
+
+    Positions are ranked by the next 1, 2, 4, ... entries; the best partner is a neighbour in the last order.
+    """
+    levels = [np.unique(ids, return_inverse=True)[1] + 1]
+    n, h = len(ids), 1
+    while h < n and levels[-1].max() < n:
+        rank = levels[-1]
+        after = np.zeros(n, np.int64)
+        after[:-h] = rank[h:]
+        levels.append(np.unique(rank * (n + 1) + after, return_inverse=True)[1] + 1)
+        h *= 2
+    order = np.sort(levels[-1][other])
+    place = np.zeros(n + 2, np.int64)
+    place[levels[-1]] = np.arange(n)
+    at = np.searchsorted(order, levels[-1][own])
+    best = np.zeros(len(own), np.int64)
+    for pick in (np.maximum(at - 1, 0), np.minimum(at, len(order) - 1)):
+        x, y = own.copy(), place[order[pick]]
+        for j in range(len(levels) - 1, -1, -1):
+            same = (x < n) & (y < n)
+            same[same] = levels[j][x[same]] == levels[j][y[same]]
+            x, y = x + (same << j), y + (same << j)
+        best = np.maximum(best, x - own)
+    return best
 
 
 def align(left: str, right: str, k: int = RUN) -> tuple[float, float, int, int]:
     """Coverage of each text by extended seeds, the number of seeds, and of those in the longest collinear chain.
 
-    Seeds are common winnowed runs that occur once in either text; each grows to both sides while the tokens agree.
+    Seeds are the meetings of common winnowed runs, each occurrence with each; a seed grows to both sides while the tokens agree.
     """
     both = Tokens([left.lower(), right.lower()])
-    n, m = both.bounds[1], both.bounds[2] - both.bounds[1]
-    ta, tb = both.hashes[:n], both.hashes[n:]
+    n, m = int(both.bounds[1]), int(both.bounds[2] - both.bounds[1])
     grams, bounds = both.grams(k)
     keep = winnow(grams, bounds, WINDOW)
-    where: list[dict[int, int]] = [{}, {}]
-    for s in (0, 1):
-        count: dict[int, int] = {}
-        for p in np.flatnonzero(keep[bounds[s] : bounds[s + 1]]):
-            g = int(grams[bounds[s] + p])
-            count[g] = count.get(g, 0) + 1
-            where[s][g] = int(p)
-        where[s] = {g: p for g, p in where[s].items() if count[g] == 1}
-    seeds = [(p, where[1][g]) for g, p in where[0].items() if g in where[1]]
-    done_a, done_b = np.zeros(n, bool), np.zeros(m, bool)
-    for x, y in sorted(seeds):
-        if done_a[x] and done_b[y]:
-            continue
-        i, j = x, y
-        while i and j and ta[i - 1] == tb[j - 1]:
-            i, j = i - 1, j - 1
-        e, f = x + k, y + k
-        while e < n and f < m and ta[e] == tb[f]:
-            e, f = e + 1, f + 1
-        done_a[i:e] = True
-        done_b[j:f] = True
-    return done_a.sum() / max(n, 1), done_b.sum() / max(m, 1), len(seeds), chain(ta, tb, seeds)
+    spot = [np.flatnonzero(keep[bounds[s] : bounds[s + 1]]) for s in (0, 1)]
+    runs = [grams[bounds[s] + spot[s]] for s in (0, 1)]
+    held = [np.isin(runs[s], runs[1 - s]) for s in (0, 1)]
+    (p, q), (ga, gb) = (spot[s][held[s]] for s in (0, 1)), (runs[s][held[s]] for s in (0, 1))
+    if not len(p):
+        return 0.0, 0.0, 0, 0
+    _, ca = np.unique(ga, return_counts=True)
+    _, cb = np.unique(gb, return_counts=True)
+    # the texts with an end mark of their own each; read forwards from a seed's first token and backwards from its last
+    known = np.unique(both.hashes, return_inverse=True)[1]
+    ids = np.concatenate([known[:n], [n + m], known[n:], [n + m + 1]])
+    last = len(ids) - 1
+    back = np.concatenate([ids[:-1][::-1], ids[-1:]])
+    share = []
+    for own, other, size, low in ((p, q + n + 1, n, 0), (q + n + 1, p, m, n + 1)):
+        ahead = longest(ids, own, other)
+        behind = longest(back, last - 1 - (own + k - 1), last - 1 - (other + k - 1)) - k
+        step = np.zeros(size + 1, np.int64)
+        np.add.at(step, own - low - behind, 1)
+        np.add.at(step, own - low + ahead, -1)
+        share.append(float((np.cumsum(step)[:size] > 0).mean()))
+    return share[0], share[1], int((ca * cb).sum()), chain(ga.tolist(), gb.tolist())
 
 
 def like_classes(
@@ -247,11 +276,11 @@ def like_classes(
             "likeness": pa.array(like),
             "coverage_a": pa.array([m[0] for m in marks], pa.float64()),
             "coverage_b": pa.array([m[1] for m in marks], pa.float64()),
-            "seeds": pa.array([m[2] for m in marks], pa.int32()),
+            "seeds": pa.array([m[2] for m in marks], pa.int64()),
             "chained": pa.array([m[3] for m in marks], pa.int32()),
         }
 
-    schema = "likeness double, coverage_a double, coverage_b double, seeds int, chained int"
+    schema = "likeness double, coverage_a double, coverage_b double, seeds long, chained int"
     return verify_pairs(pairs, texts, measure, schema).filter(F.col("likeness") >= threshold)
 
 

@@ -145,6 +145,41 @@ def test_equal_three_token_texts_of_any_number(spark, copies):
     assert sorted(got) == sorted((f"a{i}", "b", 1.0, 1.0) for i in range(copies))
 
 
+def test_align_takes_every_occurrence_of_a_run():
+    from sparkloom.llm.kernels import Tokens, winnow
+
+    def slow(left, right):
+        both = Tokens([left, right])
+        w = [left.split(), right.split()]
+        g, bounds = both.grams(3)
+        keep = winnow(g, bounds, split_overlap.WINDOW)
+        at = [[(i - bounds[s], g[i]) for i in range(bounds[s], bounds[s + 1]) if keep[i]] for s in (0, 1)]
+        mark, seeds = [set(), set()], [(x, y) for x, a in at[0] for y, b in at[1] if a == b]
+        for x, y in seeds:
+            i, e = 0, 3
+            while x - i and y - i and w[0][x - i - 1] == w[1][y - i - 1]:
+                i += 1
+            while x + e < len(w[0]) and y + e < len(w[1]) and w[0][x + e] == w[1][y + e]:
+                e += 1
+            mark[0].update(range(x - i, x + e))
+            mark[1].update(range(y - i, y + e))
+        best = {}
+        for x, y in sorted(seeds):
+            best[x, y] = 1 + max((v for (i, j), v in best.items() if i < x and j < y), default=0)
+        return len(mark[0]) / len(w[0]), len(mark[1]) / len(w[1]), len(seeds), max(best.values(), default=0)
+
+    twice = "the crew found a blown fuse in the feeder"
+    assert split_overlap.align(f"{twice} . {twice}", f"{twice} , {twice}")[:2] == (1.0, 1.0)
+    rng = random.Random(11)
+    for words in (3, 6, 40):
+        for _ in range(60):
+            make = lambda: [f"w{rng.randrange(words)}" for _ in range(rng.randint(3, 30))]
+            core, more = make(), make()
+            left, right = " ".join(make() + core + make() + core), " ".join(core + more + core + make())
+            assert split_overlap.align(left, right) == pytest.approx(slow(left, right))
+    assert split_overlap.align("x y z " * 20_000, "x y z " * 20_000 + "q")[0] == 1.0
+
+
 def test_evidence_and_digest_forms(spark):
     assert split_overlap.evidence_text('[{"rank": 2, "text": "b"}, {"rank": 1, "text": "a"}, {"text": "z"}, 5]') == "a b z"
     assert split_overlap.evidence_text("[1") == split_overlap.evidence_text(None) == split_overlap.evidence_text("7") == ""
