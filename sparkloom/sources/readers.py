@@ -136,7 +136,8 @@ def nth_record(ids: DataFrame, records: DataFrame, id_column: str = "sample_id")
 def by_prefix(spark: SparkSession, ids: DataFrame, loaders: dict[str, object], id_column: str = "sample_id") -> DataFrame:
     """Union of what the loader registered for each id prefix makes of its ids; an unknown prefix raises."""
     prefix = F.get(F.split(id_column, "/"), F.lit(0))
-    known = [r[0] for r in ids.select(prefix.alias("p")).distinct().limit(1000).collect()]
+    # one prefix more than there are loaders has an unknown one among them
+    known = [r[0] for r in ids.select(prefix.alias("p")).distinct().limit(len(loaders) + 1).collect()]
     lost = [p for p in known if p not in loaders]
     if lost:
         raise KeyError(f"no loader for {lost}")

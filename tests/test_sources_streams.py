@@ -67,6 +67,15 @@ def test_files_and_ids(spark, tmp_path):
         S.by_prefix(spark, ids, {"a": lambda s, d: d})
 
 
+def test_an_unknown_prefix_among_many_raises(spark):
+    def load(s, d):
+        raise AssertionError("loaded although a prefix is unknown")
+
+    ids = spark.range(20_001).select(F.format_string("p%d/x", "id").alias("sample_id"))
+    with pytest.raises(KeyError):
+        S.by_prefix(spark, ids, {f"p{i}": load for i in range(20_000)})
+
+
 def test_xml_and_meminfo(spark, tmp_path):
     box = "<object><name>n{0}</name><bndbox><xmin>1</xmin><ymin>2</ymin><xmax>3</xmax><ymax>4</ymax></bndbox></object>"
     p = put(f"{tmp_path}/a.xml", "<annotation>" + "".join(box.format(i) for i in range(7)) + "</annotation>")
