@@ -350,6 +350,12 @@ def strict_lookup(t):
     return t("customer").filter("c_acctbal > 9000").join(t("orders"), F.col("c_custkey") == F.col("o_custkey")).select("c_custkey", "o_orderkey")
 
 
+@query("SELECT n.n_nationkey, n.n_name, r.r_name FROM nation n JOIN region r ON r.r_regionkey = n.n_regionkey")
+def strict_match(t):
+    n, r = t("nation").withColumnRenamed("n_regionkey", "k"), t("region").withColumnRenamed("r_regionkey", "k")
+    return joins.strict_inner(n, r, "k").select("n_nationkey", "n_name", "r_name")
+
+
 @query("WITH d AS (SELECT DISTINCT sample_id, load_batch, answer FROM build_p0a32_train) SELECT DISTINCT sample_id FROM build_p0a32_train r WHERE load_batch > 4 AND EXISTS (SELECT 1 FROM d WHERE d.sample_id = r.sample_id AND d.answer = r.answer AND d.load_batch <= 4)")
 def reusable_rows(t):
     d = t("build_p0a32_train").select("sample_id", "load_batch", "answer")

@@ -44,3 +44,10 @@ def test_entry(spark):
 
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_strict_match_raises_on_an_unmatched_key(spark, tmp_path):
+    spark.createDataFrame([(1, "n", 7), (2, "m", 8)], "n_nationkey int, n_name string, n_regionkey int").write.parquet(f"{tmp_path}/nation.parquet")
+    spark.createDataFrame([(7, "r")], "r_regionkey int, r_name string").write.parquet(f"{tmp_path}/region.parquet")
+    with pytest.raises(Exception, match="unmatched key 8"):
+        catalogue.queries()["strict_match"](spark, str(tmp_path)).collect()
