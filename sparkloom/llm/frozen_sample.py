@@ -1,47 +1,97 @@
 """Problem 6: a sample that is the same in every run and keeps its members as data arrives.
 
 Method: frozen batch bottom-k.  Every key belongs to the immutable batch in which it first arrived; of each batch exactly
-ceil(rate * size) keys with the smallest salted hashes are taken.  Hash, batch and size depend on nothing that arrives later,
-so the union over batches only grows.
+ceil(rate * size) keys with the smallest salted hashes are taken, and the union of the batches is append-only.
 
-Batches of a table with a load column are its loads: a later load may repeat old keys (they stay in their first batch) but
-adds new keys to its own batch only.  A table without one is cut into blocks of consecutive arrival numbers, and a block counts
-once a later block has begun; the open block at the end waits, as its size is not final.
+What makes a batch immutable is a *ledger*: one row (batch, label, key, chosen) per key that has ever arrived.  ``seal``
+takes a delivery and the ledger so far and returns the rows to append: only keys that the ledger does not have are new, they
+are put into batches that have never been sealed, and nothing about a sealed batch is computed again.  A delivery may name
+the batches of its rows by a label (a load, a day).  New keys under a label that is already sealed (late rows), or under none,
+form one further batch of their own.  So every key has a batch, and a chosen key can neither be pushed out by a later row nor
+leave because its row is corrected.  A delivery that comes twice adds nothing.
+
+``advance`` keeps the ledger as a table: read, seal, append.  The sample queries seal a whole table as the first delivery.
 
 Defined results: a null or blank key is no record; placeholder digests are no key, the record is then known by its trace id;
-keys without any batch are not yet part of one; repeated rows change nothing; an empty table gives an empty sample.
+a key under several labels of one delivery belongs to the least; repeated rows change nothing; an empty delivery adds nothing.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.sampling import salted_hash, take_smallest_per_group
+from .common import SENT_ROWS, cut_lineage, small
 from .split_overlap import digest
 
+LEDGER = "batch long, label string, key string, chosen boolean"
+
+
+def seal(delivery: DataFrame, ledger: DataFrame | None, rate: float, salt: str) -> DataFrame:
+    """The ledger rows (batch, label, key, chosen) that a delivery of rows (key, label) adds."""
+    named = F.col("label").cast("string")
+    first = delivery.filter("key is not null").groupBy(F.col("key").cast("string").alias("key")).agg(F.min(named).alias("label"))
+    last = -1
+    if ledger is not None:
+        known = ledger.groupBy("batch", "label").agg(F.lit(1).alias("_old"))
+        last = known.agg(F.coalesce(F.max("batch"), F.lit(-1))).first()[0]
+        sealed = known.filter("label is not null").select("label", "_old").distinct()
+        first = first.join(ledger.select("key"), "key", "left_anti")
+        first = first.join(small(sealed, SENT_ROWS), "label", "left").withColumn("label", F.when(F.col("_old").isNull(), F.col("label"))).drop("_old")
+    first = cut_lineage(first.withColumn("_h", salted_hash(salt, "key")))
+    # one row per batch of this delivery, numbered behind the batches of the ledger
+    sizes = first.groupBy("label").agg(F.ceil(F.count("*") * F.lit(rate) - F.lit(1e-9)).alias("quota"))
+    number = F.row_number().over(Window.orderBy(F.col("label").asc_nulls_first())) + F.lit(last)
+    batches = cut_lineage(sizes.withColumn("batch", number.cast("long")))
+    placed = first.join(small(batches, SENT_ROWS), first["label"].eqNullSafe(batches["label"])).select("batch", first["label"], "key", "_h")
+    chosen = take_smallest_per_group(placed, batches.select("batch", "quota"), ["batch"], "_h", "key")
+    flag = chosen.select("batch", "key", F.lit(True).alias("chosen"))
+    return placed.join(flag, ["batch", "key"], "left").select("batch", "label", "key", F.coalesce("chosen", F.lit(False)).alias("chosen"))
+
+
+def advance(delivery: DataFrame, path: str, rate: float, salt: str) -> DataFrame:
+    """Seal a delivery into the ledger table at ``path`` and return the whole ledger.
+
+    The new rows are computed before the table is appended to; a run that is repeated after a failure finds its keys in the
+    ledger and adds nothing.
+    """
+    spark = delivery.sparkSession
+    seal(delivery, read_ledger(spark, path), rate, salt).write.mode("append").parquet(path)
+    return spark.read.schema(LEDGER).parquet(path)
+
 
-def frozen_sample(keys: DataFrame, rate: float, salt: str, bits: int = 12) -> DataFrame:
-    """(key, batch) chosen from rows (key, batch); ``bits`` cells per batch, 0 where batches are small by construction."""
-    first = keys.filter("key is not null and batch is not null").groupBy("key").agg(F.min("batch").alias("batch"))
-    first = first.withColumn("_h", salted_hash(salt, "key"))
-    quota = first.groupBy("batch").agg(F.ceil(F.count("*") * F.lit(rate) - F.lit(1e-9)).alias("quota"))
-    return take_smallest_per_group(first, quota, ["batch"], "_h", "key", bits).select("key", "batch")
+def read_ledger(spark: SparkSession, path: str) -> DataFrame | None:
+    """The ledger at ``path``, cut off from the files that an append will add; None where there is none yet."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
+        return None
+    return spark.read.schema(LEDGER).parquet(path)
 
 
-def trace_sample(traces: DataFrame, rate: float = 0.1, block: int = 100, salt: str = "frozen") -> DataFrame:
-    """Sample of distinct digests of the traces, by blocks of ``block`` arrival numbers (the number inside trace_id)."""
-    number = F.expr("try_cast(regexp_extract(trace_id, '([0-9]+)', 1) as bigint)")
-    rows = traces.select(
-        F.coalesce(digest(F.col("sample_hash")), F.col("trace_id")).alias("key"), F.floor(number / F.lit(block)).alias("batch")
-    )
-    newest = rows.agg(F.max("batch")).first()[0]  # the block that is still open
-    chosen = frozen_sample(rows, rate, salt, bits=0).filter(F.col("batch") < F.lit(newest))
-    return chosen.select(F.col("key").alias("sample_key"), "batch")
+def trace_delivery(traces: DataFrame) -> DataFrame:
+    """(key, label): distinct digests of the traces, or trace ids where there is none, by day of creation."""
+    plain = F.when(F.trim("trace_id") != "", F.col("trace_id"))
+    return traces.select(F.coalesce(digest(F.col("sample_hash")), plain).alias("key"), F.date_format("created_ts", "yyyy-MM-dd").alias("label"))
 
 
-def load_sample(records: DataFrame, rate: float = 0.1, salt: str = "frozen") -> DataFrame:
-    """Sample of distinct sample_id, by load_batch."""
+def load_delivery(records: DataFrame) -> DataFrame:
+    """(key, label): sample ids by load."""
     plain = F.when(F.trim("sample_id") != "", F.col("sample_id"))
-    rows = records.select(plain.alias("key"), F.col("load_batch").alias("batch"))
-    return frozen_sample(rows, rate, salt).select(F.col("key").alias("sample_id"), F.col("batch").alias("load_batch"))
+    return records.select(plain.alias("key"), F.lpad(F.col("load_batch").cast("string"), 10, "0").alias("label"))
+
+
+def _sample(delivery: DataFrame, ledger: DataFrame | None, rate: float, salt: str, name: str) -> DataFrame:
+    rows = seal(delivery, ledger, rate, salt)
+    rows = rows if ledger is None else ledger.select(rows.columns).unionByName(rows)
+    return rows.filter("chosen").select(F.col("key").alias(name), "batch")
+
+
+def trace_sample(traces: DataFrame, ledger: DataFrame | None = None, rate: float = 0.1, salt: str = "frozen") -> DataFrame:
+    """(sample_key, batch) of the sample of the traces, with the members that the ledger already has."""
+    return _sample(trace_delivery(traces), ledger, rate, salt, "sample_key")
+
+
+def load_sample(records: DataFrame, ledger: DataFrame | None = None, rate: float = 0.1, salt: str = "frozen") -> DataFrame:
+    """(sample_id, batch) of the sample of the loaded records, with the members that the ledger already has."""
+    return _sample(load_delivery(records), ledger, rate, salt, "sample_id")

@@ -108,39 +108,67 @@ def test_capped_poisson_mean():
     assert source_mixing.capped_poisson(3, 2) == [0.0, 0.0] and all(x > 1 for x in source_mixing.capped_poisson(0, 2))
 
 
-def test_frozen_sample_only_grows(spark):
+def ledger_of(spark, path, delivery):
+    frozen_sample.advance(delivery, path, 0.1, "frozen")
+    return [tuple(r) for r in spark.read.schema(frozen_sample.LEDGER).parquet(path).select("batch", "label", "key", "chosen").collect()]
+
+
+def exact_batches(rows):
+    """Every key once, and of each batch exactly the share asked for."""
+    assert len({k for _, _, k, _ in rows}) == len(rows)
+    for b in {r[0] for r in rows}:
+        mine = [r for r in rows if r[0] == b]
+        assert sum(r[3] for r in mine) == math.ceil(0.1 * len(mine) - 1e-9)
+
+
+def test_frozen_loads_with_late_rows(spark, tmp_path):
     rng = random.Random(3)
     schema = "sample_id string, load_batch int, key string"
     rows = [(rng.choice([f"r{i:04}", f"r{i:04}", f"r{rng.randrange(3000):04}", None, " "]), 1 + i // 500, "clash") for i in range(3000)] + [("nobatch", None, "")]
-    kept = set()
-    for upto in range(1, 7):
-        part = spark.createDataFrame([r for r in rows if r[1] is None or r[1] <= upto], schema)
-        got = frozen_sample.load_sample(part.repartition(upto)).collect()
-        ids = {r["sample_id"] for r in got}
-        assert kept <= ids and len(ids) == len(got)
+    late = [r for i, r in enumerate(rows) if i % 20 == 7]  # a twentieth arrives two loads later, under its old number
+    kept, path = set(), str(tmp_path / "ledger")
+    for upto in (1, 2, 3, 4, 5, 6, 7, 8):
+        part = [r for i, r in enumerate(rows) if (r[1] or 1) == upto and i % 20 != 7] + [r for r in late if r[1] == upto - 2] + rows[:40]
+        made = ledger_of(spark, path, frozen_sample.load_delivery(spark.createDataFrame(part, schema).repartition(upto)))
+        exact_batches(made)
+        ids = {k for _, _, k, c in made if c}
+        assert kept <= ids
         kept = ids
-    first = {}
-    for k, b, _ in rows:
-        if k and k.strip() and b:
-            first[k] = min(b, first.get(k, 99))
-    for b in range(1, 7):
-        size = sum(v == b for v in first.values())
-        assert sum(r["load_batch"] == b for r in got) == math.ceil(0.1 * size)
-    assert frozen_sample.load_sample(part.limit(0)).count() == 0
+    assert sorted(ledger_of(spark, path, frozen_sample.load_delivery(spark.createDataFrame(part, schema))), key=str) == sorted(made, key=str)
+    assert {k for _, _, k, _ in made} == {r[0] for r in rows if r[0] and r[0].strip()}
+    assert len({b for b, *_ in made}) > 8  # late rows have batches of their own
+    assert frozen_sample.load_sample(spark.createDataFrame([], schema)).count() == 0
 
 
-def test_frozen_trace_sample_only_grows(spark):
+def test_frozen_traces_with_corrections_and_any_ids(spark):
     rng = random.Random(4)
-    digests = [None, "", "pending"] + [f"{i:064x}".replace("0", "c") for i in range(300)]
-    rows = [(f"sdt-{i:09}-{i:x}", rng.choice(digests), i) for i in range(950)]
-    schema = "trace_id string, sample_hash string, batch int"
-    kept = set()
-    for n in (0, 90, 100, 101, 500, 733, 950):
-        part = spark.createDataFrame(rows[:n] + rows[: n // 9], schema)
-        got = {(r["sample_key"], r["batch"]) for r in frozen_sample.trace_sample(part).collect()}
+    digests = [None, "", "pending"] + [f"{4096 + i:064x}".replace("0", "c") for i in range(300)]
+    ids = [f"sdt-{i:09}-{i:x}" if i % 3 else f"trace-{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676)}" for i in range(950)]
+    rows = [(ids[i], rng.choice(digests), NOW + datetime.timedelta(hours=i) if i % 31 else None, i) for i in range(950)]
+    schema = "trace_id string, sample_hash string, created_ts timestamp, batch int"
+    ledger, kept = None, set()
+    for n, upto in enumerate((0, 101, 500, 950)):
+        low = (0, 0, 101, 500)[n]
+        new = rows[low:upto]
+        again = rows[: low // 3] + [(t, f"{i:064x}".replace("0", "d"), c, b) for i, (t, _, c, b) in enumerate(rows[: low // 5])]  # the last with corrected digests
+        part = spark.createDataFrame(new + again, schema)
+        got = {r["sample_key"] for r in frozen_sample.trace_sample(part, ledger).collect()}
         assert kept <= got
         kept = got
-    assert len(kept) == len({k for k, _ in kept}) and {b for _, b in kept} == set(range(9))
+        more = frozen_sample.seal(frozen_sample.trace_delivery(part), ledger, 0.1, "frozen")
+        whole = [tuple(r) for r in more.collect()] + ([tuple(r) for r in ledger.collect()] if ledger else [])
+        ledger = spark.createDataFrame(whole, frozen_sample.LEDGER)
+        exact_batches(whole)
+        assert {k for _, _, k, c in whole if c} == got
+    usable = {t if d in digests[:3] else d for t, d, _, _ in rows}
+    assert usable <= {k for _, _, k, _ in whole}
+
+
+def test_frozen_sample_is_the_same_in_every_run(spark):
+    rows = [(f"r{i}", 1 + i % 4, "") for i in range(500)]
+    df = spark.createDataFrame(rows, "sample_id string, load_batch int, chosen string")
+    a = {tuple(r) for r in frozen_sample.load_sample(df).collect()}
+    assert a == {tuple(r) for r in frozen_sample.load_sample(df.repartition(9)).collect()} and len(a) == 4 * 13
 
 
 def test_packing(spark):
