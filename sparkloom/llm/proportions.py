@@ -3,8 +3,10 @@
 Method: swap repair on category signatures.  Records are grouped by the set of categories their labels map to; a signature
 decides the category a record belongs to.  The only thing on the driver is one count per signature (at most 2**c for c
 categories, checked).  A random sample that keeps the minima is drawn as counts, then counts are exchanged between signatures
-of over- and under-represented categories while that lowers the deviation from the targets; the final counts are materialised
-as the records with the smallest salted hashes of each signature.
+of over- and under-represented categories while that lowers the deviation from the targets, and between signatures of one
+category while that lowers the deviation from their own shares; the final counts are materialised as the records with the
+smallest salted hashes of each signature.  A category whose records are all in the repaired sample and that is still below
+its need is reported as short.
 
 Defined results: rows that are not verified, have a null flag, or no mapped label are not usable; null labels and null arrays
 are ignored; labels compare without outer blanks and letter case; a record counts once, with its latest version; with no
@@ -64,16 +66,23 @@ def with_signature(data: DataFrame, labels: DataFrame, targets: DataFrame) -> Da
     )
 
 
-def swap_repair(sizes: dict[tuple[str, str], int], goals: dict[str, float], floors: dict[str, int], n: int, seed: int) -> dict[tuple[str, str], int]:
-    """Counts per (signature, category) of a sample of n records, floors kept, deviation from the goals locally least."""
+def swap_repair(
+    sizes: dict[tuple[str, str], int], goals: dict[str, float], floors: dict[str, int], n: int, seed: int
+) -> tuple[dict[tuple[str, str], int], dict[str, int]]:
+    """(counts per (signature, category) of a sample of n records, records per category that could still be exchanged in).
+
+    The floors are kept, and no exchange of records lowers the deviation from the goals.  Which signatures of a category give
+    and take is a goal of its own: each should have the share of its category that it has among all usable records, so records
+    of one signature do not stand in for the others; exchanges inside a category go on until that deviation is least too.
+    """
     rng = np.random.default_rng(seed)
     keys = sorted(sizes)
     have = np.array([sizes[k] for k in keys], np.int64)
     take = np.zeros(len(keys), np.int64)
     cats = sorted({c for _, c in keys})
-    where = {c: [i for i, k in enumerate(keys) if k[1] == c] for c in cats}
+    where = {c: np.array([i for i, k in enumerate(keys) if k[1] == c], np.int64) for c in cats}
 
-    def draw(ids: list[int], count: int) -> None:
+    def draw(ids, count: int) -> None:
         # multivariate hypergeometric, one signature after another, in exact integers of any size
         left = int(sum(have[i] - take[i] for i in ids))
         count = min(count, left)
@@ -89,36 +98,37 @@ def swap_repair(sizes: dict[tuple[str, str], int], goals: dict[str, float], floo
             count -= got
             left -= room
 
+    def settle(c: str, count: int) -> None:
+        """The signatures of a category at ``count`` records, as near to their shares as whole records allow."""
+        ids = where[c]
+        total = int(have[ids].sum())
+        exact = [int(have[i]) * count for i in ids]
+        take[ids] = [x // total if total else 0 for x in exact]
+        left = count - int(take[ids].sum())
+        for j in sorted(range(len(ids)), key=lambda j: (-(exact[j] % total), keys[ids[j]]))[:left] if left else ():
+            take[ids[j]] += 1
+
     for c in cats:
         draw(where[c], min(floors.get(c, 0), n - int(take.sum())))
     draw(list(range(len(keys))), n - int(take.sum()))
+    now = {c: int(take[where[c]].sum()) for c in cats}
+    room = {c: int(have[where[c]].sum()) for c in cats}
     # exchange counts from the category most above its goal to the one most below it while the deviation falls
-    while True:
-        now = {c: int(take[where[c]].sum()) for c in cats}
+    done = False
+    while not done:
         over = sorted((c for c in cats if now[c] > max(goals.get(c, 0), floors.get(c, 0))), key=lambda c: goals.get(c, 0) - now[c])
-        under = sorted((c for c in cats if now[c] < goals.get(c, 0) and any(take[i] < have[i] for i in where[c])), key=lambda c: now[c] - goals.get(c, 0))
+        under = sorted((c for c in cats if now[c] < min(goals.get(c, 0), room[c])), key=lambda c: now[c] - goals.get(c, 0))
         done = True
-        for o in over:
-            for u in under:
-                move = min(now[o] - max(goals.get(o, 0), floors.get(o, 0)), goals.get(u, 0) - now[u])
-                move = min(max(int(move), 1), int(sum(have[i] - take[i] for i in where[u])), now[o] - floors.get(o, 0))
-                change = abs(now[o] - move - goals.get(o, 0)) + abs(now[u] + move - goals.get(u, 0))
-                if move > 0 and change < abs(now[o] - goals.get(o, 0)) + abs(now[u] - goals.get(u, 0)) - 1e-9:
-                    gone, come = move, move
-                    for i in rng.permutation(where[o]):
-                        x = min(gone, int(take[i]))
-                        take[i] -= x
-                        gone -= x
-                    for i in rng.permutation(where[u]):
-                        x = min(come, int(have[i] - take[i]))
-                        take[i] += x
-                        come -= x
-                    done = False
-                    break
-            if not done:
+        for o, u in ((o, u) for o in over for u in under):
+            move = min(now[o] - max(goals.get(o, 0), floors.get(o, 0)), goals.get(u, 0) - now[u])
+            move = min(max(int(move), 1), room[u] - now[u], now[o] - floors.get(o, 0))
+            change = abs(now[o] - move - goals.get(o, 0)) + abs(now[u] + move - goals.get(u, 0))
+            if move > 0 and change < abs(now[o] - goals.get(o, 0)) + abs(now[u] - goals.get(u, 0)) - 1e-9:
+                now[o], now[u], done = now[o] - move, now[u] + move, False
                 break
-        if done:
-            return {k: int(t) for k, t in zip(keys, take)}
+    for c in cats:
+        settle(c, now[c])
+    return {k: int(t) for k, t in zip(keys, take)}, {c: int((have[where[c]] - take[where[c]]).sum()) for c in cats}
 
 
 def plan(data: DataFrame, labels: DataFrame, targets: DataFrame, seed: int = 17) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -133,14 +143,17 @@ def plan(data: DataFrame, labels: DataFrame, targets: DataFrame, seed: int = 17)
     for (_, c), k in sizes.items():
         by[c] += k
     floors = {c: min(m, by[c]) for c, (_, m) in asked.items()}
-    chosen = swap_repair(sizes, goals, floors, n, seed) if n else {}
+    chosen, spare = swap_repair(sizes, goals, floors, n, seed) if n else ({}, {})
     drawn: dict[str, int] = dict.fromkeys(asked, 0)
     for (_, c), k in chosen.items():
         drawn[c] += k
     need = {c: max(m, -(-p * n // 1000)) for c, (p, m) in asked.items()}
+    # short: below its need with every record exchanged in; goals beyond the sample size leave records that no category can give up
+    beyond = sum(need.values()) > n + len(need)
+    short = {c: drawn[c] < need[c] and (not spare.get(c, 0) or beyond and drawn[c] + spare[c] < need[c]) for c in asked}
     quota = spark.createDataFrame([(s, k) for (s, _), k in chosen.items() if k], "signature string, quota long")
     report = spark.createDataFrame(
-        [(c, p, m, n, by[c], need[c], drawn[c], round(1000 * drawn[c] / n, 6) if n else 0.0, by[c] < need[c]) for c, (p, m) in sorted(asked.items())],
+        [(c, p, m, n, by[c], need[c], drawn[c], round(1000 * drawn[c] / n, 6) if n else 0.0, short[c]) for c, (p, m) in sorted(asked.items())],
         "category string, target_permille int, min_rows int, sample_size long, usable_rows long, needed_rows long, "
         "sample_rows long, actual_permille double, short boolean",
     )

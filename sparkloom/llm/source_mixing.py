@@ -3,7 +3,7 @@
 Method: Poisson replication.  Each record of a source has a uniform number from a salted hash of gate and record id; the
 inverse of a Poisson distribution at that number, cut at the cap, is its count, and the record is exploded by it.  The mean of
 the distribution is chosen so that the mean of the cut count is goal / usable; a source that cannot reach its goal takes the
-cap for every record.  A last range partitioning by another salted hash shuffles the mixture globally.
+cap for every record, and is known to be short by that.  A last range partitioning by another salted hash shuffles the mixture globally.
 
 Defined results: a trace_id counts once; a null or blank split or source is in no mixture; a null repeat_field, an unknown
 column or a null value caps at 1; a gate without a rehearsal row has no mixture; a source with goal 0 or no usable record
@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.sampling import salted_hash
-from .common import latest_rows
+from .common import SENT_ROWS, cut_lineage, latest_rows, small
 from .split_overlap import label
 
 
@@ -61,7 +61,7 @@ def train_records(traces: DataFrame) -> DataFrame:
 
 
 def mixture_plan(records: DataFrame, rehearsal: DataFrame, mix: DataFrame) -> DataFrame:
-    """One row per gate and listed source: usable, total, goal, cap, short."""
+    """One row per gate and listed source: usable, total, goal, cap."""
     caps = [f.name for f in rehearsal.schema.fields if f.name.endswith("_repeat")]
     first = Window.partitionBy("gate").orderBy(F.col("created_ts").desc_nulls_last(), *[F.col(c).desc_nulls_last() for c in ("total_permille", *caps)])
     held = rehearsal.filter("gate is not null").withColumn("_r", F.row_number().over(first)).filter("_r = 1").select("gate", "total_permille", *caps)
@@ -79,14 +79,16 @@ def mixture_plan(records: DataFrame, rehearsal: DataFrame, mix: DataFrame) -> Da
         .withColumn("usable", F.coalesce("usable", F.lit(0)))
         .withColumn("total", F.expr("total_permille * sum(usable) over (partition by gate) div 1000"))
         .withColumn("goal", F.expr("(target_permille * total + 999) div 1000"))
-        .withColumn("cap", cap)
-        .withColumn("short", F.expr("usable * cap < goal"))
-        .select("gate", "source_dataset", "source", "target_permille", "repeat_field", "usable", "total", "goal", "cap", "short")
+        .withColumn("cap", F.greatest(cap, F.lit(0).cast("long")))
+        .select("gate", "source_dataset", "source", "target_permille", "repeat_field", "usable", "total", "goal", "cap")
     )
 
 
-def mix_sources(traces: DataFrame, rehearsal: DataFrame, mix: DataFrame, salt: str = "mix") -> tuple[DataFrame, DataFrame]:
-    """(mixture rows gate, source_dataset, trace_id, copy, position; plan).  Sorted globally by gate and position."""
+def replicas(traces: DataFrame, rehearsal: DataFrame, mix: DataFrame, salt: str = "mix") -> tuple[DataFrame, DataFrame]:
+    """(gate, source_dataset, trace_id, copies of each record; plan).  A record drawn 0 times has no row.
+
+    The plan has one row per gate and listed source and is sent to the records, so a source of any size is never shuffled.
+    """
     records = train_records(traces)
     plan = mixture_plan(records, rehearsal, mix)
 
@@ -99,25 +101,32 @@ def mix_sources(traces: DataFrame, rehearsal: DataFrame, mix: DataFrame, salt: s
         invert, "gate string, source_dataset string, source string, steps array<double>"
     )
     unit = (F.shiftrightunsigned(salted_hash(salt, "gate", "rid"), 11)).cast("double") * F.lit(2.0**-53)
-    rows = (
-        records.join(steps, "source").withColumn("u", unit)
+    drawn = (
+        records.join(small(cut_lineage(steps), SENT_ROWS), "source").withColumn("u", unit)
         .withColumn("copies", F.expr("size(filter(steps, x -> x <= u))")).filter("copies > 0")
-        .select("gate", "source_dataset", F.col("rid").alias("trace_id"), F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy"))
-        .withColumn("position", salted_hash(salt + "-order", "gate", "trace_id", "copy"))
+        .select("gate", "source_dataset", F.col("rid").alias("trace_id"), "copies")
     )
-    return rows, plan
+    return drawn, plan
 
 
 def mixture(traces: DataFrame, rehearsal: DataFrame, mix: DataFrame, salt: str = "mix") -> DataFrame:
-    return mix_sources(traces, rehearsal, mix, salt)[0].orderBy("gate", "position", "trace_id", "copy")
+    """(gate, source_dataset, trace_id, copy, position), sorted globally by gate and position."""
+    drawn = replicas(traces, rehearsal, mix, salt)[0]
+    rows = drawn.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).drop("copies")
+    rows = rows.withColumn("position", salted_hash(salt + "-order", "gate", "trace_id", "copy"))
+    return rows.orderBy("gate", "position", "trace_id", "copy")
 
 
 def mixture_report(traces: DataFrame, rehearsal: DataFrame, mix: DataFrame, salt: str = "mix") -> DataFrame:
-    """The plan with the rows that the mixture really has and their share per gate."""
-    rows, plan = mix_sources(traces, rehearsal, mix, salt)
-    real = rows.groupBy("gate", "source_dataset").agg(F.count("*").alias("actual"), F.max("copy").alias("most_copies"))
-    out = plan.join(real, ["gate", "source_dataset"], "left").fillna(0, ["actual", "most_copies"])
-    share = F.expr("round(1000 * actual / nullif(sum(actual) over (partition by gate), 0), 3)")
-    return out.withColumn("actual_permille", share).drop("source")
-
+    """The plan with the rows that the mixture really has, their share per gate, and the sources that fall short.
 
+    A source is short when the replication repeated every one of its records up to the cap and still did not reach the goal.
+    """
+    drawn, plan = replicas(traces, rehearsal, mix, salt)
+    real = drawn.groupBy("gate", "source_dataset").agg(
+        F.sum("copies").alias("actual"), F.max("copies").alias("most_copies"), F.count("*").alias("_drawn"), F.min("copies").alias("_least")
+    )
+    out = plan.join(real, ["gate", "source_dataset"], "left").fillna(0, ["actual", "most_copies", "_drawn", "_least"])
+    exhausted = (F.col("_drawn") == F.col("usable")) & ((F.col("_least") >= F.col("cap")) | (F.col("usable") == 0)) | (F.col("cap") == 0)
+    share = F.expr("round(1000 * actual / nullif(sum(actual) over (partition by gate), 0), 3)")
+    return out.withColumn("short", exhausted & (F.col("actual") < F.col("goal"))).withColumn("actual_permille", share).drop("source", "_drawn", "_least")

@@ -50,6 +50,16 @@ def test_proportions(spark):
     assert all(r["short"] for r in proportions.proportion_report(data.limit(0), labels, targets).collect())
 
 
+def test_short_categories_come_from_the_repaired_counts(spark, monkeypatch):
+    rows = [(f"s{i:03}", ["ores"] if i % 2 else ["law"], (None, None), True, NOW, "") for i in range(200)]
+    tables = category_tables(spark, rows)
+    short = lambda: {r["category"] for r in proportions.proportion_report(*tables).filter("short").collect()}
+    assert short() == {"exam"}
+    repaired = proportions.swap_repair
+    monkeypatch.setattr(proportions, "swap_repair", lambda *a: ({k: 0 for k in repaired(*a)[0]}, dict.fromkeys("exam rock rule".split(), 0)))
+    assert short() == {"exam", "rock", "rule"}
+
+
 def test_swap_repair_reaches_reachable_targets():
     rng = random.Random(2)
     for seed in range(40):
@@ -59,11 +69,12 @@ def test_swap_repair_reaches_reachable_targets():
         raw = [rng.random() for _ in cats]
         goals = {c: n * x / sum(raw) for c, x in zip(cats, raw)}
         floors = {c: min(2, sum(v for k, v in sizes.items() if k[1] == c)) for c in cats}
-        got = proportions.swap_repair(sizes, goals, floors, n, seed)
+        got, spare = proportions.swap_repair(sizes, goals, floors, n, seed)
         assert sum(got.values()) == n and all(0 <= got[k] <= sizes[k] for k in sizes)
         by = {c: sum(v for k, v in got.items() if k[1] == c) for c in cats}
         cap = {c: sum(v for k, v in sizes.items() if k[1] == c) for c in cats}
-        assert all(by[c] >= floors[c] for c in cats)
+        assert all(by[c] >= floors[c] and spare[c] == cap[c] - by[c] for c in cats)
+        assert all(abs(got[k] - by[k[1]] * sizes[k] / cap[k[1]]) < 1 for k in sizes if cap[k[1]])
         for o in cats:  # no exchange of one record lowers the deviation
             for u in cats:
                 if o != u and by[o] > floors[o] and by[u] < cap[u]:
@@ -94,6 +105,8 @@ def test_mixture(spark):
         goal = -(-p * total // 1000)
         assert (r["usable"], r["total"], r["goal"], r["cap"]) == (have[s], total, goal, cap) and r["short"] == (have[s] * cap < goal)
         assert r["most_copies"] <= cap and abs(r["actual"] - min(goal, have[s] * cap)) <= 5 * math.sqrt(goal) + 1
+    plan = source_mixing.mixture_report(tr, reh, mix).filter("short")._jdf.queryExecution().executedPlan().toString()
+    assert "copies" in plan and "filter(steps" in plan
     out = source_mixing.mixture(tr, reh, mix).collect()
     assert [(r["gate"], r["position"]) for r in out] == sorted((r["gate"], r["position"]) for r in out)
     assert len({(r["gate"], r["trace_id"], r["copy"]) for r in out}) == len(out)
