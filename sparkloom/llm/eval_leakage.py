@@ -6,8 +6,8 @@ sorted table of rolling (Karp-Rabin) hashes; a document is hashed once and looke
 a seed is tiled: the longest common stretch of unmarked tokens is marked, again and again, until none of ``least`` tokens is
 left.  Tiles do not overlap, so reordered passages add up to the coverage of the item.
 
-The test set goes to all tasks only in blocks of at most ``BLOCK`` tokens (a size that is checked, not assumed); a larger set
-takes one pass over the corpus per block.  The corpus is never shuffled.
+A test set of at most ``BLOCK`` characters (measured, not assumed) goes to all tasks, and the corpus is not shuffled.  A larger
+one is met by a join of winnowed seeds, with one pass over the corpus for the seeds and one for the texts that met an item.
 
 Defined results: null and empty texts have no tokens; an item of under ``least`` tokens cannot leak; items with equal texts are
 reported each under its own id; a repeated (document, item) pair comes out once per document row.
@@ -23,7 +23,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .kernels import Tokens, pieces
+from .common import SENT_ROWS, cut_lineage, small
+from .kernels import Tokens, pieces, winnow
+from .rarity import has_key, key_bits
 
 BLOCK = 2_000_000
 LEAST = 15
@@ -86,19 +88,75 @@ def leaks(docs: DataFrame, items: DataFrame, least: int = LEAST, block: int = BL
 
     ``coverage`` is the share of the item's tokens that tiles cover.
     """
-    spark = docs.sparkSession
     slim_items = items.select("item_id", "text").filter("item_id is not null and text is not null").distinct()
     kind_d, kind_i = docs.schema["doc_id"].dataType.simpleString(), items.schema["item_id"].dataType.simpleString()
     schema = f"doc_id {kind_d}, item_id {kind_i}, tiles int, matched int, longest int, coverage double"
-    sizes = slim_items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
-    rounds = max(1, -(-int(sizes) // block))
-    found = None
-    for r in range(rounds):
-        part = slim_items if rounds == 1 else slim_items.filter(F.pmod(F.xxhash64("item_id"), F.lit(rounds)) == r)
-        rows = part.orderBy("item_id", "text").collect()  # at most about ``block`` characters
-        one = _leaks_of(docs, [x["item_id"] for x in rows], [x["text"] for x in rows], least, schema)
-        found = one if found is None else found.unionByName(one)
-    return found if found is not None else spark.createDataFrame([], schema)
+    size = slim_items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
+    if int(size) > block:
+        return _leaks_joined(docs, slim_items, least, schema)
+    rows = slim_items.orderBy("item_id", "text").collect()  # at most ``block`` characters
+    return _leaks_of(docs, [x["item_id"] for x in rows], [x["text"] for x in rows], least, schema)
+
+
+def _seed_rows(rows: DataFrame, key: str, least: int, known: np.ndarray | None = None) -> DataFrame:
+    """(key, seeds) of each text: the winnowed runs of about half of ``least`` tokens, without those that ``known`` rules out.
+
+    Of every ``least`` consecutive tokens the run of smallest hash is chosen, so two texts that share them share a seed.
+    """
+    run_of = least // 2 + 1
+    held = rows.sparkSession.sparkContext.broadcast(known) if known is not None else None
+
+    def run(batches):
+        for batch in batches:
+            raw = [plain(t) for t in batch.column(1).to_pylist()]
+            for i, j in pieces(raw):
+                grams, bounds = Tokens(raw[i:j]).grams(run_of)
+                keep = winnow(grams, bounds, least - run_of + 1)
+                if held is not None and len(grams):
+                    keep &= has_key(grams, held.value)
+                text = np.repeat(np.arange(j - i), np.diff(bounds))[keep]
+                cut = np.zeros(j - i + 1, np.int32)
+                np.cumsum(np.bincount(text, minlength=j - i), out=cut[1:])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.ListArray.from_arrays(pa.array(cut), pa.array(grams[keep].view(np.int64)))], names=[key, "seeds"])
+
+    kind = rows.schema[key].dataType.simpleString()
+    return rows.select(key, "text").mapInArrow(run, f"{key} {kind}, seeds array<long>")
+
+
+def _leaks_joined(docs: DataFrame, items: DataFrame, least: int, schema: str) -> DataFrame:
+    """leaks() for a test set of any size: one pass over the corpus for the seeds, a join on them, and one for the met texts.
+
+    Seeds that no item has are left out before the shuffle by a table of one bit per hash slot (8 MB at most); texts are one
+    row per distinct text.
+    """
+    texts = docs.filter("text is not null").select(F.unhex(F.md5("text")).alias("sig"), "text")
+    item_seeds = cut_lineage(_seed_rows(items.withColumnRenamed("item_id", "item"), "item", least))
+    known = key_bits(item_seeds, "seeds")
+    each = lambda df, key: df.select(key, F.explode("seeds").alias("seed")).distinct()
+    met = each(_seed_rows(texts, "sig", least, known), "sig").join(each(item_seeds, "item"), "seed").select("sig", "item").distinct()
+    met = cut_lineage(met)
+    wanted = texts.join(small(met.select("sig").distinct(), SENT_ROWS), "sig", "left_semi").groupBy("sig").agg(F.min("text").alias("text"))
+    both = met.join(wanted, "sig").join(items.select(F.col("item_id").alias("item"), F.col("text").alias("item_text")), "item")
+
+    def run(batches):
+        for batch in batches:
+            keep, rows = [], []
+            for x, (doc, item) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())):
+                part = Tokens([plain(doc), plain(item)])
+                cut = int(part.bounds[1])
+                found = tiles(part.hashes[:cut], part.hashes[cut:], least)
+                if found:
+                    keep.append(x)
+                    matched = sum(t[2] for t in found)
+                    rows.append((len(found), matched, max(t[2] for t in found), matched / (len(part.hashes) - cut)))
+            at = pa.array(keep, pa.int32())
+            made = [pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int32(), pa.int32(), pa.int32(), pa.float64()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), *made], names=["sig", "item_id", "tiles", "matched", "longest", "coverage"])
+
+    kind_i = items.schema["item_id"].dataType.simpleString()
+    found = both.select("sig", "item", "text", "item_text").mapInArrow(run, f"sig binary, item_id {kind_i}, tiles int, matched int, longest int, coverage double")
+    named = docs.filter("text is not null").select("doc_id", F.unhex(F.md5("text")).alias("sig"))
+    return named.join(found, "sig").select("doc_id", "item_id", "tiles", "matched", "longest", "coverage")
 
 
 def _leaks_of(docs: DataFrame, ids: list, texts: list[str], least: int, schema: str) -> DataFrame:

@@ -21,7 +21,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators.sampling import salted_hash, take_smallest_per_group
+from ..functions.hashing import stable_key
+from ..operators.sampling import take_smallest_per_group
 from .common import SENT_ROWS, cut_lineage, small
 from .split_overlap import digest
 
@@ -39,13 +40,14 @@ def seal(delivery: DataFrame, ledger: DataFrame | None, rate: float, salt: str)
         sealed = known.filter("label is not null").select("label", "_old").distinct()
         first = first.join(ledger.select("key"), "key", "left_anti")
         first = first.join(small(sealed, SENT_ROWS), "label", "left").withColumn("label", F.when(F.col("_old").isNull(), F.col("label"))).drop("_old")
-    first = cut_lineage(first.withColumn("_h", salted_hash(salt, "key")))
+    # the first 60 bits of a SHA-256, which any other system can compute too
+    first = cut_lineage(first.withColumn("_h", F.conv(F.substr(stable_key(salt, "key"), F.lit(1), F.lit(15)), 16, 10).cast("long")))
     # one row per batch of this delivery, numbered behind the batches of the ledger
     sizes = first.groupBy("label").agg(F.ceil(F.count("*") * F.lit(rate) - F.lit(1e-9)).alias("quota"))
     number = F.row_number().over(Window.orderBy(F.col("label").asc_nulls_first())) + F.lit(last)
     batches = cut_lineage(sizes.withColumn("batch", number.cast("long")))
     placed = first.join(small(batches, SENT_ROWS), first["label"].eqNullSafe(batches["label"])).select("batch", first["label"], "key", "_h")
-    chosen = take_smallest_per_group(placed, batches.select("batch", "quota"), ["batch"], "_h", "key")
+    chosen = take_smallest_per_group(placed, batches.select("batch", "quota"), ["batch"], "_h", "key", bits=16)
     flag = chosen.select("batch", "key", F.lit(True).alias("chosen"))
     return placed.join(flag, ["batch", "key"], "left").select("batch", "label", "key", F.coalesce("chosen", F.lit(False)).alias("chosen"))
 

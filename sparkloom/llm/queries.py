@@ -11,6 +11,7 @@ from . import (
     eval_leakage,
     frozen_sample,
     near_duplicates,
+    oracles,
     packing,
     proportions,
     response_defects,
@@ -111,6 +112,7 @@ WITH held AS (
 
 def oracle_sql() -> dict[str, str]:
     return {
+        **oracles.oracle_sql(),
         "p1_found": _USABLE + "SELECT category FROM per WHERE usable < greatest(min_rows, (target_permille * n + 999) // 1000)",
         "p3_found": _MIX + "SELECT gate, source_dataset FROM goals WHERE usable * cap < (target_permille * total + 999) // 1000",
     }

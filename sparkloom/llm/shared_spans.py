@@ -6,7 +6,7 @@ each match is extended to both sides, and maximal stretches of at least ``least`
 
 An anchor is three quarters of the length asked for, so few joined pairs fail the extension.  Copies of a text are one class
 (a 128-bit digest of the text): a task sends a class's anchors once, only one text per class is fetched for the extension, and
-the pairs of documents come from the membership at the end.
+the pairs of documents come from the membership at the end.  The coverage of each document needs no pairs at all.
 
 Defined results: null, empty and short texts share nothing; characters count as they are (letter case, width and blanks too);
 a repeated doc_id with the same text counts once.
@@ -16,7 +16,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import SENT_ROWS, cut_lineage, small
@@ -180,30 +180,111 @@ def shared_pairs(docs: DataFrame, least: int = LEAST, gram: int = GRAM) -> DataF
     return across.union(within).select(F.least("da", "db").alias("doc_id_a"), F.greatest("da", "db").alias("doc_id_b")).filter("doc_id_a < doc_id_b").distinct()
 
 
+def _anchor_rows(rows: DataFrame, least: int, gram: int) -> DataFrame:
+    """(sig, at, anchor, around): the anchors of each text a task sees first, with a hash of the ``least - gram`` characters on
+    both sides; null where the text ends before."""
+    side = least - gram
+
+    def run(batches):
+        seen: set[bytes] = set()
+        for batch in batches:
+            texts, sigs = batch.column("text").to_pylist(), batch.column("sig").to_pylist()
+            fresh = []
+            for x, s in enumerate(sigs):
+                if s not in seen:
+                    seen.add(s)
+                    fresh.append(x)
+            if len(seen) > 200_000:
+                seen.clear()
+            chosen = [texts[x] for x in fresh]
+            for i, j in pieces(chosen):
+                values, text, at = _anchors(chosen[i:j], least, gram)
+                if not len(values):
+                    continue
+                whole, bounds = char_grams(chosen[i:j], gram + 2 * side)
+                low = at - side
+                inside = (low >= 0) & (low < np.diff(bounds)[text])
+                around = np.zeros(len(at), np.uint64)
+                around[inside] = whole[bounds[text[inside]] + low[inside]]
+                own = pa.array(np.array(fresh)[i:j][text])
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("sig").take(own), pa.array(at.astype(np.int32)), pa.array(signed(values)), pa.array(signed(around), mask=~inside)],
+                    names=["sig", "at", "anchor", "around"],
+                )
+
+    return rows.select("sig", "text").mapInArrow(run, "sig binary, at int, anchor long, around long")
+
+
+def _windows_at(rows: DataFrame, least: int, gram: int) -> DataFrame:
+    """(sig, at, anchor, window): hashes of the windows of ``least`` characters that hold an anchor; rows (sig, text, spots)."""
+
+    def run(batches):
+        for batch in batches:
+            sigs = batch.column("sig")
+            for x, (text, spots) in enumerate(zip(batch.column("text").to_pylist(), batch.column("spots").to_pylist())):
+                grams, _ = char_grams([text], least)
+                starts, names = [], []
+                for spot in spots:
+                    low, high = max(spot["at"] - (least - gram), 0), min(spot["at"], len(text) - least)
+                    starts.append(np.arange(low, high + 1))
+                    names.append(np.full(max(high + 1 - low, 0), spot["anchor"], np.int64))
+                at = np.concatenate(starts)
+                yield pa.RecordBatch.from_arrays(
+                    [sigs.take(pa.array(np.full(len(at), x))), pa.array(at.astype(np.int32)), pa.array(np.concatenate(names)), pa.array(signed(grams[at]))],
+                    names=["sig", "at", "anchor", "window"],
+                )
+
+    return rows.select("sig", "text", "spots").mapInArrow(run, "sig binary, at int, anchor long, window long")
+
+
+def _in_two_texts(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, _lo): keys that stand in more than one text and the least of these, by an aggregation with map-side combine."""
+    return rows.groupBy(*keys).agg(F.min("sig").alias("_lo"), F.max("sig").alias("_hi")).filter("_lo <> _hi").select(*keys, "_lo")
+
+
+def shared_stretches_of_texts(docs: DataFrame, least: int = LEAST, gram: int = GRAM) -> DataFrame:
+    """(sig, f, t): stretches of each text that stand in a different text, found without writing out pairs of texts.
+
+    Every window of ``least`` characters holds an anchor, so only windows around anchors that two texts have can be shared.  An
+    anchor whose surroundings, as far as such a window can reach, are equal in two texts is shared with all of them; this
+    settles the inside of a repeated passage with one row per text.  Only for anchors near the ends of a passage the windows
+    themselves are compared, with those of one text for each kind of surroundings.  A passage in a third of all texts therefore costs rows in proportion to the texts, not to pairs.
+    """
+    rows = classes(docs).filter(F.length("text") >= least)
+    posts = cut_lineage(_anchor_rows(rows, least, gram))
+    shared = _in_two_texts(posts, ["anchor"]).select("anchor")
+    alike = _in_two_texts(posts.filter("around is not null"), ["anchor", "around"])
+    marked = cut_lineage(posts.join(small(shared, SENT_ROWS), "anchor").join(small(alike, SENT_ROWS), ["anchor", "around"], "left").select("sig", "at", "anchor", "_lo"))
+    side = least - gram
+    whole = marked.filter("_lo is not null").select("sig", (F.col("at") - side).alias("f"), (F.col("at") + least).alias("t"))
+    edges = marked.filter("_lo is null")
+    # texts of equal surroundings need no comparison, but one of them stands for all where others end earlier
+    stand_in = marked.filter("_lo = sig").join(small(edges.select("anchor").distinct(), SENT_ROWS), "anchor", "left_semi")
+    spots = edges.select("sig", "at", "anchor").union(stand_in.select("sig", "at", "anchor")).groupBy("sig").agg(F.collect_set(F.struct("at", "anchor")).alias("spots"))
+    text = rows.join(small(spots.select("sig"), SENT_ROWS), "sig", "left_semi").groupBy("sig").agg(F.min("text").alias("text"))
+    windows = cut_lineage(_windows_at(text.join(spots, "sig"), least, gram))
+    met = windows.join(small(_in_two_texts(windows, ["anchor", "window"]).drop("_lo"), SENT_ROWS), ["anchor", "window"])
+    return whole.union(met.select("sig", "at", F.col("at") + least)).distinct()
+
+
 def shared_coverage(docs: DataFrame, least: int = LEAST, gram: int = GRAM) -> DataFrame:
-    """(doc_id, n_chars, shared_chars, shared_share, other_texts, copies): how much of each such document stands elsewhere.
+    """(doc_id, n_chars, shared_chars, shared_share, stretches, copies): how much of each such document stands elsewhere.
 
-    ``other_texts`` counts different texts that share a span, ``copies`` the other documents with the same text, which make the
-    whole document shared.
+    ``stretches`` counts the separate shared parts, ``copies`` the other documents with the same text, which make the whole
+    document shared.
     """
-    found = cut_lineage(like_classes(docs, least, gram))
-    sides = found.selectExpr("sig_a sig", "sig_b other", "spans_a spans").union(found.selectExpr("sig_b", "sig_a", "spans_b"))
-    partners = sides.groupBy("sig").agg(F.count("*").alias("other_texts"))
+    each = shared_stretches_of_texts(docs, least, gram)
     # merge overlapping stretches of a text in order of their starts
-    from pyspark.sql import Window
-
-    each = sides.select("sig", F.explode("spans").alias("s")).select("sig", "s.f", "s.t").distinct()
     by = Window.partitionBy("sig").orderBy("f", "t")
-    before = F.max("t").over(by.rowsBetween(Window.unboundedPreceding, -1))
-    gain = F.greatest(F.lit(0), F.col("t") - F.greatest(F.col("f"), F.coalesce(before, F.lit(0))))
-    covered = each.withColumn("gain", gain).groupBy("sig").agg(F.sum("gain").alias("covered"))
-    member = classes(docs).filter(F.length("text") >= least).select("did", "sig", F.length("text").alias("n_chars")).distinct()
+    before = F.coalesce(F.max("t").over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(-1))
+    gain = F.greatest(F.lit(0), F.col("t") - F.greatest(F.col("f"), before))
+    merged = each.withColumn("gain", gain).withColumn("new", F.col("f") > before)
+    covered = merged.groupBy("sig").agg(F.sum("gain").alias("covered"), F.count_if("new").alias("parts"))
+    member = classes(docs).filter(F.length("text") >= least).select("did", "sig", F.length("text").cast("long").alias("n_chars")).distinct()
     copies = member.groupBy("sig").agg((F.count("*") - 1).alias("copies"))
-    out = member.join(copies, "sig").join(covered, "sig", "left").join(partners, "sig", "left").filter("copies > 0 or covered > 0")
+    out = member.join(copies, "sig").join(covered, "sig", "left").filter("copies > 0 or covered > 0")
     shared = F.when(F.col("copies") > 0, F.col("n_chars")).otherwise(F.col("covered"))
     return out.select(
         F.col("did").alias("doc_id"), "n_chars", shared.cast("long").alias("shared_chars"), F.round(shared / F.col("n_chars"), 6).alias("shared_share"),
-        F.coalesce("other_texts", F.lit(0)).alias("other_texts"), "copies",
+        F.when(F.col("copies") > 0, F.lit(1)).otherwise(F.col("parts")).cast("long").alias("stretches"), "copies",
     )
-
-

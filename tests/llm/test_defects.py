@@ -33,6 +33,35 @@ def test_row_rules(question, answer, defect):
     assert R.row_defect(question, answer)[0] == defect
 
 
+PLACE, PLACE_ZH = "What is the capital of France and which river does it lie on?", "法国的首都是哪里？它位于哪条河边？"
+
+
+@pytest.mark.parametrize(
+    ("question", "answer", "defect", "state"),
+    [
+        (PLACE, "La capitale della Francia è Parigi e si trova sulla Senna, che attraversa la città.", "other_language", None),
+        (PLACE, "Столица Франции — Париж, он стоит на реке Сена.", "other_language", None), (PLACE_ZH, "フランスの首都はパリで、セーヌ川のほとりにあります。", "other_language", None),
+        (PLACE, "Je suis désolé, je ne peux pas répondre à cette question.", "refusal", None), (PLACE, "Desculpe, não posso responder a esta pergunta.", "refusal", None),
+        (PLACE, "Paris is the capital of France and lies on the Seine", None, "unended"), (PLACE, "The question asks which city is the capital of France and which river it lies on.", "copied", None),
+        (PLACE_ZH, "您想知道法国的首都是哪里，位于哪条河边。", "copied", None), ("Is Paris or Lyon the capital of France?", "Paris is the capital of France.", None, "done"),
+        ("Write add in C.", "int add(int a, int b) {\n    return a + b;\n}", None, "done"), ("Write add in C.", "int add(int a, int b) { return a + b; }", None, "done"),
+        ("Write add in C.", "int add(int a, int b) {\n    return a +", "truncated", None), ("Write it in JavaScript.", "```js\nconst f = (x) => x + 1;\n```", None, "done"),
+        (PLACE, "Paris liegt an der Seine und ist die Hauptstadt von Frankreich.", "other_language", None), (PLACE, "The river that it lies on is the Seine, and the capital is Paris.", None, "done"),
+    ],
+)
+def test_rules_beyond_the_frequent_forms(question, answer, defect, state):
+    assert R.row_defect(question, answer) == (defect, state)
+
+
+@pytest.mark.parametrize("others", [0, 40])
+def test_a_sentence_without_an_end_counts_by_the_habit_of_the_collection(spark, others):
+    schema = "sample_id string, dataset_key string, messages array<struct<role: string, content: string>>, answer string, created_ts timestamp"
+    rows = [("open", "k", [("user", PLACE)], "Paris is the capital of France and lies on the Seine", NOW)]
+    rows += [(f"r{i}", "k", [("user", Q)], f"The crew {i} found a blown fuse in feeder {i} and replaced it.", NOW) for i in range(others)]
+    got = {r["sample_id"] for r in R.defects(spark.createDataFrame(rows, schema)).collect()}
+    assert got == ({"open"} if others else set())
+
+
 def test_defects(spark):
     schema = "sample_id string, dataset_key string, messages array<struct<role: string, content: string>>, answer string, created_ts timestamp, rid string, open string"
     ask = lambda q: [("system", "Be brief."), ("user", q)]

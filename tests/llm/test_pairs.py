@@ -215,8 +215,11 @@ def test_leaks_equal_brute_force(spark):
             if any(tuple(y[a : a + 15]) in have for a in range(len(y) - 14)):
                 want.add((i, 100 + j))
     assert {(r[0], r[1]) for r in eval_leakage.leaks(d, e).select("doc_id", "item_id").collect()} == want and want
-    # the test set in blocks gives the same
-    assert {(r[0], r[1]) for r in eval_leakage.leaks(d, e, block=200).select("doc_id", "item_id").collect()} == want
+    # a test set that is too large to be sent gives the same rows by a join of seeds
+    whole = lambda **k: sorted((r[0], r[1], r[2], r[3], r[4], round(r[5], 9)) for r in eval_leakage.leaks(d, e, **k).collect())
+    assert whole(block=200) == whole()
+    assert sorted((r[0], r[1]) for r in eval_leakage.leaks(d, e, 6, 200).collect()) == sorted((r[0], r[1]) for r in eval_leakage.leaks(d, e, 6).collect())
+    assert eval_leakage.leaks(d.limit(0), e, block=200).count() == 0
     assert eval_leakage.leaks(d.limit(0), e).count() == 0 and eval_leakage.leaks(d, e.limit(0)).count() == 0
 
 
@@ -261,6 +264,29 @@ def test_shared_spans_equal_brute_force(spark):
     assert shared_spans.shared_pairs(df.limit(0)).count() == 0
 
 
+def test_coverage_of_a_passage_in_most_texts(spark):
+    rng = random.Random(8)
+    make = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    head, middle = make(500), make(700)
+    docs = [(head if i % 3 == 0 else "") + make(90 + i % 40) + (middle[i % 5 :] if i % 2 else "") + make(80) for i in range(1200)]
+    df = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    few = shared_spans.shared_stretches_of_texts(df.filter("doc_id < 300")).count()
+    assert shared_spans.shared_stretches_of_texts(df).count() < 5 * few  # in proportion to the texts, not to their pairs
+    got = {r["doc_id"]: (r["shared_chars"], r["stretches"]) for r in shared_spans.shared_coverage(df).collect()}
+    holder: dict = {}
+    for i, t in enumerate(docs):
+        for a in range(len(t) - 239):
+            w = t[a : a + 240]
+            holder[w] = i if holder.get(w, i) == i else -1
+    for i, t in enumerate(docs):
+        mark = [False] * len(t)
+        for a in range(len(t) - 239):
+            if holder[t[a : a + 240]] == -1:
+                mark[a : a + 240] = [True] * 240
+        runs_of = sum(m and not (x and mark[x - 1]) for x, m in enumerate(mark))
+        assert got.get(i, (0, 0)) == (sum(mark), runs_of), i
+
+
 def test_maximal_repeats():
     rng = random.Random(9)
     core = "".join(rng.choice("abcdefgh") for _ in range(400))
