@@ -9,6 +9,11 @@ NUMBER = r"[-+]?\d[\d,]*(?:\.\d+)?"
 _ALL = F.lit
 
 
+def named(c: Column, f) -> Column:
+    """f(c) with the value of ``c`` computed once, however often f uses it."""
+    return F.get(F.transform(F.array(c), f), F.lit(0))
+
+
 def _numbers(c: Column) -> Column:
     return F.regexp_extract_all(c, _ALL(f"({NUMBER})"), _ALL(1))
 
@@ -31,6 +36,30 @@ def canonical_number(c: Column) -> Column:
     return F.when(F.regexp_replace(F.trim(c), ",", "").rlike(r"^[-+]?\d+(\.\d*)?$"), F.when(s == "-0", "0").otherwise(s))
 
 
+_EXPONENT = r"[-+]?(?:\d[\d,]*\.?\d*|\.\d+)(?:[eE][-+]?\d+)?"
+
+
+def decimal_number(c: Column) -> Column:
+    """As canonical_number, for numbers with an exponent or a leading point too; written without an exponent (20 digits before
+    and 18 behind the point); null if it is no finite number of that size."""
+    plain = F.regexp_replace(F.trim(c), ",", "")
+    fixed = named(plain, lambda x: F.when(x.rlike(rf"^{_EXPONENT}$"), x.try_cast("decimal(38,18)")))
+    # Spark writes small decimals with an exponent; format_number does not, but groups the digits
+    full = named(fixed, lambda d: F.when(d.cast("string").contains("E"), F.regexp_replace(F.format_number(d, 18), ",", "")).otherwise(d.cast("string")))
+    return named(full, canonical_number)
+
+
+def number(c: Column, strict: bool = False) -> Column:
+    """struct(value, canonical): a number in one form, and whether the text has it behind its last mark ####.
+
+    Behind the mark nothing but the number may stand for it to be canonical.  ``strict`` asks for a canonical one, otherwise
+    the last number of the text serves too.
+    """
+    marked = named(F.trim(_after_mark(c)), lambda t: F.when(t.rlike(rf"^\$?{_EXPONENT}\.?$"), decimal_number(F.regexp_replace(t, r"^\$|\.$", ""))))
+    last = decimal_number(F.regexp_replace(F.try_element_at(F.regexp_extract_all(c, _ALL(f"({_EXPONENT})"), _ALL(1)), F.lit(-1)), r"\.$", ""))
+    return named(marked, lambda m: F.struct((m if strict else F.coalesce(m, last)).alias("value"), m.isNotNull().alias("canonical")))
+
+
 def last_number(c: Column) -> Column:
     """Last number behind the last ####; a placeholder there falls back to the text before it; else the last number at all."""
     tail = _after_mark(c)
@@ -51,6 +80,20 @@ def final_choice(c: Column) -> Column:
     return F.coalesce(*[F.try_element_at(F.regexp_extract_all(up, F.lit(p), F.lit(1)), F.lit(-1)) for p in steps])
 
 
+def choice(c: Column, variant: str) -> Column:
+    """A letter A to D: ``strict`` (last line only), ``stated`` (last explicit final answer), ``first`` (first letter that stands
+    alone), ``isolated`` (last one), ``explicit`` (all of final_choice)."""
+    if variant == "strict":
+        return strict_choice(c)
+    if variant == "explicit":
+        return final_choice(c)
+    pattern, at = {
+        "stated": (r"(?:最终答案|答案|FINAL ANSWER|ANSWER)\s*(?:是|为|IS)?\s*[:：]?\s*\(?([A-D])(?:[^A-Z]|$)", -1),
+        "first": (r"(?:^|[^A-Z])([A-D])(?:[^A-Z]|$)", 1), "isolated": (r"(?:^|[^A-Z])([A-D])(?:[^A-Z]|$)", -1),
+    }[variant]
+    return F.try_element_at(F.regexp_extract_all(F.upper(c), F.lit(pattern), F.lit(1)), F.lit(at))
+
+
 def strict_choice(c: Column) -> Column:
     """The letter of a last line of the form 最终答案：X, null otherwise."""
     last = F.trim(F.substring_index(F.regexp_replace(c, r"\s+$", ""), "\n", -1))
@@ -89,6 +132,65 @@ def json_text(c: Column) -> Column:
     return F.when(found != "", found)
 
 
+def balanced_json(text: str | None) -> str | None:
+    """The first JSON object of a text that parses, found by matching braces outside strings; a comma before a closing bracket is
+    left out.  Null if there is none."""
+    import json
+    import re
+
+    for start in (i for i, ch in enumerate(text or "") if ch == "{"):
+        depth, quoted, skip = 0, False, False
+        for at in range(start, len(text)):
+            ch = text[at]
+            if skip:
+                skip = False
+            elif quoted:
+                skip, quoted = ch == "\\", ch != '"'
+            elif ch == '"':
+                quoted = True
+            elif ch in "{}":
+                depth += 1 if ch == "{" else -1
+                if not depth:
+                    for body in (text[start : at + 1], re.sub(r",(\s*[}\]])", r"\1", text[start : at + 1])):
+                        try:
+                            return json.dumps(json.loads(body), ensure_ascii=False, sort_keys=True)
+                        except ValueError:
+                            continue
+                    break
+    return None
+
+
+def repaired_json(c: Column) -> Column:
+    """balanced_json as a Column, in Arrow batches; for replies that json_text does not parse."""
+    import pandas as pd
+
+    return F.pandas_udf(lambda s: pd.Series([balanced_json(t) for t in s], dtype=object), "string")(c)
+
+
+def rank_of(c: Column, order: list[str], unknown: int = 0) -> Column:
+    """Place of a value in a list, from 1; ``unknown`` for any other."""
+    return F.coalesce(*[F.when(c == v, F.lit(i)) for i, v in enumerate(order, 1)], F.lit(unknown))
+
+
+def near(a: Column, b: Column, tolerance: float = 1e-12) -> Column:
+    return F.abs(a - b) <= tolerance
+
+
+def megabytes(c: Column, binary: bool = False) -> Column:
+    """Bytes as decimal megabytes, or as mebibytes."""
+    return c / F.lit(float(1 << 20) if binary else 1e6)
+
+
+def iso_time(seconds: Column) -> Column:
+    """Seconds since 1970 as UTC text."""
+    return F.concat(F.date_format(F.timestamp_seconds(seconds), "yyyy-MM-dd'T'HH:mm:ss"), F.lit("Z"))
+
+
+def now_iso() -> Column:
+    """The time of the query, the same on every row."""
+    return iso_time(F.unix_timestamp(F.current_timestamp()))
+
+
 def json_field(c: Column, path: str) -> Column:
     return F.get_json_object(json_text(c), path)
 

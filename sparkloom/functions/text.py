@@ -73,8 +73,17 @@ def fenced_code(c: Column) -> Column:
 
 
 def without_thinking(c: Column) -> Column:
-    """The text without a think envelope."""
-    return F.trim(F.regexp_replace(c, r"(?is)<think>.*?</think>", ""))
+    """The text without think envelopes; one that is never closed takes the rest of the text, one never opened the start."""
+    shut = F.regexp_replace(F.regexp_replace(c, r"(?is)<think>.*?</think>", ""), r"(?is)^.*?</think>", "")
+    return F.trim(F.regexp_replace(shut, r"(?is)<think>.*$", ""))
+
+
+def dedented(c: Column) -> Column:
+    """The text without the white space that all its non-blank lines begin with."""
+    lines = F.split(c, "\n", -1)
+    lead = F.transform(F.filter(lines, lambda x: F.trim(F.regexp_replace(x, r"\s", " ")) != ""), lambda x: F.length(F.regexp_extract(x, r"^[ \t]*", 0)))
+    cut = F.coalesce(F.array_min(lead), F.lit(0))
+    return F.array_join(F.transform(lines, lambda x: F.substr(x, F.least(cut, F.length(F.regexp_extract(x, r"^[ \t]*", 0))) + 1)), "\n")
 
 
 def without_frame(c: Column, prefixes: list[str], suffixes: list[str]) -> Column:

@@ -72,6 +72,48 @@ def group_advantage(df: DataFrame, group: str, value: str, flat: float = 1e-4) -
     return df.join(stats, group).withColumn("advantage", z).drop("_m", "_s")
 
 
+def error_count(df: DataFrame, groups: list[str], error: str) -> DataFrame:
+    """(groups, rows, errors): rows whose error text is not empty."""
+    return df.groupBy(*groups).agg(F.count("*").alias("rows"), F.count_if(F.coalesce(F.length(error), F.lit(0)) > 0).alias("errors"))
+
+
+def row_checksum(df: DataFrame, groups: list[str], cols: list[str], order: list[str], rows_each: int = 100_000) -> DataFrame:
+    """(groups, rows, checksum) of the rows in an order: SHA-256 over the hashes of pieces, each over its rows' hashes in order.
+
+    Rows are numbered by range partitions and hashed in pieces of ``rows_each``, so no task holds more than one piece.  A change
+    of any value or of the order changes the checksum.
+    """
+    from ..functions.hashing import row_hash
+    from .windows import global_rank
+
+    hashed = df.select(*groups, *[F.col(c).alias(f"_o{i}") for i, c in enumerate(order)], row_hash(cols).alias("_h"))
+    at = [F.col(f"_o{i}") for i in range(len(order))]
+    ranked = global_rank(hashed, [*[F.col(g) for g in groups], *at], "_r", 0)
+    ranked = ranked.withColumn("_g", F.to_json(F.struct(F.lit(0).alias("_"), *groups)))
+    first = ranked.groupBy("_g").agg(F.min("_r").alias("_low"))  # one row per group
+    pieces = ranked.join(first, "_g").select(
+        *groups, F.floor((F.col("_r") - F.col("_low")) / rows_each).alias("_p"), F.struct(F.col("_r"), F.col("_h")).alias("_x")
+    )
+    inner = F.sha2(F.concat(F.array_join(F.transform(F.array_sort(F.collect_list("_x")), lambda x: x["_h"]), "\n"), F.lit("\n")), 256)
+    part = pieces.groupBy(*groups, "_p").agg(F.count("*").alias("_n"), inner.alias("_h"))
+    whole = F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_p", "_h"))), lambda x: x["_h"]), "\n"), 256)
+    return part.groupBy(*groups).agg(F.sum("_n").alias("rows"), whole.alias("checksum"))
+
+
+def inventory(files: DataFrame, group: str, name: str, extension: str, size: str, modified: str, first: int = 3) -> DataFrame:
+    """(group, files, bytes, newest, extensions, samples): extensions as a map to their counts, samples the first names in order."""
+    by = files.groupBy(group, extension).agg(F.count("*").alias("_n"), F.sum(size).alias("_b"), F.max(modified).alias("_m"), F.min(name).alias("_f"))
+    names = files.select(group, name).distinct()
+    from pyspark.sql import Window as W
+
+    rank = F.row_number().over(W.partitionBy(group).orderBy(name))
+    lead = names.withColumn("_r", rank).filter(F.col("_r") <= first).groupBy(group).agg(F.array_sort(F.collect_list(name)).alias("samples"))
+    whole = by.groupBy(group).agg(
+        F.sum("_n").alias("files"), F.sum("_b").alias("bytes"), F.max("_m").alias("newest"), F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.coalesce(extension, F.lit("")), "_n")))).alias("extensions")
+    )
+    return whole.join(lead, group, "left")
+
+
 def zero_filled(df: DataFrame, column: str, values: list[str]) -> DataFrame:
     """Count of each listed value, 0 where there is none."""
     listed = df.sparkSession.createDataFrame([(v,) for v in values], f"{column} string")
@@ -89,12 +131,23 @@ def relation_stats(df: DataFrame, node: list[str], group: str) -> DataFrame:
 
 
 def conflict_metrics(df: DataFrame, event: str, action: str) -> DataFrame:
-    """One row: events, rows, events with more than one action, their share, and rows per event."""
+    """One row: events, rows, events with more than one action, their share."""
     by = df.groupBy(event).agg(F.count("*").alias("_r"), F.count_distinct(action).alias("_a"))
     hit = F.count_if(F.col("_a") > 1)
     return by.agg(F.count("*").alias("events"), F.sum("_r").alias("rows"), hit.alias("conflicts"), F.coalesce(F.try_divide(hit.cast("double"), F.count("*")), F.lit(0.0)).alias("conflict_share"))
 
 
+def resolution_metrics(df: DataFrame, event: str, action: str, settled: str) -> DataFrame:
+    """One row: events, conflicts (events of several actions), unresolved ones (no row of them settled), and the shares of
+    unresolved events and of resolved conflicts; the latter is 1 where there is no conflict."""
+    by = df.groupBy(event).agg(F.count_distinct(action).alias("_a"), F.max(F.coalesce(F.col(settled), F.lit(False))).alias("_s"))
+    hit, open_ = F.count_if(F.col("_a") > 1), F.count_if((F.col("_a") > 1) & ~F.col("_s"))
+    share = lambda a, b, empty: F.coalesce(F.try_divide(a.cast("double"), b), F.lit(empty))
+    return by.agg(
+        F.count("*").alias("events"), hit.alias("conflicts"), open_.alias("unresolved"), share(open_, F.count("*"), 0.0).alias("unresolved_share"), share(hit - open_, hit, 1.0).alias("resolved_share")
+    )
+
+
 def repeated_keys(df: DataFrame, key: str, limit: int = 5) -> DataFrame:
     """The first keys, in order, that are empty or stand in several rows."""
     by = df.groupBy(F.coalesce(F.col(key).cast("string"), F.lit("")).alias(key)).agg(F.count("*").alias("n"))

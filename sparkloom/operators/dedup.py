@@ -52,11 +52,11 @@ def merge_shards(shards: list[DataFrame], key: str, order: list[str]) -> tuple[D
 
 
 def overlay(base: DataFrame, over: DataFrame, key: str) -> DataFrame:
-    """Rows of both; where both have the key, the right one's non-null columns win."""
+    """Rows of both; where both have the key, the right row stands for both, with its nulls."""
     cols = [c for c in base.columns if c != key]
-    b, o = base.alias("b"), over.alias("o")
+    b, o = base.alias("b"), over.withColumn("_over", F.lit(True)).alias("o")
     return b.join(o, F.col(f"b.{key}") == F.col(f"o.{key}"), "full_outer").select(
-        F.coalesce(f"o.{key}", f"b.{key}").alias(key), *[F.coalesce(f"o.{c}", f"b.{c}").alias(c) for c in cols]
+        F.coalesce(f"o.{key}", f"b.{key}").alias(key), *[F.when(F.col("o._over"), F.col(f"o.{c}")).otherwise(F.col(f"b.{c}")).alias(c) for c in cols]
     )
 
 

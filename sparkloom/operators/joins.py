@@ -9,11 +9,24 @@ from ..functions import text as T
 
 #: A side is broadcast by hint only below this many rows, counted first; beyond it the join shuffles.
 BROADCAST_ROWS = 200_000
+#: And only if these rows are not larger than this.
+BROADCAST_BYTES = 64 << 20
 
 
-def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` with a broadcast hint if it has at most ``limit`` rows (the count stops there)."""
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+def _bytes(df: DataFrame) -> Column:
+    """About the size of a row: text and bytes as they are, list entries and other values with 16 bytes."""
+    def one(name: str, kind: str) -> Column:
+        if kind in ("string", "binary"):
+            return F.octet_length(name)
+        return F.size(name) * 16 if kind.startswith(("array", "map")) else F.lit(16)
+
+    return sum((F.coalesce(one(f"`{c}`", k), F.lit(0)) for c, k in df.dtypes), F.lit(0))
+
+
+def small(df: DataFrame, limit: int = BROADCAST_ROWS, most: int = BROADCAST_BYTES) -> DataFrame:
+    """``df`` with a broadcast hint if it has at most ``limit`` rows of together at most ``most`` bytes (counted, up to the limit)."""
+    n, size = df.select(_bytes(df).cast("long").alias("b")).limit(limit + 1).agg(F.count("*"), F.coalesce(F.sum("b"), F.lit(0))).first()
+    return F.broadcast(df) if n <= limit and size <= most else df
 
 
 def match_audit(left: DataFrame, right: DataFrame, key: str, compare: list[str] = ()) -> DataFrame:

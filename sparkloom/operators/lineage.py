@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
@@ -13,7 +16,12 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     The folder is the session's ``spark.checkpoint.dir``.  Only where that is unset and the master is in-process (tests) is
     a temporary folder chosen here; on a cluster a missing setting is an error rather than a machine-local folder.
     """
-    spark = df.sparkSession
+    ensure_folder(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
+def ensure_folder(spark: SparkSession) -> str:
+    """The shared folder for intermediate data, set as the checkpoint folder of the session."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         folder = spark.conf.get("spark.checkpoint.dir", "")
@@ -21,5 +29,11 @@ def cut_lineage(df: DataFrame) -> DataFrame:
             if not sc.master.startswith("local[") and sc.master != "local":
                 raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
             folder = tempfile.mkdtemp(prefix="sparkloom-checkpoint-")
+            atexit.register(shutil.rmtree, folder, ignore_errors=True)
         sc.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new name inside that folder."""
+    return f"{ensure_folder(spark)}/{uuid.uuid4().hex}"

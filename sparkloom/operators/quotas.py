@@ -58,10 +58,15 @@ def take_quotas(df: DataFrame, group: str, quotas: dict[str, int], order: Column
     return take_smallest_per_group(df.withColumn("_o", order), q, [group], "_o", tie).drop("_o")
 
 
+def scarcest_first(have: dict[str, int], quotas: dict[str, int]) -> list[str]:
+    """Groups by rows per row asked for, ascending, then by name: the order in which quotas are filled."""
+    return sorted(quotas, key=lambda k: (have.get(k, 0) / quotas[k] if quotas[k] else float("inf"), k))
+
+
 def require_filled(df: DataFrame, group: str, quotas: dict[str, int]) -> None:
     """Raises when a group has fewer rows than its quota; lists the groups scarcest first."""
     have = group_sizes(df, group)
-    short = sorted((k for k, q in quotas.items() if have.get(k, 0) < q), key=lambda k: have.get(k, 0) / quotas[k])
+    short = [k for k in scarcest_first(have, quotas) if have.get(k, 0) < quotas[k]]
     if short:
         raise ValueError("too few rows for " + ", ".join(f"{k} ({have.get(k, 0)} of {quotas[k]})" for k in short))
 
@@ -78,8 +83,10 @@ def balanced_fill(df: DataFrame, group: str, order: list[Column], target: int, f
 def greedy_domains(df: DataFrame, domain: str, identity: str, order: Column, total: int) -> DataFrame:
     """Equal quotas filled domain by domain, scarcest first; an identity taken by one domain is gone for the later ones.
 
-    One pass per domain (a short list), each an anti join with what is taken so far.
+    One pass per domain (a short list), each an anti join with what is taken so far, which is written out after each pass.
     """
+    from .lineage import cut_lineage
+
     sizes = group_sizes(df, domain)
     quotas = equal_shares(sorted(sizes), total)
     taken = None
@@ -87,16 +94,25 @@ def greedy_domains(df: DataFrame, domain: str, identity: str, order: Column, tot
         pool = df.filter(F.col(domain) == d)
         if taken is not None:
             pool = pool.join(taken.select(identity), identity, "left_anti")
-        mine = pool.orderBy(order, identity).dropDuplicates([identity]).orderBy(order, identity).limit(quotas[d])
-        taken = mine if taken is None else taken.unionByName(mine)
+        rest = [c for c in df.columns if c != identity]
+        one = pool.withColumn("_o", order).groupBy(identity).agg(F.min(F.struct("_o", *rest)).alias("_m")).select(identity, "_m.*")
+        mine = one.orderBy("_o", identity).limit(quotas[d]).select(*df.columns)
+        taken = cut_lineage(mine if taken is None else taken.unionByName(mine))
     return taken if taken is not None else df.limit(0)
 
 
-def label_balanced(df: DataFrame, group: str, label: str, order: list[Column], held_out: int, train: int) -> DataFrame:
-    """Per group and label the first ``held_out`` rows as validation, the next ``train`` as train, the rest as spare."""
-    rank = F.row_number().over(Window.partitionBy(group, label).orderBy(*order))
-    role = F.when(rank <= held_out, "validation").when(rank <= held_out + train, "train").otherwise("spare")
-    return df.withColumn("role", role)
+def label_balanced(df: DataFrame, group: str, label: str, key: str, order: Column, held_out: int, train: int) -> DataFrame:
+    """Per group and label the first ``held_out`` rows as validation, the next ``train`` as train, the rest as spare.
+
+    ``order`` is a 64-bit hash and ``key`` unique: only the hash cells that hold the first rows of a group are ranked, so a
+    group of any size is spread over the tasks.
+    """
+    keyed = df.withColumn("_o", order)
+    sizes = keyed.select(group, label).distinct().withColumn("quota", F.lit(held_out + train))
+    first = take_smallest_per_group(keyed.select(group, label, key, "_o").filter(F.col(group).isNotNull() & F.col(label).isNotNull()), sizes, [group, label], "_o", key)
+    rank = F.row_number().over(Window.partitionBy(group, label).orderBy("_o", key))  # over the chosen rows only
+    roles = first.withColumn("role", F.when(rank <= held_out, "validation").otherwise("train")).select(key, "role")
+    return df.join(roles, key, "left").withColumn("role", F.coalesce("role", F.lit("spare")))
 
 
 def fresh_first(df: DataFrame, group: str, seen: str, order: list[Column], top: int) -> DataFrame:
@@ -117,14 +133,15 @@ def failure_curriculum(df: DataFrame, correct: str, order: list[Column], rule: s
 
 def until_accepted(df: DataFrame, order: list[Column], accept, target: int, batch: int) -> DataFrame:
     """The first ``target`` accepted rows in order, running the costly ``accept`` on rank ranges until there are enough."""
+    from .lineage import cut_lineage
     from .windows import global_rank
 
     ranked = global_rank(df, order, "_r")
-    total, done, low = ranked.count(), None, 0
-    while low < total:
-        part = accept(ranked.filter((F.col("_r") > low) & (F.col("_r") <= low + batch)))
+    total, done, low, have = ranked.count(), None, 0, 0
+    while low < total and have < target:
+        # each part is accepted once and written; only its size is asked again
+        part = cut_lineage(accept(ranked.filter((F.col("_r") > low) & (F.col("_r") <= low + batch))))
+        have += part.count()
         done = part if done is None else done.unionByName(part)
         low += batch
-        if done.count() >= target:
-            break
     return (done if done is not None else ranked).orderBy("_r").limit(target).drop("_r")

@@ -50,14 +50,17 @@ def interleave(df: DataFrame, group: str, order: list[Column], limit: int) -> Da
     return ranked.orderBy("_turn", group).limit(limit).drop("_turn")
 
 
-def arbitrate(df: DataFrame, event: str, order: list[str]) -> DataFrame:
-    """The row of each event that is greatest in the listed columns, and whether the event's actions disagree.
+def arbitrate(df: DataFrame, event: str, order: list[str], action: str | None = None) -> DataFrame:
+    """The row of each event that is greatest in the listed columns, the number of its rows, and, if ``action`` names a column,
+    whether its non-null actions disagree.
 
     A maximum over a struct is combined on the map side, so a hot event costs one row per task.
     """
     rest = [c for c in df.columns if c != event and c not in order]
-    best = df.groupBy(event).agg(F.max(F.struct(*order, *rest)).alias("_b"), F.count("*").alias("candidates"))
-    return best.select(event, "_b.*", "candidates")
+    best = df.groupBy(event).agg(
+        F.max(F.struct(*order, *rest)).alias("_b"), F.count("*").alias("candidates"), *([(F.min(action) != F.max(action)).alias("disagree")] if action else [])
+    )
+    return best.select(event, "_b.*", "candidates", *(["disagree"] if action else []))
 
 
 def breaches(df: DataFrame, source: str, time: str, bad: Column, least: int) -> DataFrame:

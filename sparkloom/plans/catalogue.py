@@ -5,9 +5,6 @@ Every query runs over its whole tables and whole texts.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import code as C
@@ -20,63 +17,9 @@ from ..operators import decision as D
 from ..operators import dedup, gates, joins, quality, quotas, weights, windows
 from ..streaming import outbox
 from . import pipelines
+from .registry import fold, grams, hash_order, oracle_sql, queries, query, spaced, squash, tokens
 
-Query = Callable[[SparkSession, str], DataFrame]
-_QUERIES: dict[str, Query] = {}
-_SQL: dict[str, str] = {}
-
-# SQL pieces that mirror the Column functions
-SPACE = r"[\t-\r \x{0085}\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
-
-
-def fold(c: str) -> str:
-    return f"replace(lower({c}), 'ß', 'ss')"
-
-
-def squash(c: str) -> str:
-    return fold(f"regexp_replace({c}, '[^\\p{{L}}\\p{{N}}_]+', '', 'g')")
-
-
-def spaced(c: str) -> str:
-    return f"trim(regexp_replace({c}, '{SPACE}+', ' ', 'g'))"
-
-
-def tokens(c: str) -> str:
-    return f"regexp_extract_all({fold(c)}, '[A-Za-z_][\\p{{L}}\\p{{N}}_]*|\\p{{Nd}}+|[一-鿿]')"
-
-
-def grams(t: str, n: int = 4) -> str:
-    return (
-        f"CASE WHEN len({t}) = 0 THEN [] WHEN len({t}) < {n} THEN [array_to_string({t}, ' ')] "
-        f"ELSE list_distinct(list_transform(range(1, len({t}) - {n} + 2), lambda i: array_to_string({t}[i:i + {n - 1}], ' '))) END"
-    )
-
-
-def hash_order(seed: object, key: str) -> str:
-    return f"sha256(concat_ws(':', '{seed}', {key}))"
-
-
-def query(sql: str | None = None):
-    def add(f):
-        name = f.__name__.rstrip("_")
-
-        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            return f(lambda t: spark.read.parquet(f"{sf_dir}/{t}.parquet"))
-
-        _QUERIES[name] = run
-        if sql:
-            _SQL[name] = sql
-        return f
-
-    return add
-
-
-def queries() -> dict[str, Query]:
-    return dict(_QUERIES)
-
-
-def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
+__all__ = ["oracle_sql", "queries"]
 
 
 # ---------------------------------------------------------------- curation of texts
@@ -110,9 +53,9 @@ def normalise_counts(t):
     return d.agg(h(T.squash("text")).alias("squashed"), h(T.spaced_fold(F.col("text"))).alias("spaced_folded"), h(T.spaced(F.col("text"))).alias("spaced"), h(T.squash_letters("text")).alias("letters"))
 
 
-@query("SELECT trace_id, max(created_ts) AS created_ts FROM semantic_distill_trace GROUP BY 1")
+@query("SELECT trace_id, created_ts, split, source_dataset FROM semantic_distill_trace QUALIFY row_number() OVER (PARTITION BY trace_id ORDER BY created_ts DESC NULLS LAST, source_dataset DESC NULLS LAST, split DESC NULLS LAST) = 1")
 def keep_last_trace(t):
-    return dedup.keep_last(t("semantic_distill_trace").select("trace_id", "created_ts"), ["trace_id"], ["created_ts"])
+    return dedup.keep_last(t("semantic_distill_trace").select("trace_id", "created_ts", "split", "source_dataset"), ["trace_id"], ["created_ts", "source_dataset", "split"])
 
 
 @query("SELECT lang, source, arg_min(doc_id, sha256(concat_ws(':', '7', doc_id))) AS doc_id FROM documents GROUP BY 1, 2")
@@ -242,14 +185,21 @@ def answer_numbers(t):
 
 @query(
     r"""SELECT sample_id, created_ts, nullif(regexp_extract(trim(split_part(regexp_replace(answer, '\s+$', ''), chr(10), -1)), '^最终答案：([A-D])$', 1), '') AS strict_letter,
-    regexp_extract_all(upper(answer), '(?:最终答案|答案|FINAL ANSWER|ANSWER)\s*(?:是|为|IS)?\s*[:：]?\s*\(?([A-D])', 1)[-1] AS said_letter FROM build_p0a32_train"""
+    regexp_extract_all(upper(answer), '(?:最终答案|答案|FINAL ANSWER|ANSWER)\s*(?:是|为|IS)?\s*[:：]?\s*\(?([A-D])(?:[^A-Z]|$)', 1)[-1] AS said_letter FROM build_p0a32_train"""
 )
 def answer_letters(t):
-    said = F.try_element_at(F.regexp_extract_all(F.upper("answer"), F.lit(r"(?:最终答案|答案|FINAL ANSWER|ANSWER)\s*(?:是|为|IS)?\s*[:：]?\s*\(?([A-D])(?![A-Z])"), F.lit(1)), F.lit(-1))
+    said = X.choice(F.col("answer"), "stated")
     return t("build_p0a32_train").select("sample_id", "created_ts", X.strict_choice(F.col("answer")).alias("strict_letter"), said.alias("said_letter"))
 
 
-@query()
+_LETTER = "regexp_extract_all(u, '{}', 1)[-1]"
+
+
+@query(
+    f"""WITH a AS (SELECT sample_id, created_ts, upper(coalesce(answer, '')) AS u FROM train_p0a5_lora)
+    SELECT sample_id, created_ts, coalesce({_LETTER.format(r"(?:最终答案|答案|FINAL ANSWER|ANSWER)\s*(?:是|为|IS)?\s*[:：]?\s*\(?([A-D])(?:[^A-Z]|$)")},
+    {_LETTER.format(r"选(?:择)?\s*([A-D])(?:[^A-Z]|$)")}, regexp_extract_all(regexp_replace(u, '([^A-Z])', '\\1\\1', 'g'), '(?:^|[^A-Z])([A-D])(?:[^A-Z]|$)', 1)[-1]) AS letter FROM a"""
+)
 def final_letters(t):
     return t("train_p0a5_lora").select("sample_id", "created_ts", X.final_choice(F.coalesce("answer", F.lit(""))).alias("letter"))
 
@@ -302,7 +252,12 @@ def canonical_json(t):
     return t("semantic_distill_trace").select("trace_id", "created_ts", H.canonical_json_hash("decision_tuple_json").alias("digest"))
 
 
-@query()
+@query(
+    """WITH d AS (SELECT DISTINCT trace_id, evidence_items_json AS j FROM semantic_distill_trace WHERE evidence_items_json IS NOT NULL),
+    w AS (SELECT trace_id, e.fullkey AS path, e.type AS kind, e.atom ->> '$' AS v FROM d, json_tree(CASE WHEN json_valid(j) THEN j END) AS e)
+    SELECT trace_id, path, CASE WHEN kind = 'NULL' THEN 'null' ELSE 'placeholder' END AS problem FROM w WHERE kind = 'NULL' OR (kind = 'VARCHAR' AND lower(trim(v)) IN ('pending', 'todo', 'tbd'))
+    UNION ALL SELECT trace_id, '$', 'broken' FROM d WHERE NOT json_valid(j)"""
+)
 def json_findings(t):
     d = t("semantic_distill_trace").select("trace_id", "evidence_items_json").distinct()
     return quality.json_problems(d, "trace_id", "evidence_items_json", ["pending", "todo", "tbd"])
@@ -368,9 +323,9 @@ def pending_rows(t):
     return joins.pending(d.select("sample_id").distinct(), d.filter("load_batch <= 4"), "sample_id", F.col("quality_weight") >= 1)
 
 
-@query("SELECT o_orderkey, CASE WHEN l_orderkey IS NULL THEN 'left_only' ELSE 'paired' END AS state FROM orders LEFT JOIN (SELECT DISTINCT l_orderkey FROM lineitem WHERE l_discount > 0.05) ON o_orderkey = l_orderkey")
+@query("SELECT coalesce(o_orderkey, l_orderkey) AS o_orderkey, CASE WHEN l_orderkey IS NULL THEN 'left_only' WHEN o_orderkey IS NULL THEN 'right_only' ELSE 'paired' END AS state FROM (SELECT o_orderkey FROM orders WHERE o_totalprice > 150000) FULL JOIN (SELECT DISTINCT l_orderkey FROM lineitem WHERE l_discount > 0.05) ON o_orderkey = l_orderkey")
 def asset_pairing(t):
-    return joins.pairing(t("orders").select("o_orderkey"), t("lineitem").filter("l_discount > 0.05").select(F.col("l_orderkey").alias("o_orderkey")), "o_orderkey")
+    return joins.pairing(t("orders").filter("o_totalprice > 150000").select("o_orderkey"), t("lineitem").filter("l_discount > 0.05").select(F.col("l_orderkey").alias("o_orderkey")), "o_orderkey")
 
 
 @query("SELECT c.c_custkey, coalesce(n.n_name, c.c_name) AS name, c.c_mktsegment FROM customer c JOIN nation n ON n.n_nationkey = c.c_nationkey")
@@ -380,10 +335,10 @@ def column_override(t):
     return joins.override(c, n, "k").drop("k")
 
 
-@query("SELECT coalesce(b.k, a.k) AS k, coalesce(b.v, a.v) AS v FROM (SELECT s_suppkey AS k, s_name AS v FROM supplier) a FULL JOIN (SELECT p_partkey AS k, p_name AS v FROM part WHERE p_size < 10) b ON a.k = b.k")
+@query("SELECT coalesce(b.k, a.k) AS k, CASE WHEN b.k IS NOT NULL THEN b.v ELSE a.v END AS v FROM (SELECT s_suppkey AS k, s_name AS v FROM supplier) a FULL JOIN (SELECT p_partkey AS k, CASE WHEN p_size > 3 THEN p_name END AS v FROM part WHERE p_size < 10) b ON a.k = b.k")
 def overlay_rows(t):
     a = t("supplier").select(F.col("s_suppkey").alias("k"), F.col("s_name").alias("v"))
-    return dedup.overlay(a, t("part").filter("p_size < 10").select(F.col("p_partkey").alias("k"), F.col("p_name").alias("v")), "k")
+    return dedup.overlay(a, t("part").filter("p_size < 10").select(F.col("p_partkey").alias("k"), F.expr("if(p_size > 3, p_name, null)").alias("v")), "k")
 
 
 @query(
@@ -667,12 +622,12 @@ def balanced_fill(t):
 
 @query(
     f"""WITH d AS (SELECT DISTINCT sample_id, domain, answer_letter FROM build_p0a32_train WHERE answer_letter IS NOT NULL),
-    r AS (SELECT *, row_number() OVER (PARTITION BY domain, answer_letter ORDER BY {hash_order(6, 'sample_id')}, sample_id) AS rn FROM d)
+    r AS (SELECT *, CASE WHEN domain IS NULL THEN 99 ELSE row_number() OVER (PARTITION BY domain, answer_letter ORDER BY substr({hash_order(6, 'sample_id')}, 1, 15), sample_id) END AS rn FROM d)
     SELECT sample_id, domain, answer_letter, CASE WHEN rn <= 10 THEN 'validation' WHEN rn <= 40 THEN 'train' ELSE 'spare' END AS role FROM r"""
 )
 def label_balanced(t):
     d = t("build_p0a32_train").filter("answer_letter is not null").select("sample_id", "domain", "answer_letter").distinct()
-    return quotas.label_balanced(d, "domain", "answer_letter", [H.stable_key(6, "sample_id"), F.col("sample_id")], 10, 30)
+    return quotas.label_balanced(d, "domain", "answer_letter", "sample_id", _hash60(6, "sample_id"), 10, 30)
 
 
 @query(
@@ -694,7 +649,21 @@ def failure_curriculum(t):
     return quotas.failure_curriculum(d, "correct", [H.stable_key(12, "trace_id"), F.col("trace_id")]).select("trace_id", "role")
 
 
-@query()
+_DOMS = "SELECT DISTINCT sample_id, coalesce(teacher_model_id, '-') AS domain FROM build_p0a32_train"
+
+
+@query(
+    f"""WITH RECURSIVE d AS ({_DOMS}), size AS (SELECT domain, count(*) AS n FROM d GROUP BY 1),
+    quota AS (SELECT domain, row_number() OVER (ORDER BY n, domain) AS turn, 120 // count(*) OVER () + CASE WHEN row_number() OVER (ORDER BY domain) <= 120 % count(*) OVER () THEN 1 ELSE 0 END AS q FROM size),
+    taken(turn, ids, rows) AS (
+      SELECT CAST(0 AS BIGINT), CAST([] AS VARCHAR[]), CAST([] AS STRUCT(sample_id VARCHAR, domain VARCHAR)[])
+      UNION ALL
+      SELECT k.turn + 1, list_concat(k.ids, m.ids), list_concat(k.rows, list_transform(m.ids, lambda i: {{'sample_id': i, 'domain': m.domain}}))
+      FROM taken k JOIN (SELECT turn, domain, q FROM quota) z ON z.turn = k.turn + 1, LATERAL (
+        SELECT z.domain AS domain, list(d.sample_id ORDER BY {hash_order(13, "d.sample_id")}, d.sample_id)[1:z.q] AS ids FROM d WHERE d.domain = z.domain AND NOT list_contains(k.ids, d.sample_id)) m
+    ), last AS (SELECT unnest(rows) AS r FROM taken WHERE turn = (SELECT count(*) FROM quota))
+    SELECT r.sample_id AS sample_id, r.domain AS domain FROM last"""
+)
 def greedy_domains(t):
     d = t("build_p0a32_train").select("sample_id", F.coalesce("teacher_model_id", F.lit("-")).alias("domain")).distinct()
     return quotas.greedy_domains(d, "domain", "sample_id", H.stable_key(13, "sample_id"), 120)
@@ -840,3 +809,6 @@ def synthetic_groups(t):
         n.alias("group_no"), F.pmod(n, F.lit(5)).alias("kind"), size.alias("nodes"),
         F.array_join(F.transform(F.sequence(F.lit(0).cast("long"), size - 1), lambda j: F.concat(F.lit("n"), F.pmod(n + j, F.lit(50)).cast("string"))), ",").alias("node_ids"),
     )
+
+
+from . import curation, evaluation, storage  # noqa: E402, F401 - these register their queries

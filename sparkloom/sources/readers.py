@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,12 +12,16 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 
-def read_jsonl(spark: SparkSession, path: str | list[str], schema: str | StructType, forbidden: str | None = None) -> DataFrame:
-    """One JSON object per line (plain or gzip); blank lines are skipped, anything else that is no object raises."""
+def read_jsonl(spark: SparkSession, path: str | list[str], schema: str | StructType, forbidden: str | None = None, expected: int | None = None) -> DataFrame:
+    """One JSON object per line (plain or gzip); blank lines are skipped, anything else that is no object raises, and so
+    does a number of rows that is not the expected one."""
     paths = [path] if isinstance(path, str) else path
     if forbidden:
         refuse_below(paths, forbidden)
-    return spark.read.schema(schema).option("mode", "FAILFAST").json(paths)
+    df = spark.read.schema(schema).option("mode", "FAILFAST").json(paths)
+    if expected is not None and (n := df.count()) != expected:
+        raise ValueError(f"{n} rows instead of {expected}")
+    return df
 
 
 def refuse_below(paths: list[str], folder: str) -> None:
@@ -82,14 +87,22 @@ def pinned(spark: SparkSession, path: str, sha256: str) -> DataFrame:
 
 
 def split_files(spark: SparkSession, folder: str, split: str) -> list[str]:
-    """Files of a split in one of three layouts: folder/split/*, folder/*_split.*, folder/*/split.*; never a test file."""
-    found = []
-    for base, _, names in os.walk(folder):
-        for n in names:
-            name = os.path.splitext(n)[0].lower()
-            if os.path.basename(base).lower() == split or name == split or name.endswith(f"_{split}"):
-                found.append(os.path.join(base, n))
-    return sorted(p for p in found if split == "test" or "test" not in os.path.relpath(p, folder).lower())
+    """Files of a split in one of three layouts: folder/split/*, folder/*_split.*, folder/*/split.*; never a test file.
+
+    The listing is that of the folder's own file system, so a shared store works like a local disk.
+    """
+    root = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    top = fs.makeQualified(root).toString().rstrip("/")
+    each, found = fs.listFiles(root, True), []
+    while each.hasNext():
+        inside = each.next().getPath().toString()[len(top) + 1 :]
+        *folders, file = inside.split("/")
+        name = os.path.splitext(file)[0].lower()
+        last = folders[-1].lower() if folders else os.path.basename(os.path.normpath(folder)).lower()
+        if (last == split or name == split or name.endswith(f"_{split}")) and (split == "test" or "test" not in inside.lower()):
+            found.append(f"{folder.rstrip('/')}/{inside}")
+    return sorted(found)
 
 
 def read_ids(spark: SparkSession, path: str | list[str], key_pattern: str | None = None) -> DataFrame:
@@ -101,10 +114,26 @@ def read_ids(spark: SparkSession, path: str | list[str], key_pattern: str | None
 
 def read_fields(spark: SparkSession, path: str, names: list[str]) -> DataFrame:
     """Blank-separated text lines as columns; lines with fewer fields are skipped."""
-    parts = F.split(F.trim("value"), r"\s+")
+    parts = F.split(F.regexp_replace("value", r"^\s+|\s+$", ""), r"\s+")
     return spark.read.text(path).filter(F.size(parts) >= len(names)).select(*[F.get(parts, F.lit(i)).alias(n) for i, n in enumerate(names)])
 
 
+def read_shards(spark: SparkSession, pattern: str, shards: list[int] | None = None) -> DataFrame:
+    """Parquet shards of a pattern with {} for the number; all that exist (``*``) or the listed ones, with the number in ``shard``."""
+    paths = [pattern.format("*")] if shards is None else [pattern.format(n) for n in shards]
+    lead, _, tail = pattern.rsplit("/", 1)[-1].partition("{}")
+    number = F.regexp_extract(F.col("_metadata.file_path"), re.escape(lead) + r"(\d+)" + re.escape(tail), 1).try_cast("int")
+    return spark.read.parquet(*paths).withColumn("shard", number)
+
+
+def labelled_files(spark: SparkSession, folder: str, levels: list[str], pattern: str = "*") -> DataFrame:
+    """A listing whose last folder levels are columns, such as split and class; files at a lesser depth have nulls."""
+    df = listing(spark, folder, pattern)
+    inside = F.split(F.regexp_replace(F.col("path"), "^.*?" + re.escape("/" + os.path.basename(os.path.normpath(folder)) + "/"), ""), "/")
+    at = lambda i: F.when(F.size(inside) == len(levels) + 1, F.get(inside, F.lit(i)))
+    return df.withColumns({n: at(i) for i, n in enumerate(levels)})
+
+
 def line_count(spark: SparkSession, path: str | list[str]) -> int:
     return spark.read.text(path).filter(F.trim("value") != "").count()
 

@@ -27,11 +27,11 @@ def write_document(document: dict, path: str) -> str:
     return sha256(text.encode()).hexdigest()
 
 
-def write_csv(df: DataFrame, path: str, columns: list[str], mode: str = "errorifexists") -> None:
-    """CSV with a fixed header; arrays, maps and structs as JSON text."""
+def write_csv(df: DataFrame, path: str, columns: list[str], mode: str = "errorifexists", escape: str = "\\") -> None:
+    """CSV with a fixed header; arrays, maps and structs as JSON text.  read_csv expects quotes escaped by a quote."""
     kinds = dict(df.dtypes)
     nested = lambda c: kinds[c].startswith(("array", "map", "struct"))
-    df.select(*[F.to_json(c).alias(c) if nested(c) else F.col(c) for c in columns]).write.mode(mode).option("header", True).csv(path)
+    df.select(*[F.to_json(c).alias(c) if nested(c) else F.col(c) for c in columns]).write.mode(mode).option("header", True).option("escape", escape).csv(path)
 
 
 def write_samples(df: DataFrame, path: str, source: str, time: str) -> None:
@@ -39,7 +39,7 @@ def write_samples(df: DataFrame, path: str, source: str, time: str) -> None:
     from pyspark.sql import Window
 
     start = F.min(F.unix_micros(time)).over(Window.partitionBy(source))
-    df.withColumn("elapsed_ms", (F.unix_micros(time) - start) / F.lit(1000.0)).drop(time).write.option("header", True).csv(path)
+    df.withColumn("elapsed_ms", (F.unix_micros(time) - start) / F.lit(1000.0)).drop(time).write.option("header", True).option("escape", '"').csv(path)
 
 
 def write_splits(df: DataFrame, path: str, dataset: str, split: str, key: str) -> DataFrame:
@@ -53,10 +53,15 @@ def write_splits(df: DataFrame, path: str, dataset: str, split: str, key: str) -
 def write_sealed(df: DataFrame, path: str) -> None:
     """Parquet that may not exist yet; the result is marked read-only where the file system allows."""
     df.write.mode("errorifexists").parquet(path)
-    if os.path.isdir(path):
-        for base, _, names in os.walk(path):
-            for n in names:
-                os.chmod(os.path.join(base, n), 0o440)
+    # by the file system of the path, so a shared store is sealed too where it knows permissions
+    spark = df.sparkSession
+    jvm = spark._jvm
+    root = jvm.org.apache.hadoop.fs.Path(path)
+    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    read_only = jvm.org.apache.hadoop.fs.permission.FsPermission("440")
+    for status in fs.listStatus(root):
+        if status.isFile():
+            fs.setPermission(status.getPath(), read_only)
 
 
 def append(df: DataFrame, path: str) -> None:
@@ -73,3 +78,10 @@ def create_tables(spark, ddl: dict[str, str], location: str | None = None) -> No
     for name, columns in ddl.items():
         place = f" LOCATION '{location}/{name}'" if location else ""
         spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({columns}) USING parquet{place}")
+
+
+def insert_into(df: DataFrame, table: str) -> int:
+    """Append rows to a table by column name; returns the table's rows after that."""
+    spark = df.sparkSession
+    df.select(*spark.table(table).columns).write.insertInto(table)
+    return spark.table(table).count()

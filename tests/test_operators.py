@@ -122,7 +122,7 @@ def test_quotas(spark):
     assert Counter(r["role"] for r in cur) == {"failure": 45, "replay": 15}
     filled = quotas.balanced_fill(df, "g", [F.col("i")], 12, 0.5)
     assert Counter(r["g"] for r in filled.collect()) == {"a": 4, "b": 4, "c": 4}
-    roles = quotas.label_balanced(df, "g", "ok", [F.col("i")], 1, 2).collect()
+    roles = quotas.label_balanced(df, "g", "ok", "i", F.col("i").cast("long"), 1, 2).collect()
     assert Counter(r["role"] for r in roles)["validation"] == 6
     got = quotas.until_accepted(df, [F.col("i")], lambda d: d.filter("ok"), 7, 10).collect()
     assert [r["i"] for r in got] == [0, 4, 8, 12, 16, 20, 24]
