@@ -70,6 +70,12 @@ _COURTESY = re.compile(
     r"|lo siento|lamento|disculp|perdón|gracias|consulte|persona experta|profesional|normas|directrices|algo más|otra cosa|asistente|comprend",
     re.I,
 )
+#: Pieces of which every text that _DECLINE matches has at least one: a quick test before the long pattern.
+_HINTS = (
+    "not", "n't", "unable", "declin", "refus", "beyond", "outside", "exceed", "no way", "impossible", "恕", "爱莫能助", "超出", "不能", "不会", "不便", "不可以", "不愿", "不方便", "不在", "无法", "拒绝",
+    "没法", "难以", "请换", "nicht", "kein", "lehn", "möglich", "übersteigt", "überschreitet", "außerhalb", "hinaus", "supera", "excede", "sobrepasa", "fuera de", "más allá", "no ", "rechazar", "negarme",
+    "abstenerme", "niego", "non ", "não", "pas", "regrett", "dépasse", "au-delà", "rifiut", "recus",
+)
 _SENTENCE = re.compile(r"[^。！？!?\n]*?(?:[。！？!?\n]+|\.(?=\s|$)|$)")
 _TOKEN = re.compile(r"[一-鿿]|[^\W一-鿿]+")
 _FENCE = re.compile(r"```.*?(?:```|$)", re.S)
@@ -169,6 +175,9 @@ def is_empty(answer: str | None) -> bool:
 
 
 def is_refusal(answer: str) -> bool:
+    low = answer.lower()
+    if not any(h in low for h in _HINTS):
+        return False
     parts = [p.strip() for p in _SENTENCE.findall(answer) if p.strip()]
     declined = False
     for p in parts:
@@ -254,6 +263,8 @@ _C_LINE = re.compile(r"[;{}]\s*(//.*)?$|^\s*(//|/\*|\*|#include|#define)|^\s*(ca
 
 def braced(code: str) -> bool:
     """Code of a language with braces and semicolons, not of Python."""
+    if "{" not in code and ";" not in code and "}" not in code:
+        return False
     lines = [x for x in code.split("\n") if x.strip()]
     return bool(lines) and ("{" in code or len(lines) > 1) and sum(bool(_C_LINE.search(x)) for x in lines) >= 0.6 * len(lines) and any(x.rstrip().endswith((";", "}")) or "{" in x for x in lines)
 
