@@ -4,13 +4,17 @@ Method: size-aware heavy-light join.  A record is its set of distinct 3-token ru
 pair of likeness t has at least ceil(t / (1 + t) * (a + b)) common runs, so the L rarest common runs stand among the first
 n - ceil(t * n) + L runs of either record (its prefix of degree L).
 
-* light sets (n up to a boundary): every 2-subset of the prefix of degree 2 is a key; equal keys join light sets;
+* light sets (n up to a boundary): every 2-subset of the prefix of degree ``DEGREE`` is a key; equal keys join light sets, and a
+  pair that is like another one must meet in the 2-subsets of ``DEGREE`` common runs;
 * heavy sets: every run of the prefix of degree ``DEGREE`` has an inverted list; heavy sets are looked up in the lists of the
   heavy sets and of those light sets that are large enough to be like a heavy one, and a pair that is like another one must
   meet in ``DEGREE`` lists (or in all its common runs, if it may have fewer).
 
-Both ways are exact, and the exact likeness of what they meet decides.  The boundary is the size at which the estimated number of subset keys and joined list entries is least,
-from a histogram of sizes (one row per size up to ``MAX_LIGHT``, a fixed number).  A pair with only one common run (possible
+Both ways are exact, and the exact likeness of what they meet decides.  Nearly all subset keys stand alone in a collection;
+a table of one bit per hash slot (8 MB at most) tells which do, and these are left out before the shuffle.  The boundary is the
+size of least cost: seconds for the subset keys of the light sets, and for the list entries that the others would meet, from the
+estimated frequency of their runs.  It reads a histogram of sizes (one row per size up to ``MAX_LIGHT``).  List entries grow with
+the collection and subset keys of a set do not, so the boundary rises with it.  A pair with only one common run (possible
 for sets of one run, where a 2-subset does not exist) is covered by treating sets with a prefix of one run as heavy.
 
 Records with equal sets form a class: the join runs over classes only, and copies are expanded by membership.
@@ -28,14 +32,15 @@ from pyspark.sql import functions as F
 
 from .common import SENT_ROWS, cut_lineage, latest_rows, small
 from .kernels import Tokens, mix, pieces, set_signature
-from .rarity import estimated, order_of, run_counts
+from .rarity import estimated, has_key, order_of, repeat_bits, run_counts
 from .set_join import RUN, least_overlap, likeness, signed, verify_pairs
 
-MAX_LIGHT = 64
+MAX_LIGHT = 256
 DEGREE = 3
-#: A subset key is written and sorted; a list entry is only compared.
-SUBSET_COST = 4.0
-LIST_COST = 1.0
+#: Core seconds for a million subset keys and for a million list entries, measured on 60,000 records of about 100 runs: the
+#: stage took 6 s with all sets heavy, 9 s with those of up to 64 runs light, 14 s at 96 and 31 s at 128.
+SUBSET_COST = 6.0
+LIST_COST = 0.5
 
 
 def records(data: DataFrame, key: str = "sample_id") -> DataFrame:
@@ -55,7 +60,7 @@ def _texts(batch: pa.RecordBatch) -> list[str]:
 def prefixes(rows: DataFrame, counts: np.ndarray, threshold: float) -> DataFrame:
     """(rid, c1, c2, n, runs, cost): the prefix of degree DEGREE, rarest first; empty for a class this task has already sent.
 
-    ``cost`` estimates the list entries that the prefix of degree 1 would meet.
+    ``cost`` estimates the list entries that the prefix meets.
     """
     shared = rows.sparkSession.sparkContext.broadcast(counts)
 
@@ -90,7 +95,7 @@ def prefixes(rows: DataFrame, counts: np.ndarray, threshold: float) -> DataFrame
                         fresh[x] = True
                 if len(seen) > 200_000:
                     seen.clear()
-                rare = np.where(rank <= base[text], estimated(grams, table), 0.0)
+                rare = np.where(rank < base[text] + DEGREE, estimated(grams, table), 0.0)
                 cost = np.bincount(text, weights=rare, minlength=j - i)
                 keep = (rank < base[text] + DEGREE) & fresh[text]
                 cut = np.zeros(j - i + 1, np.int32)
@@ -109,7 +114,10 @@ def prefixes(rows: DataFrame, counts: np.ndarray, threshold: float) -> DataFrame
 
 
 def boundary(sets: DataFrame, threshold: float) -> int:
-    """The largest light size with the least estimated cost; reads one row per size up to MAX_LIGHT."""
+    """The light size of least estimated cost; reads one row per size up to MAX_LIGHT.
+
+    A light set that is too small to be like any heavy one saves its list entries; the larger light ones stand in the lists too.
+    """
     sized = sets.filter(F.size("runs") > 0).withColumn("size", F.least("n", F.lit(MAX_LIGHT + 1)))
     by = {r["size"]: (r["k"], r["cost"]) for r in sized.groupBy("size").agg(F.count("*").alias("k"), F.sum("cost").alias("cost")).collect()}
     best, least = 0, None
@@ -117,7 +125,7 @@ def boundary(sets: DataFrame, threshold: float) -> int:
         total = 0.0
         for n, (k, cost) in by.items():
             if n <= b:
-                p = n - int(np.ceil(threshold * n - 1e-9)) + 2
+                p = n - int(np.ceil(threshold * n - 1e-9)) + DEGREE
                 total += SUBSET_COST * k * min(p, n) * (min(p, n) - 1) / 2
             if n > b or n >= threshold * (b + 1):
                 total += LIST_COST * cost
@@ -126,30 +134,34 @@ def boundary(sets: DataFrame, threshold: float) -> int:
     return best
 
 
-def _subset_keys(light: DataFrame) -> DataFrame:
-    """One row (key, c1, c2, n) per 2-subset of each light prefix."""
+def _subsets(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """(key, row) of each 2-subset of each row's runs."""
+    runs = batch.column("runs")
+    flat = mix(runs.flatten().to_numpy(zero_copy_only=False).view(np.uint64))
+    size = np.diff(runs.offsets.to_numpy())
+    start = np.concatenate([[0], np.cumsum(size)])
+    keys, owner = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    for p in np.unique(size):
+        if p < 2:
+            continue
+        rows = np.flatnonzero(size == p)
+        x, y = np.triu_indices(int(p), 1)
+        block = flat[start[rows][:, None] + np.arange(p)]
+        keys.append((block[:, x] + block[:, y]).ravel())
+        owner.append(np.repeat(rows, len(x)))
+    return mix(np.concatenate(keys)), np.concatenate(owner)
+
+
+def _subset_keys(light: DataFrame, keys: int) -> DataFrame:
+    """One row (key, c1, c2, n) per 2-subset of each light prefix whose key does not stand alone."""
+    shared = light.sparkSession.sparkContext.broadcast(repeat_bits(light.select("runs"), lambda b: _subsets(b)[0], keys))
 
     def run(batches):
         for batch in batches:
-            runs = batch.column("runs")
-            flat = runs.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
-            size = np.diff(runs.offsets.to_numpy())
-            start = np.concatenate([[0], np.cumsum(size)])
-            keys, owner = [], []
-            for p in np.unique(size):
-                rows = np.flatnonzero(size == p)
-                if p < 2:
-                    continue
-                x, y = np.triu_indices(int(p), 1)
-                block = flat[start[rows][:, None] + np.arange(p)]
-                keys.append((mix(block[:, x]) + mix(block[:, y])).ravel())
-                owner.append(np.repeat(rows, len(x)))
-            if keys:
-                own = pa.array(np.concatenate(owner))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(signed(mix(np.concatenate(keys)))), *(batch.column(c).take(own) for c in ("c1", "c2", "n"))],
-                    names=["key", "c1", "c2", "n"],
-                )
+            made, owner = _subsets(batch)
+            keep = has_key(made, shared.value)
+            own = pa.array(owner[keep])
+            yield pa.RecordBatch.from_arrays([pa.array(signed(made[keep])), *(batch.column(c).take(own) for c in ("c1", "c2", "n"))], names=["key", "c1", "c2", "n"])
 
     return light.select("runs", "c1", "c2", "n").mapInArrow(run, "key long, c1 long, c2 long, n int")
 
@@ -170,13 +182,16 @@ def candidate_classes(sets: DataFrame, threshold: float) -> DataFrame:
     """Distinct pairs of different classes (a1, a2) < (b1, b2) that the heavy-light join meets."""
     edge = boundary(sets, threshold)
     fresh = sets.filter(F.size("runs") > 0)
-    base = F.col("n") - F.ceil(F.col("n") * F.lit(threshold) - F.lit(1e-9))
     need = least_overlap(F.col("a_n"), F.col("b_n"), threshold)
     sized = F.least("a_n", "b_n") >= need
     subset = (F.col("n") <= edge) & (F.size("runs") >= 2)
     pairs = ["a1", "a2", "b1", "b2"]
-    light = _subset_keys(fresh.filter(subset).withColumn("runs", F.slice("runs", F.lit(1), (base + 2).cast("int")))).distinct()
-    by_subset = _met(light, light, "key", lambda before: before & sized).select(*pairs).distinct()
+    least = F.least(F.lit(DEGREE), least_overlap(F.col("size"), F.lit(0), threshold))
+    small_sets = fresh.filter(subset)
+    keys = small_sets.agg(F.coalesce(F.sum(F.size("runs") * (F.size("runs") - 1) / 2), F.lit(0)).cast("long")).first()[0]
+    # k common runs are k * (k - 1) / 2 common subsets; a class sent by several tasks only raises the count
+    light = _subset_keys(small_sets, keys) if keys else None
+    by_subset = light and _met(light, light, "key", lambda before: before & sized).groupBy(*pairs, "size").agg(F.count("*").alias("_k")).filter(F.col("_k") >= least * (least - 1) / 2).select(*pairs)
     lists = fresh.filter(~subset | (F.col("n") >= F.lit(threshold) * (edge + 1))).select(
         "c1", "c2", "n", (~subset).alias("heavy"), F.posexplode("runs").alias("rank", "run")
     )
@@ -184,10 +199,8 @@ def candidate_classes(sets: DataFrame, threshold: float) -> DataFrame:
     heavy = lists.filter("heavy").drop("heavy")
     # heavy with heavy once per pair; heavy with light in the only order there is
     met = _met(heavy, heavy, "run", lambda before: before & reach).union(_met(heavy, lists.filter("not heavy").drop("heavy"), "run", lambda before: reach))
-    least = F.least(F.lit(DEGREE), least_overlap(F.col("size"), F.lit(0), threshold))
-    # a class sent by several tasks only raises the count
     by_list = met.groupBy(*pairs, "size").agg(F.count("*").alias("_k")).filter(F.col("_k") >= least).select(*pairs)
-    return by_subset.union(by_list)
+    return by_subset.union(by_list) if keys else by_list
 
 
 def like_classes(data: DataFrame, threshold: float = 0.6, key: str = "sample_id") -> tuple[DataFrame, DataFrame]:

@@ -134,6 +134,43 @@ def key_bits(df: DataFrame, keys: str, per_row: int = 512) -> np.ndarray:
     return out
 
 
+def repeat_bits(df: DataFrame, keys_of, keys: int) -> np.ndarray:
+    """One bit per hash slot: whether the slot met at least two keys of ``keys_of(batch)`` over all rows; 8 MB at most.
+
+    A slot without a bit proves that its key stands alone in the table and can be left out of a join with itself.  ``keys`` is
+    about the number of keys and sizes the table.
+    """
+    bits = min(max(int(keys).bit_length() + 3, LEAST_BITS), MOST_KEY_BITS)
+    width = (1 << bits) // SLICES // 8
+
+    def mark(batches):
+        once, twice = np.zeros(1 << bits, bool), np.zeros(1 << bits, bool)
+        for batch in batches:
+            at, n = np.unique(key_slots(keys_of(batch), bits), return_counts=True)
+            twice[at[(n > 1) | once[at]]] = True
+            once[at] = True
+        part = TaskContext.get().partitionId() if TaskContext.get() else 0
+        if once.any():
+            a, b = np.packbits(once), np.packbits(twice)
+            cut = [zlib.compress(a[s * width : (s + 1) * width].tobytes() + b[s * width : (s + 1) * width].tobytes(), 1) for s in range(SLICES)]
+            yield pa.RecordBatch.from_arrays([pa.array(range(SLICES), pa.int32()), pa.array([part % 61] * SLICES, pa.int32()), pa.array(cut, pa.binary())], names=["slice", "part", "counts"])
+
+    def merge(t: pa.Table) -> pa.Table:
+        once, twice = np.zeros(width, np.uint8), np.zeros(width, np.uint8)
+        for x in t.column("counts").to_pylist():
+            both = np.frombuffer(zlib.decompress(x), np.uint8)
+            twice |= both[width:] | (once & both[:width])
+            once |= both[:width]
+        return pa.table([t.column("slice").slice(0, 1), t.column("part").slice(0, 1), pa.array([zlib.compress(once.tobytes() + twice.tobytes(), 1)], pa.binary())], names=["slice", "part", "counts"])
+
+    schema = "slice int, part int, counts binary"
+    sums = df.mapInArrow(mark, schema).groupBy("slice", "part").applyInArrow(merge, schema).groupBy("slice").applyInArrow(merge, schema)
+    out = np.zeros((1 << bits) // 8, np.uint8)
+    for row in sums.collect():
+        out[row["slice"] * width : (row["slice"] + 1) * width] = np.frombuffer(zlib.decompress(bytes(row["counts"])), np.uint8)[width:]
+    return out
+
+
 def has_key(keys: np.ndarray, table: np.ndarray) -> np.ndarray:
     """Whether each key's slot has a bit (packed as by key_bits)."""
     at = key_slots(keys, (len(table) * 8).bit_length() - 1)

@@ -76,6 +76,15 @@ def test_every_boundary_gives_the_same_pairs(spark, edge, monkeypatch):
     assert got == want
 
 
+def test_boundary_weighs_subsets_against_lists(spark):
+    schema = "c1 long, c2 long, n int, runs array<long>, cost double"
+    short = [(i, i, 6, list(range(5)), 4e3) for i in range(300)]  # short sets of frequent runs: subsets are cheaper
+    long = [(1000 + i, i, 120, list(range(51)), 600.0) for i in range(300)]
+    rare = [(5000 + i, i, 6, list(range(5)), 6.0) for i in range(300)]
+    edge = lambda rows: near_duplicates.boundary(spark.createDataFrame(rows, schema), 0.6)
+    assert edge(long) == 0 and edge(rare) == 0 and 9 <= edge(short + long) < 120 and edge(short) >= 6
+
+
 def evidence(text):
     parts = text.split(". ")
     items = [{"rank": i + 1, "text": p} for i, p in enumerate(parts)]
