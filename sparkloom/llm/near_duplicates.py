@@ -10,8 +10,8 @@ n - ceil(t * n) + L runs of either record (its prefix of degree L).
   heavy sets and of those light sets that are large enough to be like a heavy one, and a pair that is like another one must
   meet in ``DEGREE`` lists (or in all its common runs, if it may have fewer).
 
-Both ways are exact, and the exact likeness of what they meet decides.  Nearly all subset keys stand alone in a collection;
-a table of one bit per hash slot (8 MB at most) tells which do, and these are left out before the shuffle.  The boundary is the
+Both ways are exact, and the exact likeness of what they meet decides.  Most subset keys and most rare runs stand alone in a
+collection; a table of one bit per hash slot (8 MB at most) tells which do, and these are left out before the shuffle.  The boundary is the
 size of least cost: seconds for the subset keys of the light sets, and for the list entries that the others would meet, from the
 estimated frequency of their runs.  It reads a histogram of sizes (one row per size up to ``MAX_LIGHT``).  List entries grow with
 the collection and subset keys of a set do not, so the boundary rises with it.  A pair with only one common run (possible
@@ -166,6 +166,31 @@ def _subset_keys(light: DataFrame, keys: int) -> DataFrame:
     return light.select("runs", "c1", "c2", "n").mapInArrow(run, "key long, c1 long, c2 long, n int")
 
 
+def _list_entries(sets: DataFrame) -> DataFrame:
+    """One row (c1, c2, n, heavy, rank, run) per run of each prefix that may stand in another set's prefix too."""
+
+    def flat(batch: pa.RecordBatch) -> np.ndarray:
+        return batch.column("runs").flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+
+    count = sets.agg(F.coalesce(F.sum(F.size("runs")), F.lit(0)).cast("long")).first()[0]
+    shared = sets.sparkSession.sparkContext.broadcast(repeat_bits(sets.select("runs"), flat, count))
+
+    def run(batches):
+        for batch in batches:
+            runs = batch.column("runs")
+            start = runs.offsets.to_numpy().astype(np.int64)
+            row = np.repeat(np.arange(batch.num_rows), np.diff(start))
+            rank = np.arange(len(row)) - (start[:-1] - start[0])[row]
+            keep = has_key(flat(batch), shared.value)
+            own = pa.array(row[keep])
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(c).take(own) for c in ("c1", "c2", "n", "heavy")), pa.array(rank[keep].astype(np.int32)), pa.array(signed(flat(batch)[keep]))],
+                names=["c1", "c2", "n", "heavy", "rank", "run"],
+            )
+
+    return sets.select("c1", "c2", "n", "heavy", "runs").mapInArrow(run, "c1 long, c2 long, n int, heavy boolean, rank int, run long")
+
+
 def _met(left: DataFrame, right: DataFrame, key: str, keep) -> DataFrame:
     """Join on ``key``; ``keep(before)`` says which joined rows count, ``before`` being a's class below b's."""
     a = left.select(key, *[F.col(c).alias("a_" + c) for c in left.columns if c != key])
@@ -192,9 +217,7 @@ def candidate_classes(sets: DataFrame, threshold: float) -> DataFrame:
     # k common runs are k * (k - 1) / 2 common subsets; a class sent by several tasks only raises the count
     light = _subset_keys(small_sets, keys) if keys else None
     by_subset = light and _met(light, light, "key", lambda before: before & sized).groupBy(*pairs, "size").agg(F.count("*").alias("_k")).filter(F.col("_k") >= least * (least - 1) / 2).select(*pairs)
-    lists = fresh.filter(~subset | (F.col("n") >= F.lit(threshold) * (edge + 1))).select(
-        "c1", "c2", "n", (~subset).alias("heavy"), F.posexplode("runs").alias("rank", "run")
-    )
+    lists = _list_entries(fresh.filter(~subset | (F.col("n") >= F.lit(threshold) * (edge + 1))).withColumn("heavy", ~subset))
     reach = sized & (F.col("a_n") - F.col("a_rank") + (DEGREE - 1) >= need) & (F.col("b_n") - F.col("b_rank") + (DEGREE - 1) >= need)
     heavy = lists.filter("heavy").drop("heavy")
     # heavy with heavy once per pair; heavy with light in the only order there is
