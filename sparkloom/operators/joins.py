@@ -69,6 +69,18 @@ def in_given_order(ids: DataFrame, records: DataFrame, key: str, ordinal: str) -
     return ids.join(records, key, "left").orderBy(ordinal)
 
 
+def zipped(left: DataFrame, right: DataFrame, ordinal: str, key: str) -> DataFrame:
+    """Rows of two tables at the same place, whose keys must agree; an error names the first places where they do not.
+
+    A place that only one of the tables has is an error too.
+    """
+    a, b = left.withColumn("_l", F.col(key)), right.withColumnRenamed(key, "_r")
+    both = a.join(b, ordinal, "full_outer")
+    bad = ~F.col("_l").eqNullSafe(F.col("_r"))
+    told = F.raise_error(F.concat(F.lit("different keys at "), F.col(ordinal).cast("string"))).cast("boolean")
+    return both.filter(F.when(bad, told).otherwise(True)).drop("_l", "_r")
+
+
 def override(trace: DataFrame, manifest: DataFrame, key: str, prefer_left: list[str] = ()) -> DataFrame:
     """Inner join where the manifest's columns win, but for ``prefer_left``, which take the trace's value if it has one."""
     t, m = trace.alias("t"), manifest.alias("m")

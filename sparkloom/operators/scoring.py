@@ -30,7 +30,7 @@ def code_text(response: Column) -> Column:
     return T.dedented(T.fenced_code(T.without_thinking(response)))
 
 
-def score(df: DataFrame, key: str, domain: str, response: str, reference: str, kinds: dict[str, str], tests: str | None = None, strict: bool = False) -> DataFrame:
+def score(df: DataFrame, key: str, domain: str, response: str, reference: str, kinds: dict[str, str], tests: str | None = None, strict: bool = False, limits: C.Limits = C.Limits()) -> DataFrame:
     """(key, domain, correct, canonical): ``kinds`` says how a domain is scored: number, choice, text or code.
 
     Numbers, choices and texts are scored by Column expressions in one pass.  Only rows of code domains go to the limited
@@ -43,7 +43,7 @@ def score(df: DataFrame, key: str, domain: str, response: str, reference: str, k
     out = df.select(key, domain, made.alias("_s")).select(key, domain, "_s.correct", "_s.canonical")
     if tests is None:
         return out
-    ran = C.execute(df.filter(of("code")).select(key, code_text(r).alias("_code"), tests), key, "_code", tests)
+    ran = C.execute(df.filter(of("code")).select(key, code_text(r).alias("_code"), tests), key, "_code", tests, limits=limits)
     ran = ran.select(key, (F.col("status") == "passed").alias("_correct"), (~F.col("status").isin("unsafe", "invalid_tests")).alias("_canonical"))
     both = out.join(ran, key, "left")
     return both.select(key, domain, F.coalesce("correct", "_correct").alias("correct"), F.coalesce("canonical", "_canonical").alias("canonical"))

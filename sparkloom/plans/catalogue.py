@@ -241,10 +241,21 @@ def first_sentences(t):
     return t("train_p0a5_lora").filter("answer is not null").select("sample_id", "created_ts", T.first_sentences(F.col("answer")).alias("short"))
 
 
+@query(
+    r"""WITH d AS (SELECT DISTINCT sample_id, CASE WHEN regexp_matches(answer, '(?is)```(?:python)?\s*.*?```') THEN trim(regexp_replace(regexp_extract(answer, '(?is)```(?:python)?\s*(.*?)```', 1), '\s+$', ''))
+      ELSE trim(answer) END AS c FROM train_p0a5_lora WHERE dataset_key = 'opencodeinstruct' AND answer IS NOT NULL)
+    SELECT sample_id, CASE WHEN regexp_full_match(c, '(?s)def \w+\(values\):\n    out = \[\]\n    for value in values:\n        out\.append\([^\n()]*\)\n    return out') THEN regexp_extract(c, 'def (\w+)', 1) END AS name FROM d"""
+)
+def whole_functions(t):
+    """Names of the snippets that are exactly one plain function; these texts have one form, which the SQL spells out."""
+    d = t("train_p0a5_lora").filter("dataset_key = 'opencodeinstruct' and answer is not null").select("sample_id", T.fenced_code(F.col("answer")).alias("code")).distinct()
+    return C.code_checks(d, "sample_id", "code").select("sample_id", F.when(F.col("unsafe").isNull() & F.col("shape").isNull(), F.col("name")).alias("name"))
+
+
 @query()
 def code_shapes(t):
     d = t("train_p0a5_lora").filter("dataset_key = 'opencodeinstruct' and answer is not null").select("sample_id", T.fenced_code(F.col("answer")).alias("code")).distinct()
-    return C.code_checks(d, "sample_id", "code").select("sample_id", "unsafe", "shape", "name")
+    return C.code_checks(d, "sample_id", "code", ("math", "re")).select("sample_id", "unsafe", "shape", "name")
 
 
 @query()

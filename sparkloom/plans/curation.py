@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import chains as K
+from ..functions import code as C
 from ..functions import extract as X
 from ..functions import records as P
 from ..functions import rules as R
@@ -206,6 +207,26 @@ def label_agreement(t):
     return _counts(t("build_p0a32_train"), K.disagreement(F.col("answer_letter"), X.choice(F.col("answer"), "stated")))
 
 
+_FORM = r"(?s)def \w+\(values\):\n    out = \[\]\n    for value in values:\n        out\.append\([^\n()]*\)\n    return out"
+
+
+@query(
+    rf"""WITH d AS (SELECT sample_id, any_value(list_filter(messages, lambda m: m.role = 'user')[-1].content) AS q, max(answer) AS c, bool_or(coalesce(metadata.human_verified, false)) AS v FROM train_p0a5_lora
+      WHERE dataset_key = 'opencodeinstruct' AND starts_with(answer, 'def ') GROUP BY 1), n AS (SELECT *, regexp_extract(c, 'def (\w+)', 1) AS name FROM d)
+    SELECT sample_id, CASE WHEN length(q) > 160 THEN 'prompt_length' WHEN length(c) > 110 THEN 'code_length' WHEN NOT regexp_full_match(c, '{_FORM}') THEN 'shape' WHEN NOT contains(q, name) THEN 'name_not_in_prompt'
+      WHEN NOT v THEN 'not_verified' END AS reason FROM n"""
+)
+def exercise_reasons(t):
+    """All reasons about the shape of the code count as one here, as the sound snippets have one form, which the SQL spells out."""
+    d = t("train_p0a5_lora").filter("dataset_key = 'opencodeinstruct' and startswith(answer, 'def ')").withColumn("q", T.last_user(F.col("messages")))
+    one = d.groupBy("sample_id").agg(F.any_value("q").alias("q"), F.max("answer").alias("c"), F.coalesce(F.bool_or(F.coalesce("metadata.human_verified", F.lit(False))), F.lit(False)).alias("v"))
+    name = F.regexp_extract("c", r"def (\w+)", 1)
+    tested = one.withColumn("tests", F.array(F.concat(F.lit("assert "), name, F.lit("([1, 2])")), F.concat(F.lit("assert "), name, F.lit("([]) == []"))))
+    out = C.exercises(tested, "sample_id", "q", "c", "tests", "v", 160, 110, 2)
+    known = ["prompt_length", "code_length", "name_not_in_prompt", "not_verified"]
+    return out.select("sample_id", F.when(F.col("reason").isNull() | F.col("reason").isin(known), F.col("reason")).otherwise("shape").alias("reason"))
+
+
 # ---------------------------------------------------------------- budgets and views
 
 _COUNT = {"words": (K.proxy_tokens, 60), "characters": (F.length, 200), "bytes": (F.octet_length, 350)}
@@ -292,3 +313,53 @@ def dedented_code(t):
     d = t("train_p0a5_lora").filter("dataset_key = 'opencodeinstruct' and startswith(answer, 'def ')")
     framed = F.concat(F.lit("<think>first\nlines</think>"), F.col("answer"), F.lit("<think>never closed"))
     return d.select("sample_id", "created_ts", T.dedented(F.regexp_replace("answer", r"(?m)^", "      ")).alias("code"), T.without_thinking(framed).alias("said"))
+
+
+# ---------------------------------------------------------------- smaller functions
+
+
+@query("SELECT p_partkey, sha256(lower(concat_ws(' ', p_name, p_brand, p_type))) AS identity FROM part")
+def choice_identities(t):
+    return t("part").select("p_partkey", T.choice_identity(F.col("p_name"), F.array("p_brand", "p_type")).alias("identity"))
+
+
+@query("SELECT p_partkey, CASE p_size % 6 WHEN 0 THEN 'A' WHEN 1 THEN 'D' WHEN 2 THEN 'C' WHEN 3 THEN 'B' END AS letter FROM part")
+def choice_letters(t):
+    said = F.get(F.array(*[F.lit(x) for x in (" 0", "3 ", "c", "Option b", "E", "")]), F.col("p_size") % 6)
+    return t("part").select("p_partkey", X.choice_letter(said).alias("letter"))
+
+
+@query("SELECT p_partkey, trim(p_name) AS bare FROM part")
+def unframed_texts(t):
+    framed = F.concat(F.lit("Sure! "), F.col("p_name"), F.lit(" Hope this helps."))
+    return t("part").select("p_partkey", T.without_frame(framed, ["Sure!"], ["Hope this helps."]).alias("bare"))
+
+
+@query("SELECT sample_id, created_ts, CASE WHEN len(domain) > 0 THEN array_to_string(domain, '|') END AS items FROM build_p0a5_data WHERE NOT coalesce(list_contains(list_transform(domain, lambda x: x IS NULL), true), false)")
+def string_lists(t):
+    d = t("build_p0a5_data").filter(~F.coalesce(F.exists("domain", lambda x: x.isNull()), F.lit(False)))
+    return d.select("sample_id", "created_ts", F.array_join(X.string_list(F.to_json("domain")), "|").alias("items"))
+
+
+@query("SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN p_name ELSE p_brand END AS value FROM part")
+def synonymous_fields(t):
+    m = F.when(F.col("p_size") % 2 == 0, F.create_map(F.lit(" Title "), F.col("p_name"), F.lit("brand"), F.col("p_brand"))).otherwise(F.create_map(F.lit("brand"), F.col("p_brand"), F.lit("x"), F.lit("y")))
+    return t("part").select("p_partkey", X.first_field(m, ["title", "brand"]).alias("value"))
+
+
+@query("SELECT trace_id, created_ts, coalesce(regexp_full_match(sample_hash, '[0-9a-f]{64}'), false) AS plain FROM semantic_distill_trace")
+def plain_digests(t):
+    from ..operators.quality import is_sha256
+
+    return t("semantic_distill_trace").select("trace_id", "created_ts", is_sha256(F.col("sample_hash")).alias("plain"))
+
+
+@query("SELECT sample_id, created_ts, CASE WHEN len(l) = 1 THEN l[1] END AS label FROM (SELECT sample_id, created_ts, list_distinct(list_concat(regexp_extract_all(upper(answer), '答案[:：]\\s*([A-D])', 1), regexp_extract_all(upper(answer), '([A-D])$', 1))) AS l FROM build_p0a32_train)")
+def unanimous_labels(t):
+    return t("build_p0a32_train").select("sample_id", "created_ts", X.unanimous_label(F.col("answer"), [r"答案[:：]\s*([A-D])", r"([A-D])$"]).alias("label"))
+
+
+@query("SELECT trace_id, created_ts, decision_tuple_json ->> '$.action' AS action FROM semantic_distill_trace")
+def fenced_json(t):
+    reply = F.concat(F.lit("Here:\n```json\n"), F.col("decision_tuple_json"), F.lit("\n```\nDone."))
+    return t("semantic_distill_trace").select("trace_id", "created_ts", X.json_field(reply, "$.action").alias("action"))

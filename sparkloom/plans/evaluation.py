@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import hashing as H
 from ..functions import text as T
 from ..operators import aggregates as A
-from ..operators import gates, quality, quotas, scoring, windows
+from ..operators import decision, gates, joins, quality, quotas, scoring, windows
 from ..streaming import outbox
 from . import builders as B
 from .registry import hash_order, query, squash
@@ -404,3 +404,80 @@ def scarcest_groups(t):
 def arbitrated_flags(t):
     e = t("events").select("user_id", "value", "ts", "event_id", "event_type")
     return windows.arbitrate(e, "user_id", ["value", "ts", "event_id"], "event_type").select("user_id", "value", "candidates", "disagree")
+
+
+# ---------------------------------------------------------------- lookups and decisions
+
+
+@query("SELECT row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) AS ordinal, o_orderkey, o_custkey FROM orders WHERE o_totalprice > 100000")
+def records_in_order(t):
+    o = t("orders")
+    ids = windows.global_rank(o.filter("o_totalprice > 100000").select("o_orderkey", "o_totalprice"), [F.col("o_totalprice").desc(), F.col("o_orderkey")], "ordinal").select("ordinal", "o_orderkey")
+    return joins.in_given_order(ids, o.select("o_orderkey", "o_custkey"), "o_orderkey", "ordinal").select("ordinal", "o_orderkey", "o_custkey")
+
+
+@query("SELECT o_orderkey AS place, o_custkey, o_totalprice FROM orders")
+def zipped_rows(t):
+    o = t("orders").withColumn("place", F.col("o_orderkey"))
+    return joins.zipped(o.select("place", "o_custkey"), o.select("place", "o_custkey", "o_totalprice"), "place", "o_custkey").select("place", "o_custkey", "o_totalprice")
+
+
+@query("SELECT o_orderkey, o_orderkey % 4 = 0 AS cached FROM orders")
+def cached_results(t):
+    o = t("orders").select("o_orderkey")
+    hits, misses = joins.hits_and_misses(o, o.filter("o_orderkey % 4 = 0").withColumn("r", F.lit(1)), "o_orderkey")
+    return hits.select("o_orderkey", F.lit(True).alias("cached")).unionByName(misses.select("o_orderkey", F.lit(False).alias("cached")))
+
+
+@query("SELECT 'no_such_table' AS name")
+def missing_tables(t):
+    r = t("region")
+    r.createOrReplaceTempView("loom_region")
+    spark = r.sparkSession
+    return spark.createDataFrame([(n,) for n in quality.missing_tables(spark, ["loom_region", "no_such_table"])], "name string")
+
+
+@query("WITH c AS (SELECT sample_id, created_ts, unnest(regexp_extract_all(answer, '([A-Za-z_]\\w*)\\s*\\(', 1)) AS name FROM train_p0a5_lora WHERE dataset_key = 'opencodeinstruct'), n AS (SELECT sample_id, name, count(*) AS calls FROM c GROUP BY 1, 2) SELECT sample_id, arg_min(name, (-calls, name)) AS name, max(calls) AS calls FROM n GROUP BY 1")
+def most_called(t):
+    return A.most_called(t("train_p0a5_lora").filter("dataset_key = 'opencodeinstruct'"), "sample_id", "answer")
+
+
+@query("SELECT event_id, CASE WHEN value > 10 THEN value ELSE 0.5 END AS latency, coalesce(value <= 10, true) AS latency_fallback FROM events")
+def fallbacks(t):
+    e = t("events").select("event_id", F.when(F.col("value") > 10, F.col("value")).alias("far"), F.lit(0.5).cast("double").alias("near"))
+    return decision.with_fallback(e, "far", "near", "latency").select("event_id", "latency", "latency_fallback")
+
+
+@query("SELECT count(*) AS requests, count(*) FILTER (i % 7 = 0) AS weak, count(*) FILTER (i % 3 = 0) AS far, true AS unit FROM range(5000) r(i)")
+def simulated_requests(t):
+    r = decision.simulate_requests(t("region").sparkSession, 5000, 7, 3)
+    unit = F.bool_and((F.col("confidence") >= 0) & (F.col("confidence") < 1) & (F.col("risk") >= 0) & (F.col("risk") < 1))
+    return r.agg(F.count("*").alias("requests"), F.count_if("weak").alias("weak"), F.count_if("far").alias("far"), unit.alias("unit"))
+
+
+@query("SELECT lang, array_to_string(list_filter([CASE WHEN n < 100 THEN 'few' END, CASE WHEN c < 300000 THEN 'short' END], lambda x: x IS NOT NULL), ',') AS failures, n >= 100 AND c >= 300000 AS passed FROM (SELECT lang, count(*) AS n, sum(n_chars) AS c FROM documents WHERE lang IS NOT NULL GROUP BY 1)")
+def metric_checks(t):
+    by = t("documents").filter("lang is not null").groupBy("lang").agg(F.count("*").alias("n"), F.sum("n_chars").alias("c"))
+    return gates.checks(by, [("few", F.col("n") < 100), ("short", F.col("c") < 300000)]).select("lang", F.array_join("failures", ",").alias("failures"), "passed")
+
+
+_EVENT_ACTION = "CASE WHEN value >= 40 THEN 'stop' WHEN event_type = 'view' AND value < 2 THEN 'go' ELSE 'review' END"
+
+
+@query(f"SELECT user_id, arg_max({_EVENT_ACTION}, (value, event_id)) AS action, count(*) AS candidates FROM events GROUP BY 1")
+def decided_events(t):
+    from . import pipelines
+
+    rules = [("stop", F.col("value") >= 40), ("go", (F.col("event_type") == "view") & (F.col("value") < 2))]
+    out = pipelines.decide_and_arbitrate(t("events").select("user_id", "value", "event_id", "event_type"), rules, "user_id", ["value", "event_id"], F.lit("review"))
+    return out.select("user_id", "action", "candidates")
+
+
+@query("WITH e AS (SELECT event_id, user_id, event_type = 'click' AS b, value > 5 AS s FROM events) SELECT user_id % 3 AS grp, count(*) FILTER (b) AS base_correct, count(*) FILTER (s) AS student_correct, least(coalesce(count(*) FILTER (s) * 1.0 / nullif(count(*) FILTER (b), 0), 0), 1) >= 0.9 AS passed FROM e GROUP BY 1")
+def merged_gate(t):
+    from . import pipelines
+
+    e = t("events").select("event_id", (F.col("user_id") % 3).alias("grp"), (F.col("event_type") == "click").alias("correct"), (F.col("value") > 5).alias("s"))
+    shard = lambda rule: e.filter(rule).select("event_id", "grp", F.col("s").alias("correct"))
+    out = pipelines.merge_and_gate(e.drop("s"), [shard("event_id % 2 = 0"), shard("event_id % 3 = 0"), shard("event_id % 2 = 1")], "event_id", "grp", "correct", 0.9)
+    return out.select("grp", "base_correct", "student_correct", "passed")

@@ -109,14 +109,14 @@ GOOD = "import math\n\ndef f(x):\n    'doc'\n    return math.sqrt(x)"
 
 
 def test_code_checks(spark):
-    assert C.unsafe_reason(GOOD) is None and C.shape_reason(GOOD) is None and C.function_name(GOOD) == "f" and C.function_body(GOOD) == "return math.sqrt(x)"
+    assert C.unsafe_reason(GOOD, ("math",)) is None and C.unsafe_reason(GOOD) == "import" and C.shape_reason(GOOD) is None and C.function_name(GOOD) == "f" and C.function_body(GOOD) == "return math.sqrt(x)"
     bad = {"import os": "import", "eval('1')": "name", "(1).__class__": "attribute", "def": "syntax", "from . import x": "import"}
     assert {k: C.unsafe_reason(k) for k in bad} == bad
     shapes = {"x = 1": "no_function", GOOD + "\ndef g(): return 1": "many_functions", "def f(*a):\n return a": "star_arguments", "def f():\n yield 1": "generator", "def f():\n pass": "no_return", "def f():\n return 1\nf()": "statements"}
     assert {k: C.shape_reason(k) for k in shapes} == shapes
     assert C.with_signature("def g(a, b):", "  return a\n") == "def g(a, b):\n    return a" and C.repaired("def f():\nreturn 1") == "def f():\n    return 1"
     df = spark.createDataFrame([("a", GOOD), ("b", None), ("c", "import os")], "k string, c string")
-    got = {r["k"]: (r["unsafe"], r["shape"]) for r in C.code_checks(df, "k", "c").collect()}
+    got = {r["k"]: (r["unsafe"], r["shape"]) for r in C.code_checks(df, "k", "c", ("math",)).collect()}
     assert got == {"a": (None, None), "b": (None, "no_function"), "c": ("import", "no_function")}
 
 

@@ -78,6 +78,17 @@ def test_audit_errors(spark):
     assert quality.same_sets(df, df.limit(0), "k").first()["equal"] is False and quality.same_sets(df, df, "k").first()["equal"] is True
 
 
+def test_exercise_reasons():
+    from sparkloom.functions.code import exercise_reason
+
+    good, tests = "def add(a, b):\n    return a + b", ["assert add(1, 2) == 3", "assert add(0, 0) == 0"]
+    why = lambda p="Write add.", c=good, t=tests, v=True: exercise_reason(p, c, t, v, 40, 80, 2)
+    assert why() is None and why(p=" ") == "missing" and why(c=None) == "missing" and why(p="add " * 20) == "prompt_length" and why(c=good + " " * 80) == "code_length"
+    assert why(c="def add(:") == "syntax" and why(c=good + "\n" + good) == "many_functions" and why(c="import os\n" + good) == "unsafe_import" and why(p="Write it.") == "name_not_in_prompt"
+    assert why(t=None) == why(t=tests[:1]) == "few_tests" and why(t=["assert (", "1"]) == "invalid_tests" and why(t=["add(1, 2)", tests[0]]) == "test_without_assertion"
+    assert why(t=["assert 1", "assert sum([1])"]) == "function_not_called" and why(v=None) == why(v=False) == "not_verified"
+
+
 def test_isolated_split_keeps_forms_apart(spark):
     df = spark.createDataFrame([(i, f"text {i % 40}", i % 7 == 0) for i in range(400)], "k int, t string, bad boolean")
     out = builders.isolated_split(df, "k", T.squash("t"), [F.xxhash64("k")], [("validation", 5), ("held_out", 5)], "train", df.filter("k < 3").select("k"), F.col("bad")).collect()
