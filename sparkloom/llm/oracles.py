@@ -94,6 +94,8 @@ SELECT id, group_id, group_size, (SELECT count(*) FROM link b WHERE b.x = id) AS
             "semantic_distill_trace", f"coalesce({digest('sample_hash')}, CASE WHEN trim(trace_id) <> '' THEN trace_id END)", "strftime(created_ts, '%Y-%m-%d')", "sample_key"
         ),
         "p6_load_sample": batches("build_p0a32_train", "CASE WHEN trim(sample_id) <> '' THEN sample_id END", "load_batch", "sample_id"),
+        # a plain tokenizer: Chinese characters, up to six letters or three digits, signs; no document lies near the limit for any usual one
+        "p7_found": "SELECT doc_id FROM documents WHERE len(regexp_extract_all(text, '[\\x{4E00}-\\x{9FFF}]|[A-Za-z]{1,6}|\\p{N}{1,3}|[^\\s\\p{L}\\p{N}]|\\p{L}')) > 4096",
         "p8_found": f"""
 WITH d AS (SELECT doc_id, {tokens(plain("text"))} AS t FROM documents WHERE text IS NOT NULL),
 e AS (SELECT item_id, {tokens(plain("text"))} AS t FROM eval_item WHERE text IS NOT NULL AND item_id IS NOT NULL),
