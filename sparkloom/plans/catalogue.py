@@ -35,7 +35,9 @@ __all__ = ["oracle_sql", "queries"]
         round(count(*) * 1.0 / (SELECT count(*) FROM clean), 6) AS share FROM clean GROUP BY 1"""
 )
 def curation_funnel(t):
-    return pipelines.curation_funnel(t("documents"), t("eval_item"))
+    x = F.col("text")
+    rules = [("empty", x.isNull() | (F.trim(x) == "")), ("short", F.length(x) < 60), ("long", F.length(x) > 20000), ("no_language", F.col("lang").isNull())]
+    return pipelines.curation_funnel(t("documents"), t("eval_item"), rules)
 
 
 @query(f"SELECT doc_id FROM documents QUALIFY row_number() OVER (PARTITION BY {squash('coalesce(text, chr(1))')} ORDER BY doc_id) = 1")
@@ -86,7 +88,12 @@ def reject_reasons(t):
     SELECT coalesce(why, 'accepted') AS reject_reason, count(*) AS n FROM s GROUP BY 1"""
 )
 def ordered_filter_with_dedup(t):
-    return pipelines.filter_with_dedup(t("build_p0a5_data"))
+    p, r = F.coalesce("prompt", F.lit("")), F.coalesce("reference", F.lit(""))
+    rules = [
+        ("not_verified", ~F.coalesce("human_verified", F.lit(False))), ("empty", (F.trim(p) == "") | (F.trim(r) == "")),
+        ("budget", F.length("prompt") + F.length("reference") > 600), ("code", F.contains(F.lower(F.array_join("domain", " ")), F.lit("代码"))),
+    ]
+    return pipelines.filter_with_dedup(t("build_p0a5_data"), rules, T.squash(p))
 
 
 @query(f"SELECT doc_id FROM documents d WHERE text IS NULL OR NOT EXISTS (SELECT 1 FROM eval_item e WHERE {squash('e.text')} = {squash('d.text')})")

@@ -11,6 +11,7 @@ from ..functions import records as P
 from ..functions import rules as R
 from ..functions import text as T
 from ..operators import joins
+from . import pipelines
 from .registry import query, squash, tokens
 
 _SAID = "list_filter([{}], lambda m: coalesce(trim(m.content), '') <> '')"
@@ -126,14 +127,9 @@ def instruction_chain(t):
     d = t("build_p0a5_data")
     both = K.proxy_tokens(F.concat(F.col("prompt"), F.lit(" "), F.col("reference")))
     rules = K.instruction_rules(F.col("human_verified"), F.col("prompt"), F.col("reference"), both, 100, {"exam": R.contains_any(F.array_join("task_type.major", " "), ["试题"])})
-    judged = d.select("sample_id", "created_ts", T.squash("prompt").alias("form"), R.first_reason(rules).alias("reject_reason"))
-    held = t("eval_item").select(T.squash("text").alias("form")).distinct()
-    open_ = joins.flag_seen(judged.filter("reject_reason is null"), held, ["form"], "_b").withColumn("reject_reason", F.when(F.col("_b"), "benchmark"))
-    # of equal forms that pass every check the first stays
-    kept = open_.filter("reject_reason is null").groupBy("form").agg((F.count("*") - 1).alias("later"))
-    counts = R.reason_counts(judged.filter("reject_reason is not null").select("reject_reason").unionByName(open_.filter("reject_reason is not null").select("reject_reason")))
-    extra = kept.agg(F.count("*").alias("a"), F.coalesce(F.sum("later"), F.lit(0)).alias("b")).select(F.explode(F.array(F.struct(F.lit("accepted").alias("reject_reason"), F.col("a").alias("n")), F.struct(F.lit("duplicate").alias("reject_reason"), F.col("b").alias("n")))).alias("x")).select("x.*")
-    return counts.unionByName(extra.filter("n > 0"))
+    held = t("eval_item").select(T.squash("text").alias("_form")).filter("_form is not null").distinct()
+    marked = joins.flag_seen(d.withColumn("_form", T.squash("prompt")), held, ["_form"], "_held")
+    return pipelines.filter_with_dedup(marked, [*rules, ("benchmark", F.col("_held"))], F.col("_form"))
 
 
 @query(

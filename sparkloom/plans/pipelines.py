@@ -11,10 +11,9 @@ from ..operators import aggregates, joins
 from ..operators.dedup import keep_first_slim
 
 
-def curation_funnel(docs: DataFrame, held_out: DataFrame) -> DataFrame:
+def curation_funnel(docs: DataFrame, held_out: DataFrame, rules: list[tuple[str, Column]]) -> DataFrame:
     """Texts per language after the reject rules, exact duplicates (first id stays) and held-out texts are gone."""
     x = F.col("text")
-    rules = [("empty", x.isNull() | (F.trim(x) == "")), ("short", F.length(x) < 60), ("long", F.length(x) > 20000), ("no_language", F.col("lang").isNull())]
     good = docs.select("doc_id", "text", "lang").filter(first_reason(rules).isNull())
     first = keep_first_slim(good, T.squash(x), "doc_id", ["doc_id"])
     clean = joins.exclude_by(first, held_out, T.squash, "text", "text")
@@ -23,17 +22,17 @@ def curation_funnel(docs: DataFrame, held_out: DataFrame) -> DataFrame:
     return by.select("lang", "documents", "characters", F.round(F.col("documents") / whole, 6).alias("share"))
 
 
-def filter_with_dedup(rows: DataFrame) -> DataFrame:
-    """Histogram of first-failing reasons where only rows that pass every check can shadow a later duplicate."""
-    p, r = F.coalesce("prompt", F.lit("")), F.coalesce("reference", F.lit(""))
-    rules = [
-        ("not_verified", ~F.coalesce("human_verified", F.lit(False))), ("empty", (F.trim(p) == "") | (F.trim(r) == "")),
-        ("budget", F.length("prompt") + F.length("reference") > 600), ("code", F.contains(F.lower(F.array_join("domain", " ")), F.lit("代码"))),
-    ]
-    judged = rows.select("sample_id", "created_ts", F.sha2(T.squash(p), 256).alias("form"), first_reason(rules).alias("reject_reason"))
-    by = Window.partitionBy("form").orderBy("created_ts", "sample_id")
-    passed = judged.filter("reject_reason is null").withColumn("reject_reason", F.when(F.row_number().over(by) > 1, "duplicate"))
-    return reason_counts(passed.unionByName(judged.filter("reject_reason is not null")))
+def filter_with_dedup(rows: DataFrame, rules: list[tuple[str, Column]], form: Column) -> DataFrame:
+    """Histogram of first-failing reasons where only rows that pass every check can shadow a later duplicate of their form.
+
+    Of the rows of a form that pass, one stays; they are counted by an aggregation, so a hot form costs a row per task.
+    """
+    judged = rows.select(F.sha2(form, 256).alias("_f"), first_reason(rules).alias("reject_reason"))
+    passed = judged.filter("reject_reason is null").groupBy("_f").agg((F.count("*") - 1).alias("_later"))
+    both = passed.agg(F.count("*").alias("kept"), F.coalesce(F.sum("_later"), F.lit(0)).alias("later"))
+    entry = lambda name, n: F.struct(F.lit(name).alias("reject_reason"), F.col(n).alias("n"))
+    counts = both.select(F.explode(F.array(entry("accepted", "kept"), entry("duplicate", "later"))).alias("x")).select("x.*").filter("n > 0")
+    return reason_counts(judged.filter("reject_reason is not null").select("reject_reason")).unionByName(counts)
 
 
 def assemble(key: Column, right: Column, wrong: list[Column]) -> Column:
