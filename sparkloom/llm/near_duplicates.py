@@ -4,18 +4,25 @@ Method: size-aware heavy-light join.  A record is its set of distinct 3-token ru
 pair of likeness t has at least ceil(t / (1 + t) * (a + b)) common runs, so the L rarest common runs stand among the first
 n - ceil(t * n) + L runs of either record (its prefix of degree L).
 
-* light sets (n up to a boundary): every 2-subset of the prefix of degree ``DEGREE`` is a key; equal keys join light sets, and a
-  pair that is like another one must meet in the 2-subsets of ``DEGREE`` common runs;
-* heavy sets: every run of the prefix of degree ``DEGREE`` has an inverted list; heavy sets are looked up in the lists of the
-  heavy sets and of those light sets that are large enough to be like a heavy one, and a pair that is like another one must
-  meet in ``DEGREE`` lists (or in all its common runs, if it may have fewer).
-
-Both ways are exact, and the exact likeness of what they meet decides.  Most subset keys and most rare runs stand alone in a
-collection; a table of one bit per hash slot (8 MB at most) tells which do, and these are left out before the shuffle.  The boundary is the
-size of least cost: seconds for the subset keys of the light sets, and for the list entries that the others would meet, from the
-estimated frequency of their runs.  It reads a histogram of sizes (one row per size up to ``MAX_LIGHT``).  List entries grow with
-the collection and subset keys of a set do not, so the boundary rises with it.  A pair with only one common run (possible
-for sets of one run, where a 2-subset does not exist) is covered by treating sets with a prefix of one run as heavy.
+* light sets (n up to a boundary): every 2-subset of the prefix of degree 2 is a key; equal keys join light sets, and a pair
+  that is like another one has a 2-subset in common;
+* heavy sets: every run of the prefix of degree 1 has an inverted list; heavy sets are looked up in the lists of the heavy
+  sets and of those light sets that are large enough to be like a heavy one, and a pair that is like another one has a list in
+  common.
+
+Pairs that meet grow with the square of the collection and are never shuffled.  The keys are dealt to blocks by hash, a class
+goes once to each block that has keys of it, with a sketch of its whole set, and a block tries its pairs in place: by size, by
+rank, and by the sketches, in which two sets differ in at most as many bits as they have runs alone.  What is written is the
+keys and the few pairs that are left.  All these tests are necessary conditions, so no pair is lost, and the exact likeness of
+what is left decides.  Lists beyond ``CELL`` entries are cut into cells, which different blocks try.
+
+Most subset keys and most rare runs stand alone in a collection; the counts of the runs and, for subsets, a table of one bit
+per hash slot (8 MB at most) tell which do, and these are left out before the shuffle.  The boundary is the size of least cost:
+seconds for the subset keys of the light sets, and for the list entries that the others would meet, from the estimated
+frequency of their runs.  It reads a histogram of sizes (one row per size up to ``MAX_LIGHT``).  List entries grow with the
+collection and subset keys of a set do not, so the boundary rises with it, as far as the subset keys do not outgrow the list
+entries on disk.  A pair with only one common run (possible for sets of one run, where a 2-subset does not exist) is covered by
+treating sets with a prefix of one run as heavy.
 
 Records with equal sets form a class: the join runs over classes only, and copies are expanded by membership.
 
@@ -33,14 +40,22 @@ from pyspark.sql import functions as F
 from .common import SENT_ROWS, cut_lineage, latest_rows, small
 from .kernels import Tokens, mix, pieces, set_signature
 from .rarity import estimated, has_key, order_of, repeat_bits, run_counts
-from .set_join import RUN, least_overlap, likeness, signed, verify_pairs
+from .set_join import RUN, likeness, signed, verify_pairs
 
 MAX_LIGHT = 256
-DEGREE = 3
-#: Core seconds for a million subset keys and for a million list entries, measured on 60,000 records of about 100 runs: the
-#: stage took 6 s with all sets heavy, 9 s with those of up to 64 runs light, 14 s at 96 and 31 s at 128.
-SUBSET_COST = 6.0
-LIST_COST = 0.5
+DEGREE = 2
+#: Core seconds for a million subset keys and for a million list entries as ``prefixes`` estimates them, measured where pairs
+#: are tried in their blocks: 8.3 s for 14.5 million keys, 17 s for 1,630 million entries.
+SUBSET_COST = 0.5
+LIST_COST = 0.01
+#: Subset keys are written, so they stay below so many times the list entries of all sets.
+MOST_SUBSETS = 2
+#: Lists beyond CELL entries are cut; entries and pairs tried at once; largest rank that is sent.
+CELL, SLICE, CHUNK, RANK = 30_000, 300_000, 2_000_000, 0x1FFF
+#: Bytes of a key, of a class in a block besides its sketch, and of a block at most.
+KEY_BYTES, CLASS_BYTES, BLOCK_BYTES = 6, 13, 96 << 20
+#: Estimated count of a bucket beyond which a run may stand in another text.
+ALONE = 1.5
 
 
 def records(data: DataFrame, key: str = "sample_id") -> DataFrame:
@@ -58,9 +73,10 @@ def _texts(batch: pa.RecordBatch) -> list[str]:
 
 
 def prefixes(rows: DataFrame, counts: np.ndarray, threshold: float) -> DataFrame:
-    """(rid, c1, c2, n, runs, cost): the prefix of degree DEGREE, rarest first; empty for a class this task has already sent.
+    """(rid, c1, c2, n, sketch, runs, cost): the prefix of degree DEGREE, rarest first; empty for a class this task has already sent.
 
-    ``cost`` estimates the list entries that the prefix meets.
+    ``runs`` holds 32 bits of each run: runs that fall together only meet once more.  ``cost`` estimates the list entries that
+    the prefix meets.
     """
     shared = rows.sparkSession.sparkContext.broadcast(counts)
 
@@ -98,146 +114,312 @@ def prefixes(rows: DataFrame, counts: np.ndarray, threshold: float) -> DataFrame
                 rare = np.where(rank < base[text] + DEGREE, estimated(grams, table), 0.0)
                 cost = np.bincount(text, weights=rare, minlength=j - i)
                 keep = (rank < base[text] + DEGREE) & fresh[text]
+                words, at = sketch_of(grams[fresh[text]], text[fresh[text]], np.where(fresh, size, 0))
                 cut = np.zeros(j - i + 1, np.int32)
                 np.cumsum(np.bincount(text[keep], minlength=j - i), out=cut[1:])
                 out = pa.RecordBatch.from_arrays(
                     [
                         batch.column("rid").slice(i, j - i), pa.array(a), pa.array(b), pa.array(size.astype(np.int32)),
-                        pa.ListArray.from_arrays(pa.array(cut), pa.array(signed(grams[keep]))), pa.array(cost),
+                        pa.BinaryArray.from_buffers(pa.binary(), j - i, [None, pa.py_buffer((at * 8).astype(np.int32)), pa.py_buffer(words)]),
+                        pa.ListArray.from_arrays(pa.array(cut), pa.array((grams[keep] >> np.uint64(32)).astype(np.uint32).view(np.int32))), pa.array(cost),
                     ],
-                    names=["rid", "c1", "c2", "n", "runs", "cost"],
+                    names=["rid", "c1", "c2", "n", "sketch", "runs", "cost"],
                 )
                 yield out.take(pa.array(have))
 
     kind = rows.schema["rid"].dataType.simpleString()
-    return rows.mapInArrow(run, f"rid {kind}, c1 long, c2 long, n int, runs array<long>, cost double")
+    return rows.mapInArrow(run, f"rid {kind}, c1 long, c2 long, n int, sketch binary, runs array<int>, cost double")
 
 
 def boundary(sets: DataFrame, threshold: float) -> int:
     """The light size of least estimated cost; reads one row per size up to MAX_LIGHT.
 
     A light set that is too small to be like any heavy one saves its list entries; the larger light ones stand in the lists too.
+    Sizes at which subset keys would outgrow the list entries do not come into question.
     """
     sized = sets.filter(F.size("runs") > 0).withColumn("size", F.least("n", F.lit(MAX_LIGHT + 1)))
     by = {r["size"]: (r["k"], r["cost"]) for r in sized.groupBy("size").agg(F.count("*").alias("k"), F.sum("cost").alias("cost")).collect()}
+    prefix = {n: min(n - int(np.ceil(threshold * n - 1e-9)) + DEGREE, n) for n in by}
+    entries = sum(k * prefix[n] for n, (k, _) in by.items())
     best, least = 0, None
     for b in range(MAX_LIGHT + 1):
-        total = 0.0
-        for n, (k, cost) in by.items():
-            if n <= b:
-                p = n - int(np.ceil(threshold * n - 1e-9)) + DEGREE
-                total += SUBSET_COST * k * min(p, n) * (min(p, n) - 1) / 2
-            if n > b or n >= threshold * (b + 1):
-                total += LIST_COST * cost
+        keys = sum(k * prefix[n] * (prefix[n] - 1) / 2 for n, (k, _) in by.items() if n <= b)
+        if keys > MOST_SUBSETS * entries:
+            break
+        total = SUBSET_COST * keys + sum(LIST_COST * cost for n, (_, cost) in by.items() if n > b or n >= threshold * (b + 1))
         if least is None or total < least:
             best, least = b, total
     return best
 
 
-def _subsets(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-    """(key, row) of each 2-subset of each row's runs."""
+def _runs(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """All runs of a batch, and where those of each row begin and end."""
     runs = batch.column("runs")
-    flat = mix(runs.flatten().to_numpy(zero_copy_only=False).view(np.uint64))
-    size = np.diff(runs.offsets.to_numpy())
-    start = np.concatenate([[0], np.cumsum(size)])
-    keys, owner = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    return runs.flatten().to_numpy(zero_copy_only=False).view(np.uint32), runs.offsets.to_numpy().astype(np.int64) - runs.offsets[0].as_py()
+
+
+def _often(runs: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    return estimated(runs.astype(np.uint64) << np.uint64(32), counts)
+
+
+def _subsets(batch: pa.RecordBatch, counts: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
+    """(key, row, rank, how often at most) of each 2-subset of each row's runs; rank 0, as subsets have no place in the order."""
+    runs, start = _runs(batch)
+    flat, size = mix(runs.astype(np.uint64)), np.diff(start)
+    often = np.zeros(len(runs)) if counts is None else _often(runs, counts)
+    keys, owner, most = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0)]
     for p in np.unique(size):
         if p < 2:
             continue
         rows = np.flatnonzero(size == p)
         x, y = np.triu_indices(int(p), 1)
-        block = flat[start[rows][:, None] + np.arange(p)]
-        keys.append((block[:, x] + block[:, y]).ravel())
+        at = start[rows][:, None] + np.arange(p)
+        keys.append((flat[at][:, x] + flat[at][:, y]).ravel())
+        most.append(np.minimum(often[at][:, x], often[at][:, y]).ravel())
         owner.append(np.repeat(rows, len(x)))
-    return mix(np.concatenate(keys)), np.concatenate(owner)
+    made = mix(np.concatenate(keys))
+    return made, np.concatenate(owner), np.zeros(len(made), np.int64), np.concatenate(most)
 
 
-def _subset_keys(light: DataFrame, keys: int) -> DataFrame:
-    """One row (key, c1, c2, n) per 2-subset of each light prefix whose key does not stand alone."""
-    shared = light.sparkSession.sparkContext.broadcast(repeat_bits(light.select("runs"), lambda b: _subsets(b)[0], keys))
+def _entries(batch: pa.RecordBatch, counts: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
+    """(key, row, rank, how often at most) of each run of the prefix of degree 1, which ``listed`` gives the length of."""
+    runs, start = _runs(batch)
+    row = np.repeat(np.arange(batch.num_rows), np.diff(start))
+    rank = np.arange(len(row)) - start[row]
+    keep = rank < batch.column("listed").to_numpy()[row]
+    runs = runs[keep]
+    return mix(runs.astype(np.uint64)), row[keep], rank[keep], np.zeros(len(runs)) if counts is None else _often(runs, counts)
 
-    def run(batches):
-        for batch in batches:
-            made, owner = _subsets(batch)
-            keep = has_key(made, shared.value)
-            own = pa.array(owner[keep])
-            yield pa.RecordBatch.from_arrays([pa.array(signed(made[keep])), *(batch.column(c).take(own) for c in ("c1", "c2", "n"))], names=["key", "c1", "c2", "n"])
 
-    return light.select("runs", "c1", "c2", "n").mapInArrow(run, "key long, c1 long, c2 long, n int")
+def _cells(key: np.ndarray, often: np.ndarray, c1: np.ndarray, most: int = CELL) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(key, entry, side) of the cells that each entry stands in.
 
+    A list of more than ``most`` entries is cut into b parts by class; a cell holds two parts, or one part alone.  Entries of
+    different sides meet, and those of side 0 (a part alone) meet each other, so each pair of entries meets in one cell.
+    """
+    b = np.maximum(np.ceil(often / most).astype(np.int64), 1)
+    at = np.repeat(np.arange(len(key)), b)
+    wide = b[at]
+    x = (mix(c1[at].view(np.uint64)) % wide.astype(np.uint64)).astype(np.int64)
+    y = np.arange(len(at)) - np.repeat(np.cumsum(b) - b, b)
+    cell = (np.minimum(x, y) * wide + np.maximum(x, y)).astype(np.uint64)
+    return np.where(wide > 1, mix(key[at] + mix(cell)), key[at]), at, np.where(x == y, 0, np.where(x < y, 1, 2))
 
-def _list_entries(sets: DataFrame) -> DataFrame:
-    """One row (c1, c2, n, heavy, rank, run) per run of each prefix that may stand in another set's prefix too."""
 
-    def flat(batch: pa.RecordBatch) -> np.ndarray:
-        return batch.column("runs").flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+def _planes(x: np.ndarray) -> bytes:
+    """The bytes of an array, first all lowest ones, so that empty high bytes compress well."""
+    return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T).tobytes()
 
-    count = sets.agg(F.coalesce(F.sum(F.size("runs")), F.lit(0)).cast("long")).first()[0]
-    shared = sets.sparkSession.sparkContext.broadcast(repeat_bits(sets.select("runs"), flat, count))
 
-    def run(batches):
-        for batch in batches:
-            runs = batch.column("runs")
-            start = runs.offsets.to_numpy().astype(np.int64)
-            row = np.repeat(np.arange(batch.num_rows), np.diff(start))
-            rank = np.arange(len(row)) - (start[:-1] - start[0])[row]
-            keep = has_key(flat(batch), shared.value)
-            own = pa.array(row[keep])
-            yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c).take(own) for c in ("c1", "c2", "n", "heavy")), pa.array(rank[keep].astype(np.int32)), pa.array(signed(flat(batch)[keep]))],
-                names=["c1", "c2", "n", "heavy", "rank", "run"],
-            )
-
-    return sets.select("c1", "c2", "n", "heavy", "runs").mapInArrow(run, "c1 long, c2 long, n int, heavy boolean, rank int, run long")
-
-
-def _met(left: DataFrame, right: DataFrame, key: str, keep) -> DataFrame:
-    """Join on ``key``; ``keep(before)`` says which joined rows count, ``before`` being a's class below b's."""
-    a = left.select(key, *[F.col(c).alias("a_" + c) for c in left.columns if c != key])
-    b = right.select(key, *[F.col(c).alias("b_" + c) for c in right.columns if c != key])
-    before = F.struct("a_c1", "a_c2") < F.struct("b_c1", "b_c2")
-    return a.join(b, key).filter(keep(before)).select(
-        F.when(before, F.col("a_c1")).otherwise(F.col("b_c1")).alias("a1"), F.when(before, F.col("a_c2")).otherwise(F.col("b_c2")).alias("a2"),
-        F.when(before, F.col("b_c1")).otherwise(F.col("a_c1")).alias("b1"), F.when(before, F.col("b_c2")).otherwise(F.col("a_c2")).alias("b2"),
-        (F.col("a_n") + F.col("b_n")).alias("size"),
-    )
+def _unplanes(x: bytes, kind: type) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(x, np.uint8).reshape(size, -1).T).view(kind).ravel()
 
 
-def candidate_classes(sets: DataFrame, threshold: float) -> DataFrame:
-    """Distinct pairs of different classes (a1, a2) < (b1, b2) that the heavy-light join meets."""
+def _met(sets: DataFrame, keys_of, keys: int, counts: np.ndarray, threshold: float) -> DataFrame:
+    """(a1, b1): first halves of the names of classes that meet in a key and may be alike by their sizes, ranks and sketches.
+
+    ``keys_of(batch, counts)`` gives the keys.  A block takes the keys of one share of the hash space; a class goes there once,
+    with its sketch and its keys in that block, so that pairs are tried where they meet and only those left are written.
+    """
+    sc = sets.sparkSession.sparkContext
+    rows, sketch = sets.agg(F.count("*"), F.coalesce(F.avg(F.length("sketch")), F.lit(0.0))).first()
+    parts = blocks(keys, rows, sketch, sc.defaultParallelism)
+    # a run's own count tells whether it stands alone; a subset of frequent runs may
+    repeats = repeat_bits(sets.select("runs", "listed"), lambda b: keys_of(b)[0], keys) if keys_of is _subsets else None
+    shared = sc.broadcast((repeats, counts))
+    columns = ("c1", "n", "sketch", "count", "key", "code")
+
+    def send(batches):
+        repeats, table = shared.value
+        for batch in batches:
+            c1, n, light = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("c1", "n", "light"))
+            key, row, rank, often = keys_of(batch, table)
+            keep = often > ALONE
+            if repeats is not None:
+                keep &= has_key(key, repeats)
+            key, row, rank = key[keep], row[keep], rank[keep]
+            key, at, side = _cells(key, often[keep], c1[row])
+            row, rank = row[at], rank[at]
+            part = ((key & np.uint64(0xFFFFFFFF)) % np.uint64(parts)).astype(np.int64)
+            at = np.lexsort((row, part))
+            row, part, key = row[at], part[at], (key[at] >> np.uint64(32)).astype(np.uint32)
+            # a rank cut at RANK only lets more pairs through
+            code = (np.minimum(rank[at], RANK) | side[at] << 13 | light[row].astype(np.int64) << 15).astype(np.uint16)
+            cut = np.searchsorted(part, np.arange(parts + 1))
+            for p in np.flatnonzero(np.diff(cut)):
+                own = slice(cut[p], cut[p + 1])
+                rows, count = np.unique(row[own], return_counts=True)
+                sketch = b"".join(batch.column("sketch").take(pa.array(rows)).to_pylist())
+                made = (c1[rows].tobytes(), _planes(n[rows]), sketch, _planes(count.astype(np.int32)), key[own].tobytes(), _planes(code[own]))
+                yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), *(pa.array([x], pa.binary()) for x in made)], names=["part", *columns])
+
+    def meet(batches):
+        got: dict[str, list] = {c: [] for c in columns}
+        read = {"c1": np.int64, "n": np.int32, "sketch": np.uint64, "count": np.int32, "key": np.uint32, "code": np.uint16}
+        for batch in batches:
+            for c, kind in read.items():
+                plain = c in ("c1", "sketch", "key")
+                got[c] += [np.frombuffer(x, kind) if plain else _unplanes(x, kind) for x in batch.column(c).to_pylist()]
+        if not got["c1"]:
+            return
+        c1 = np.concatenate(got["c1"])
+        for i, j in pairs_in_block(*(np.concatenate(got.pop(c)) for c in columns), threshold):
+            a, b = c1[i], c1[j]
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a1", "b1"])
+
+    slim = sets.select("c1", "n", "sketch", "light", "listed", "runs")
+    sent = slim.mapInArrow(send, "part int, " + ", ".join(f"{c} binary" for c in columns))
+    return sent.repartitionById(parts, F.col("part")).drop("part").mapInArrow(meet, "a1 long, b1 long")
+
+
+def blocks(keys: int, rows: int, sketch: float, least: int) -> int:
+    """The fewest blocks, about, of which none takes more than BLOCK_BYTES: with fewer blocks a class is sent to fewer of them."""
+    parts, each = least, keys / max(rows, 1)
+    while keys * KEY_BYTES + rows * min(parts * (1 - (1 - 1 / parts) ** each), each) * (CLASS_BYTES + sketch) > parts * BLOCK_BYTES:
+        parts += max(1, parts // 8)
+    return parts
+
+
+def pairs_in_block(c1, n, sketch, count, key, code, threshold: float):
+    """Batches of pairs of rows that meet in a key and may reach the threshold; a batch has each pair once.
+
+    Entries of a list are ordered by size: an entry at rank r of a set of n leaves n - r common runs at most, so its partners
+    of at least its size are one range, and a partner's own rank is tried next.  Sketches decide the rest.
+    """
+    share = threshold / (1 + threshold)
+    row = np.repeat(np.arange(len(n), dtype=np.int32), count)
+    place = key.astype(np.uint64) << np.uint64(32) | n[row].astype(np.uint64)
+    at = np.argsort(place)
+    place, row, code = place[at], row[at], code[at]
+    del at
+    fits = sketches_fit(n, sketch, threshold)
+    first = 0
+    while first < len(row):
+        # whole lists, about SLICE entries
+        last = int(np.searchsorted(place, place[min(first + SLICE, len(row)) - 1] | np.uint64(0xFFFFFFFF), "right"))
+        for i, j in _pairs_in_lists(place[first:last], code[first:last].astype(np.int64), share):
+            i, j = row[first:last][i], row[first:last][j]
+            ok = fits(i, j)
+            i, j = i[ok].astype(np.int64), j[ok].astype(np.int64)
+            own = (c1[i] == c1[j]) & (n[i] == n[j])
+            if own.any():  # a class that several tasks have sent; two classes with one first half differ in the sketch
+                same = np.zeros(len(i), bool)
+                same[own] = fits.equal(i[own], j[own])
+                i, j = i[~same], j[~same]
+            pair = np.unique(np.minimum(i, j) * len(n) + np.maximum(i, j))
+            if len(pair):
+                yield pair // len(n), pair % len(n)
+        first = last
+
+
+def _pairs_in_lists(place: np.ndarray, code: np.ndarray, share: float):
+    """Batches of pairs of entries (key and size in ``place``, ordered) that sizes, ranks, sides and kinds let through."""
+    size = (place & np.uint64(0xFFFFFFFF)).astype(np.int64)
+    most = np.floor((size - (code & RANK) + 1e-6) / share).astype(np.int64) - size  # the largest size of a partner
+    high = np.clip(most, 0, 0x7FFFFFFF).astype(np.uint64)
+    start = np.arange(1, len(place) + 1)
+    some = np.maximum(np.searchsorted(place, (place >> np.uint64(32) << np.uint64(32)) | high, "right") - start, 0)
+    flagged = bool((code >> 13).any())
+    side, light = code >> 13 & 3, code >> 15
+    total = np.concatenate([[0], np.cumsum(some)])
+    low = 0
+    while low < len(place):
+        top = max(int(np.searchsorted(total, total[low] + CHUNK, "right")) - 1, low + 1)
+        i = np.repeat(np.arange(low, top), some[low:top])
+        j = np.arange(len(i)) - np.repeat(total[low:top] - total[low] - start[low:top], some[low:top])
+        low = top
+        keep = size[i] <= most[j]
+        if flagged:
+            keep &= ((side[i] == 0) | (side[i] != side[j])) & ~((light[i] & light[j]) == 1)
+        yield i[keep], j[keep]
+
+
+def sketch_words(n: np.ndarray) -> np.ndarray:
+    """Words of 64 bits of the sketch of a set of n runs: a power of two, at least 1.5 bits a run."""
+    return 1 << np.ceil(np.log2(np.maximum(n * 1.5 / 64, 1))).astype(np.int64)
+
+
+def sketch_of(grams: np.ndarray, text: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(words, bounds per text): each run turns one bit.  Bits in which two sketches differ are at most the runs that one set has alone."""
+    bounds = np.zeros(len(size) + 1, np.int64)
+    words = np.where(size > 0, sketch_words(size), 0)
+    np.cumsum(words, out=bounds[1:])
+    bit = bounds[:-1][text] * 64 + (grams & (words[text] * 64 - 1).astype(np.uint64)).astype(np.int64)
+    odd = np.bincount(bit, minlength=int(bounds[-1]) * 64) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.uint64), bounds
+
+
+class sketches_fit:
+    """Whether the sketches of rows i and j leave the runs in common that the threshold needs; a wider one is folded."""
+
+    def __init__(self, n: np.ndarray, sketch: np.ndarray, threshold: float):
+        self.n, self.share = n.astype(np.int64), threshold / (1 + threshold)
+        self.words = sketch_words(self.n)
+        start = np.cumsum(self.words) - self.words
+        self.table: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for w in np.unique(self.words):
+            largest = self.n[self.words == w].max() / threshold + 1
+            rows, made = [], []
+            for own in np.unique(self.words[self.words >= w]):
+                at = np.flatnonzero((self.words == own) & (self.n <= largest))
+                block = sketch[start[at][:, None] + np.arange(own)] if len(at) else np.zeros((0, own), np.uint64)
+                while block.shape[1] > w:
+                    half = block.shape[1] // 2
+                    block = block[:, :half] ^ block[:, half:]
+                rows.append(at)
+                made.append(block)
+            place = np.full(len(n), -1, np.int32)
+            place[np.concatenate(rows)] = np.arange(sum(map(len, rows)))
+            self.table[int(w)] = place, np.concatenate(made)
+
+    def differ(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(i), np.int64)
+        width = np.minimum(self.words[i], self.words[j])
+        for w, (place, block) in self.table.items():
+            at = np.flatnonzero(width == w)
+            out[at] = np.bitwise_count(block[place[i[at]]] ^ block[place[j[at]]]).sum(axis=1, dtype=np.int64)
+        return out
+
+    def equal(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        return self.differ(i, j) == 0
+
+    def __call__(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        both = self.n[i] + self.n[j]
+        return self.differ(i, j) <= both - 2 * np.ceil(both * self.share - 1e-9).astype(np.int64)
+
+
+def candidate_classes(sets: DataFrame, counts: np.ndarray, threshold: float) -> DataFrame:
+    """Distinct pairs (a1, b1) of the first halves of the names of classes that the heavy-light join meets."""
     edge = boundary(sets, threshold)
-    fresh = sets.filter(F.size("runs") > 0)
-    need = least_overlap(F.col("a_n"), F.col("b_n"), threshold)
-    sized = F.least("a_n", "b_n") >= need
-    subset = (F.col("n") <= edge) & (F.size("runs") >= 2)
-    pairs = ["a1", "a2", "b1", "b2"]
-    least = F.least(F.lit(DEGREE), least_overlap(F.col("size"), F.lit(0), threshold))
-    small_sets = fresh.filter(subset)
-    keys = small_sets.agg(F.coalesce(F.sum(F.size("runs") * (F.size("runs") - 1) / 2), F.lit(0)).cast("long")).first()[0]
-    # k common runs are k * (k - 1) / 2 common subsets; a class sent by several tasks only raises the count
-    light = _subset_keys(small_sets, keys) if keys else None
-    by_subset = light and _met(light, light, "key", lambda before: before & sized).groupBy(*pairs, "size").agg(F.count("*").alias("_k")).filter(F.col("_k") >= least * (least - 1) / 2).select(*pairs)
-    lists = _list_entries(fresh.filter(~subset | (F.col("n") >= F.lit(threshold) * (edge + 1))).withColumn("heavy", ~subset))
-    reach = sized & (F.col("a_n") - F.col("a_rank") + (DEGREE - 1) >= need) & (F.col("b_n") - F.col("b_rank") + (DEGREE - 1) >= need)
-    heavy = lists.filter("heavy").drop("heavy")
-    # heavy with heavy once per pair; heavy with light in the only order there is
-    met = _met(heavy, heavy, "run", lambda before: before & reach).union(_met(heavy, lists.filter("not heavy").drop("heavy"), "run", lambda before: reach))
-    by_list = met.groupBy(*pairs, "size").agg(F.count("*").alias("_k")).filter(F.col("_k") >= least).select(*pairs)
-    return by_subset.union(by_list) if keys else by_list
+    light = (F.col("n") <= edge) & (F.size("runs") >= 2)
+    base = (F.col("n") - F.ceil(F.col("n") * F.lit(threshold) - F.lit(1e-9)) + 1).cast("int")
+    fresh = sets.filter(F.size("runs") > 0).withColumn("light", light).withColumn("listed", F.least(base, F.size("runs")))
+    subsets, lists = fresh.filter("light").withColumn("light", F.lit(False)), fresh.filter(~F.col("light") | (F.col("n") >= F.lit(threshold) * (edge + 1)))
+    total = lambda df, x: df.agg(F.coalesce(F.sum(x), F.lit(0)).cast("long")).first()[0]
+    by_list = _met(lists, _entries, total(lists, F.col("listed")), counts, threshold)
+    keys = total(subsets, F.size("runs") * (F.size("runs") - 1) / 2)
+    # a class sent by several tasks only raises the count
+    return (by_list.union(_met(subsets, _subsets, keys, counts, threshold)) if keys else by_list).distinct()
 
 
 def like_classes(data: DataFrame, threshold: float = 0.6, key: str = "sample_id") -> tuple[DataFrame, DataFrame]:
-    """(pairs of classes with their likeness, membership rid to class)."""
+    """(pairs of classes with their likeness, membership rid to class of classes that have copies or like classes)."""
     rows = records(data, key)
     counts = run_counts(rows.select("text"), _texts, RUN)
     sets = cut_lineage(prefixes(rows, counts, threshold))
-    pairs = cut_lineage(candidate_classes(sets, threshold))
-    wanted = pairs.selectExpr("a1 c1", "a2 c2").union(pairs.selectExpr("b1", "b2")).distinct()
-    one = cut_lineage(sets.select("rid", "c1", "c2").join(small(wanted, SENT_ROWS), ["c1", "c2"], "left_semi").groupBy("c1", "c2").agg(F.min("rid").alias("rid")))
+    met = cut_lineage(candidate_classes(sets, counts, threshold))
+    wanted = met.selectExpr("a1 c1").union(met.selectExpr("b1")).distinct()
+    one = cut_lineage(sets.select("rid", "c1", "c2").join(small(wanted, SENT_ROWS), "c1", "left_semi").groupBy("c1", "c2").agg(F.min("rid").alias("rid")))
+    pairs = met.join(one.selectExpr("c1 a1", "c2 a2"), "a1").join(one.selectExpr("c1 b1", "c2 b2"), "b1").filter("struct(a1, a2) < struct(b1, b2)")
     texts = rows.join(small(one, SENT_ROWS), "rid").groupBy("c1", "c2").agg(F.min("text").alias("text"))
     measure = lambda left, right: {"likeness": pa.array(likeness(left, right))}
-    found = verify_pairs(pairs, texts, measure, "likeness double").filter(F.col("likeness") >= threshold)
-    return cut_lineage(found), sets.select("rid", "c1", "c2").distinct()
+    found = verify_pairs(pairs.select("a1", "a2", "b1", "b2"), texts, measure, "likeness double").filter(F.col("likeness") >= threshold)
+    found = cut_lineage(found)
+    # a class without copies and without a like class has no part in any result
+    several = sets.groupBy("c1", "c2").agg(F.count("*").alias("k")).filter("k > 1").select("c1", "c2")
+    used = cut_lineage(found.selectExpr("a1 c1", "a2 c2").union(found.selectExpr("b1", "b2")).union(several).distinct())
+    return found, sets.select("rid", "c1", "c2").join(small(used, SENT_ROWS), ["c1", "c2"], "left_semi").distinct()
 
 
 def near_duplicate_pairs(data: DataFrame, threshold: float = 0.6, key: str = "sample_id") -> DataFrame:

@@ -6,12 +6,14 @@ import random
 import re
 import unicodedata
 
+import numpy as np
 import pytest
 
 from sparkloom.llm import eval_leakage, near_duplicates, shared_spans, split_overlap
 
 WORD = re.compile(r"[一-鿿]|[^\W一-鿿]+")
 NOW = datetime.datetime(2026, 1, 1)
+WORDS = [f"w{i}" for i in range(400)]
 
 
 def runs(text, k=3):
@@ -85,6 +87,91 @@ def test_boundary_weighs_subsets_against_lists(spark):
     assert edge(long) == 0 and edge(rare) == 0 and 9 <= edge(short + long) < 120 and edge(short) >= 6
 
 
+def test_near_duplicates_shuffle_no_pairs_that_only_meet(spark):
+    """Texts of common sentences meet in many lists; what is shuffled must follow the rows, not the meetings."""
+    rng = random.Random(11)
+    stock = [" ".join(rng.choice(WORDS) for _ in range(8)) for _ in range(150)]
+    store = spark.sparkContext._jsc.sc().statusStore()
+
+    def written():
+        stages = store.stageList(None, False, False, spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0), None)
+        return sum({stages.apply(i).stageId(): stages.apply(i).shuffleWriteBytes() for i in range(stages.size())}.values())
+
+    moved, size = [], []
+    for n in (500, 2000):
+        rows = [(f"s{i:05}", ". ".join(rng.sample(stock, 9)), "", NOW) for i in range(n)]
+        df = spark.createDataFrame(rows, "sample_id string, prompt string, reference string, created_ts timestamp")
+        before = written()
+        near_duplicates.near_duplicate_pairs(df).collect()
+        moved.append(written() - before)
+        size.append(sum(len(r[1]) for r in rows))
+    assert moved[1] - moved[0] < 4 * (size[1] - size[0])
+
+
+def test_sketches_lose_no_pair():
+    rng = np.random.default_rng(4)
+    sets = [rng.integers(0, 1 << 63, rng.integers(1, 300)).astype(np.uint64) for _ in range(40)]
+    for x in list(sets):
+        keep = x[rng.random(len(x)) < 0.8]
+        sets.append(np.concatenate([keep, rng.integers(0, 1 << 63, 1 + len(x) // 9).astype(np.uint64)]))
+    n = np.array([len(x) for x in sets])
+    words, bounds = near_duplicates.sketch_of(np.concatenate(sets), np.repeat(np.arange(len(sets)), n), n)
+    assert (np.diff(bounds) == near_duplicates.sketch_words(n)).all()
+    i, j = np.triu_indices(len(sets), 1)
+    common = np.array([len(np.intersect1d(sets[x], sets[y])) for x, y in zip(i, j)])
+    for threshold in (0.3, 0.6, 0.9):
+        near = common >= threshold * (n[i] + n[j] - common) - 1e-9
+        fits = near_duplicates.sketches_fit(n, words, threshold)
+        ok = (n[i] >= threshold * n[j]) & (n[j] >= threshold * n[i])  # ranks and sizes are tried before
+        assert near[ok].sum() == near.sum() and fits(i[ok], j[ok])[near[ok]].all()
+        assert (fits.differ(i[ok], j[ok]) <= (n[i] + n[j] - 2 * common)[ok]).all()
+    assert fits(i[ok], j[ok]).sum() < ok.sum() / 2
+
+
+@pytest.mark.parametrize("most", [1, 3, 7, 100])
+def test_cells_let_each_pair_of_a_list_meet_once(most):
+    c1 = np.arange(40, dtype=np.int64)
+    key = np.repeat(np.array([5, 9], np.uint64), 20)
+    made, at, side = near_duplicates._cells(key, np.full(40, 20.0), c1, most)
+    met = []
+    for k in np.unique(made):
+        own = np.flatnonzero(made == k)
+        met += [(at[x], at[y]) for x in own for y in own if at[x] < at[y] and (side[x] == 0 or side[x] != side[y])]
+    assert sorted(met) == [(x, y) for x in range(40) for y in range(x + 1, 40) if key[x] == key[y]]
+
+
+@pytest.mark.parametrize(("cut", "chunk"), [(300_000, 2_000_000), (1, 1), (7, 50)])
+def test_blocks_try_every_pair_of_a_list(cut, chunk, monkeypatch):
+    monkeypatch.setattr(near_duplicates, "SLICE", cut)
+    monkeypatch.setattr(near_duplicates, "CHUNK", chunk)
+    rng = np.random.default_rng(6)
+    sets = [rng.choice(900, rng.integers(1, 60), replace=False) for _ in range(60)]
+    sets += [np.union1d(x[rng.random(len(x)) < 0.85], rng.choice(900, 2)) for x in sets]
+    sets = [np.unique(x) for x in sets]  # the order of the runs is their number
+    n = np.array([len(x) for x in sets], np.int32)
+    grams = near_duplicates.mix(np.concatenate(sets).astype(np.uint64))
+    words, _ = near_duplicates.sketch_of(grams, np.repeat(np.arange(len(sets)), n), n.astype(np.int64))
+    count = (n - np.ceil(0.6 * n - 1e-9) + 1).astype(np.int32)
+    key = np.concatenate([x[:k] for x, k in zip(sets, count)]).astype(np.uint32)
+    code = np.concatenate([np.arange(k) for k in count]).astype(np.uint16)
+    got = {(int(a), int(b)) for i, j in near_duplicates.pairs_in_block(np.arange(len(n)), n, words, count, key, code, 0.6) for a, b in zip(i, j)}
+    common = lambda a, b: len(np.intersect1d(sets[a], sets[b]))
+    want = {(a, b) for a in range(len(n)) for b in range(a + 1, len(n)) if common(a, b) >= 0.6 * (n[a] + n[b] - common(a, b)) and (sets[a].tolist() != sets[b].tolist())}
+    assert want <= got and len(want) > 20 and len(got) < 2 * len(want)
+
+
+def test_blocks_hold_what_one_task_can():
+    assert near_duplicates.blocks(0, 0, 0.0, 6) == 6 and near_duplicates.blocks(10**7, 4 * 10**5, 24.0, 6) == 6
+    for rows in (10**7, 10**8):
+        n = near_duplicates.blocks(30 * rows, rows, 24.0, 6)
+        assert 30 * rows * 6 / n < near_duplicates.BLOCK_BYTES and n * near_duplicates.BLOCK_BYTES < 2 * 30 * rows * 43
+
+
+def test_boundary_keeps_subset_keys_below_the_list_entries(spark):
+    rows = [(i, i, 120, list(range(50)), 1e9) for i in range(300)]
+    assert near_duplicates.boundary(spark.createDataFrame(rows, "c1 long, c2 long, n int, runs array<long>, cost double"), 0.6) < 120
+
+
 def evidence(text):
     parts = text.split(". ")
     items = [{"rank": i + 1, "text": p} for i, p in enumerate(parts)]
